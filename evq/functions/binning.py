@@ -71,6 +71,6 @@ def _search(value: Column, edges: Sequence[float], first: int, last: int) -> Col
 
 
 def edge_columns(bin_col: Column, edges: Sequence[float]) -> tuple[Column, Column]:
-    """Lower and upper edge of a bin number."""
+    """Lower and upper edge of a bin number; null for a null bin (``element_at`` itself would not say so)."""
     table = F.array(*[F.lit(float(e)) for e in edges])
-    return F.element_at(table, bin_col + 1), F.element_at(table, bin_col + 2)
+    return F.try_element_at(table, bin_col + 1), F.try_element_at(table, bin_col + 2)

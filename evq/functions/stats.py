@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from evq import config
 
@@ -34,47 +34,47 @@ def kolmogorov_prob(z: Column) -> Column:
     )
 
 
-def upper_gamma_ratio(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x): power series below a + 1, continued fraction above."""
-    if not (a > 0.0) or x < 0.0 or math.isnan(x):
-        return float("nan")
-    if x == 0.0:
-        return 1.0
-    if math.isinf(x):
-        return 0.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1.0:
-        total = term = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1.0
-            term *= x / n
-            total += term
-        return 1.0 - front * total
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c, d = 1.0 / tiny, 1.0 / b
-    fraction, step, i = d, 0.0, 0
-    while abs(step - 1.0) > 1e-15 and i < 10_000:
-        i += 1
-        numerator = -i * (i - a)
-        b += 2.0
-        d = 1.0 / ((numerator * d + b) or tiny)
-        c = (b + numerator / c) or tiny
-        step = c * d
-        fraction *= step
-    return front * fraction
+def chi2_prob(chi2: Column, ndf: Column) -> Column:
+    """P(chi-squared > chi2) with ``ndf`` degrees of freedom; meant for one row per pair of histograms.
 
+    The one value Spark has no expression for (it lacks the incomplete gamma
+    function), hence an Arrow-batched function. It is defined here so that it is
+    shipped by value and workers need not have this package.
+    """
 
-@F.pandas_udf("double")
-def _chi2_prob(chi2: pd.Series, ndf: pd.Series) -> pd.Series:
-    values = [
-        None if pd.isna(x) or pd.isna(n) or n <= 0 else upper_gamma_ratio(0.5 * n, 0.5 * x)
-        for x, n in zip(chi2.to_numpy(), ndf.to_numpy())
-    ]
-    return pd.Series(np.array(values, dtype=object), dtype="Float64").astype(object)
+    def upper_ratio(a: float, x: float) -> float:
+        """Regularised upper incomplete gamma: power series below a + 1, continued fraction above."""
+        if math.isnan(a) or math.isnan(x) or a <= 0.0 or x < 0.0:
+            return math.nan
+        if x == 0.0:
+            return 1.0
+        if math.isinf(x):
+            return 0.0
+        front = math.exp(a * math.log(x) - x - math.lgamma(a))
+        if x < a + 1.0:
+            total = term = 1.0 / a
+            n = a
+            while abs(term) > abs(total) * 1e-16:
+                n += 1.0
+                term *= x / n
+                total += term
+            return 1.0 - front * total
+        tiny = 1e-300
+        b = x + 1.0 - a
+        c, d = 1.0 / tiny, 1.0 / b
+        fraction, step, i = d, 0.0, 0
+        while abs(step - 1.0) > 1e-15 and i < 10_000:
+            i += 1
+            numerator = -i * (i - a)
+            b += 2.0
+            d = 1.0 / ((numerator * d + b) or tiny)
+            c = (b + numerator / c) or tiny
+            step = c * d
+            fraction *= step
+        return front * fraction
 
+    def probability(chi2: pd.Series, ndf: pd.Series) -> pd.Series:
+        return pd.Series([upper_ratio(0.5 * n, 0.5 * x) for x, n in zip(chi2, ndf)], dtype="float64")
 
-def chi2_prob(chi2: Column, ndf: Column) -> Column:
-    """P(chi-squared > chi2) with ``ndf`` degrees of freedom; meant for one row per pair of histograms."""
-    return _chi2_prob(chi2.cast("double"), ndf.cast("double"))
+    value = F.pandas_udf(probability, DoubleType())(chi2.cast("double"), ndf.cast("double"))
+    return F.when(chi2.isNotNull() & (ndf > 0), value)
