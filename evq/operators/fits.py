@@ -247,9 +247,15 @@ def grouped_impact_table(impacts: DataFrame, descending: bool = False) -> DataFr
     return impacts.orderBy(*order).select("name", (100.0 * F.bround("avg", 3)).alias("impact"))
 
 
-def pulls_by_category(params: DataFrame, systematics: DataFrame) -> DataFrame:
+def pulls_by_category(params: DataFrame, systematics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Fit parameters that have systematic metadata ``(name, category, title)``, one row each with its
     category: a category is a key of the rows, never one gathered list."""
     return params.join(systematics, "name").select(
-        "category", "name", "title", F.col("central").alias("mean"), F.col("sig_hi").alias("plus"), F.col("sig_lo").alias("minus")
+        "category",
+        "name",
+        "title",
+        F.col("central").alias("mean"),
+        F.col("sig_hi").alias("plus"),
+        F.col("sig_lo").alias("minus"),
+        *keep,
     )
