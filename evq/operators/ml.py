@@ -80,20 +80,19 @@ def fit_classifier(
         labelCol=label,
         weightCol=weight,
         predictionCol="_prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
         maxIter=int(rounds),
         stepSize=float(axes["learning_rate"]),
         maxDepth=int(axes["max_depth"]),
         minInstancesPerNode=int(axes["min_child_samples"]),
-        cacheNodeIds=True,
         checkpointInterval=10,
         maxMemoryInMB=1024,
+        validationTol=float(tolerance),
         seed=seed,
     )
+    trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     if validation is not None:
         train = train.withColumn("_validation", validation)
-        trees = trees.setValidationIndicatorCol("_validation").setValidationTol(float(tolerance))
+        trees = trees.setValidationIndicatorCol("_validation")
     assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     return Pipeline(stages=[assemble, trees]).fit(train)
 
@@ -159,31 +158,45 @@ def single_training(
     nbins: int = 30,
 ) -> tuple[PipelineModel, DataFrame]:
     """Split, fit, and judge on the test rows: the model and a one-row summary table."""
-    spark = df.sparkSession
     features = list(features or feature_columns(df, key))
+    with persisted(_split_once(df, key, features, test_size)) as table:
+        return _train_and_judge(table, key, features, axes, rounds, early_stop, selection, extra, nbins)
+
+
+def _split_once(df: DataFrame, key: str, features: Sequence[str], test_size: float) -> DataFrame:
+    return df.select(key, *features, "label", "weight", split_label(key, test_size).alias("split"))
+
+
+def _train_and_judge(
+    table: DataFrame,
+    key: str,
+    features: Sequence[str],
+    axes: Mapping[str, float] | None,
+    rounds: int,
+    early_stop: bool = True,
+    selection: str = "",
+    extra: Mapping | None = None,
+    nbins: int = 30,
+) -> tuple[PipelineModel, DataFrame]:
+    """The training on a persisted table that already has its ``split``."""
+    spark = table.sparkSession
     axes = train_axes(**(axes or {}))
-    with persisted(df.withColumn("split", split_label(key, test_size))) as table:
-        train = table.filter("split = 'train'")
-        validation = in_fraction(key, 0.2, f"{config.RANDOM_STATE}:valid") if early_stop else None
-        model = fit_classifier(train, features, axes, rounds, validation)
-        with persisted(with_score(table, model).select(key, "label", "weight", "split", "score")) as scored:
-            shapes = response_histograms(scored, nbins=nbins)
-            tests = training_quality(response_ks(shapes))
-            aucs = weighted_auc(scored, by=["split"]).agg(
-                F.max(F.when(F.col("split") == "test", F.col("auc"))).alias("auc"),
-                F.max(F.when(F.col("split") == "train", F.col("auc"))).alias("auc_train"),
-            )
-            judged = aucs.select(
-                "auc",
-                "auc_train",
-                *[tests.select(c).scalar().alias(c) for c in ("ks_test_sig", "ks_pvalue_sig", "ks_test_bkg", "ks_pvalue_bkg", "bad_ks")],
-            ).first()
-            curves = [tuple(r) for r in shapes.orderBy("split", "label", "bin").collect()]
+    validation = in_fraction(key, 0.2, f"{config.RANDOM_STATE}:valid") if early_stop else None
+    model = fit_classifier(table.filter("split = 'train'"), features, axes, rounds, validation)
+    with persisted(with_score(table, model).select("label", "weight", "split", "score")) as scored:
+        shapes = response_histograms(scored, nbins=nbins)
+        # At most four histograms of nbins rows: the tests run on the finished shapes, not on the events again.
+        curves = [tuple(r) for r in shapes.orderBy("split", "label", "bin").collect()]
+        shapes = spark.createDataFrame(curves, shapes.schema)
+        tests = training_quality(response_ks(shapes)).first().asDict()
+        aucs = {r["split"]: r["auc"] for r in weighted_auc(scored, by=["split"]).collect()}
     gain, split = importances(model)
     row = {
-        **judged.asDict(),
+        **tests,
+        "auc": aucs.get("test"),
+        "auc_train": aucs.get("train"),
         "selection_used": selection,
-        "features": features,
+        "features": list(features),
         "set_params": {k: float(v) for k, v in axes.items()},
         "ignored_params": ignored_axes(axes),
         "best_iteration": best_iteration(model) if early_stop else -1,
@@ -278,12 +291,9 @@ def parameter_scan(
     """One training per grid point, a few at a time so that the cluster stays busy between the small jobs of
     a boosting round: ``name, auc, ks..., bad_ks, best_iteration`` and the parameters as JSON."""
     points = grid_points(grid)
-    with persisted(df) as table, ThreadPoolExecutor(parallelism) as pool:
-        done = list(
-            pool.map(
-                lambda p: single_training(table, key, features, p, rounds, test_size=test_size)[1].first(), points
-            )
-        )
+    features = list(features or feature_columns(df, key))
+    with persisted(_split_once(df, key, features, test_size)) as table, ThreadPoolExecutor(parallelism) as pool:
+        done = list(pool.map(lambda p: _train_and_judge(table, key, features, p, rounds)[1].first(), points))
     rows = [
         (
             "_".join(f"{a}-{v}" for a, v in point.items()),

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("frame_queries", "hist_queries", "ranking_queries", "fit_queries")
+_MODULES = ("frame_queries", "hist_queries", "ranking_queries", "fit_queries", "ml_queries")
 
 
 def query(name: str, sql: str | None = None):
