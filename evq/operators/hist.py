@@ -78,17 +78,18 @@ def weighted_histogram(
 
 
 def density_histogram(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts and errors divided by the area of their histogram; null when the area is 0."""
+    """Counts and errors divided by the total and the bin's width, so that the area is 1; null when the total is 0."""
     bins = F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "count", "err")))
-    area = F.aggregate(F.col("_h"), F.lit(0.0), lambda acc, b: acc + b["count"] * (b["hi"] - b["lo"]))
-    rows = hist.groupBy(*by).agg(bins.alias("_h")).withColumn("_area", area)
-    return rows.select(*by, "_area", F.inline("_h")).select(
+    total = F.aggregate(F.col("_h"), F.lit(0.0), lambda acc, b: acc + b["count"])
+    rows = hist.groupBy(*by).agg(bins.alias("_h")).withColumn("_total", total)
+    scale = F.col("_total") * (F.col("hi") - F.col("lo"))
+    return rows.select(*by, "_total", F.inline("_h")).select(
         *by,
         "bin",
         "lo",
         "hi",
-        F.try_divide("count", "_area").alias("count"),
-        F.try_divide("err", "_area").alias("err"),
+        F.try_divide(F.col("count"), scale).alias("count"),
+        F.try_divide(F.col("err"), scale).alias("err"),
     )
 
 
