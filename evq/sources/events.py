@@ -49,14 +49,20 @@ def read_events(
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, name`` of the files below a folder. Only the listing is read, never the contents."""
-    return (
+    """``path, name`` of the files below a folder, empty ones included.
+
+    This is the listing Spark's file index holds on the driver for any read of
+    the folder; no file is opened.
+    """
+    listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+        .inputFiles()
     )
+    files = spark.createDataFrame([(f,) for f in listing], "path string")
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
 # --- file names -----------------------------------------------------------------
@@ -114,7 +120,7 @@ def sample_group(
 def sample_files(
     spark: SparkSession, path: str, campaign: str | None = None, tree: str = "nominal"
 ) -> dict[str, list[str]]:
-    """Group name to sorted file paths, for :func:`read_events`. The listing is a driver-side file index anyway."""
+    """Group name to sorted file paths, for :func:`read_events`."""
     found: dict[str, list[str]] = {group: [] for group in (*config.SAMPLE_GROUPS, "Data")}
     rows = sample_group(list_files(spark, path), campaign=campaign, tree=tree).filter("sample_group IS NOT NULL")
     for row in rows.select("sample_group", "path").toLocalIterator():
