@@ -10,13 +10,20 @@ from evq import config
 SPAN = 2**32
 
 
-def hash_unit(key: Column | str, seed: int | str = config.RANDOM_STATE) -> Column:
-    """Uniform integer in [0, 2^32): the first 8 hex digits of ``md5(seed:key)``."""
+def hash_digits(key: Column | str, seed: int | str = config.RANDOM_STATE) -> Column:
+    """First 8 hex digits of ``md5(seed:key)``. Their string order is their order as numbers."""
     key = F.col(key) if isinstance(key, str) else key
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8)
+
+
+def hash_unit(key: Column | str, seed: int | str = config.RANDOM_STATE) -> Column:
+    """The digits as a uniform integer in [0, 2^32)."""
+    return F.conv(hash_digits(key, seed), 16, 10).cast("long")
 
 
 def in_fraction(key: Column | str, fraction: float, seed: int | str = config.RANDOM_STATE) -> Column:
     """True for about ``fraction`` of the keys."""
-    return hash_unit(key, seed) < F.lit(int(round(fraction * SPAN)))
+    limit = int(round(fraction * SPAN))
+    if limit >= SPAN:
+        return F.lit(True)
+    return hash_digits(key, seed) < F.lit(f"{limit:08x}")

@@ -115,9 +115,33 @@ def best_iteration(model: PipelineModel) -> int:
 
 def with_score(df: DataFrame, model: PipelineModel, name: str = "score", raw: bool = False) -> DataFrame:
     """Add P(signal), or the raw response, of a model (the column keeps its place if it exists)."""
-    keep = [c for c in df.columns if c != name]
-    source = vector_to_array("_raw" if raw else "_probability")[1]
-    return model.transform(df).select(*keep, source.alias(name))
+    return _with_scores(df, {name: model}, raw=raw)
+
+
+def _with_scores(
+    df: DataFrame, models: Mapping[str, PipelineModel], where: Column | None = None, raw: bool = False
+) -> DataFrame:
+    """Add one score per model, null where ``where`` is not true.
+
+    The condition wraps each score as it is made, so the trees are evaluated
+    only for rows that pass it; models of the same features share one assembly.
+    """
+    keep = [c for c in df.columns if c not in models]
+    if where is not None:
+        df = df.withColumn("_where", where)
+        keep = [*keep, "_where"]
+    assembled = None
+    for name, model in models.items():
+        features = _features(model)
+        if features != assembled:
+            df = model.stages[0].transform(df.drop("_features"))
+            assembled = features
+        score = vector_to_array("_raw" if raw else "_probability")[1]
+        if where is not None:
+            score = F.when(F.col("_where"), score)
+        df = _trees(model).transform(df).select(*keep, "_features", score.alias(name))
+        keep.append(name)
+    return df.drop("_features", "_where")
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
@@ -358,13 +382,11 @@ def apply_folded(
 ) -> DataFrame:
     """Score events with the mean of the fold models."""
     scored = df if name in df.columns else df.withColumn(name, F.lit(config.UNSCORED))
-    marks = [f"_score{i}" for i in range(len(models))]
-    passes = selection_column(scored, selection) if selection is not None else F.lit(True)
-    scored = scored.withColumn("_pass", passes)
-    for model, mark in zip(models, marks):
-        scored = with_score(scored, model, mark)
-    mean = sum((F.col(m) for m in marks[1:]), F.col(marks[0])) / F.lit(float(len(marks)))
-    return scored.withColumn(name, F.when(F.col("_pass"), mean).otherwise(F.col(name))).drop("_pass", *marks)
+    marks = {f"_score{i}": model for i, model in enumerate(models)}
+    where = selection_column(scored, selection) if selection is not None else None
+    mean = sum((F.col(m) for m in list(marks)[1:]), F.col("_score0")) / F.lit(float(len(marks)))
+    scored = _with_scores(scored, marks, where)
+    return scored.withColumn(name, F.coalesce(mean, F.col(name))).drop(*marks)
 
 
 def combine_scores(df: DataFrame, scores: Sequence[tuple[str, str]], name: str = "response") -> DataFrame:

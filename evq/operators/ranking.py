@@ -95,6 +95,9 @@ def _points(df, score, label, weight, by) -> DataFrame:
 
     Offsets come from one coarser level (cells of 1e-4 in score, at most
     ``FANOUT`` points each); its own running sum is taken per unit of 10 in score.
+    The levels are joined null-safe: groups with a null key stay, and no null
+    filter is pushed into one branch only, so the branches share one scan and
+    one shuffle of the events.
     """
     points = _grid_sums(df, score, label, weight, by).withColumn("_up", _parent(F.col("cell")))
     coarse = points.groupBy(*by, F.col("_up").alias("cell")).agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
@@ -107,28 +110,33 @@ def _points(df, score, label, weight, by) -> DataFrame:
         *[F.coalesce(F.sum(c).over(_above(by)), F.lit(0.0)).alias(f"{c}_unit") for c in "sb"],
         *[F.sum(c).over(every).alias(f"{c}_all") for c in "sb"],
     )
-    offsets = coarse.select(
+    coarse = coarse.select(
         *by,
         F.col("cell").alias("_up"),
         "_up2",
         *[F.coalesce(F.sum(c).over(_above(by, "_up2")), F.lit(0.0)).alias(f"{c}_coarse") for c in "sb"],
-    ).join(units, [*by, "_up2"])
+    )
+    offsets = _joined(coarse, units, [*by, "_up2"]).drop("_up2")
     inside = (
         Window.partitionBy(*by, "_up").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        points.withColumns({f"{c}_here": F.sum(c).over(inside) for c in "sb"})
-        .join(offsets.drop("_up2"), [*by, "_up"])
-        .select(
-            *by,
-            "cell",
-            *[(F.col(f"{c}_here") + F.col(f"{c}_coarse") + F.col(f"{c}_unit")).alias(f"{c}_in") for c in "sb"],
-            "s_all",
-            "b_all",
-        )
+    return _joined(points.withColumns({f"{c}_here": F.sum(c).over(inside) for c in "sb"}), offsets, [*by, "_up"]).select(
+        *by,
+        "cell",
+        *[(F.col(f"{c}_here") + F.col(f"{c}_coarse") + F.col(f"{c}_unit")).alias(f"{c}_in") for c in "sb"],
+        "s_all",
+        "b_all",
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe equi-join; the keys are kept once."""
+    marks = {f"_right{i}": k for i, k in enumerate(keys)}
+    right = right.select(*[F.col(k).alias(m) for m, k in marks.items()], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(m)) for m, k in marks.items()]
+    return left.join(right, same).drop(*marks)
+
+
 def mean_roc(
     df: DataFrame,
     fold: str = "fold",

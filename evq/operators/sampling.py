@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evq import config
-from evq.functions.keys import hash_unit, in_fraction
+from evq.functions.keys import hash_digits, hash_unit, in_fraction
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = config.RANDOM_STATE) -> DataFrame:
@@ -17,7 +17,7 @@ def sample_n_per_class(
     df: DataFrame, n: int, key: str, label: str = "label", seed: int = config.RANDOM_STATE
 ) -> DataFrame:
     """The ``n`` signal and ``n`` background events with the smallest hash (two top-n, no global sort)."""
-    order = hash_unit(key, seed)
+    order = hash_digits(key, seed)
     parts = [df.filter(F.col(label) == value).orderBy(order, F.col(key)).limit(n) for value in (1, 0)]
     return parts[0].unionByName(parts[1])
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from evq import config
 from evq.functions.regions import by_name, categorize_columns, features_for, normalize_region
+from evq.functions.selections import selection_for
 from evq.operators import frames, prep, sampling
 from evq.plans.catalog import query, rounded, unit_sql
 from evq.plans.views import (
@@ -19,6 +22,7 @@ from evq.plans.views import (
     table,
     wide_events,
 )
+from evq.plans.session import shared_folder
 from evq.sources import events as sources
 
 EV = f"WITH ev AS ({EVENT_SQL})"
@@ -119,16 +123,35 @@ def _region_sample_columns(region: str) -> list[str]:
 
 
 @query(
-    "write_region_samples",
+    "region_sample",
     f"{WD} SELECT {cols(*_region_sample_columns('1j1b'))} FROM ev "
     "WHERE reg1j1b AND OS = 1 AND sample_group IN ('tW_DR', 'tW_DS', 'ttbar')",
 )
 def _(spark, sf):
-    # The table one region's write produces; writing and reading back is covered by tests.
     df = wide_events(spark, sf).filter(F.col("sample_group").isin("tW_DR", "tW_DS", "ttbar"))
     return sources.region_sample(df, "1j1b", key="sample_group")
 
 
+@query(
+    "write_region_samples",
+    f"""{WD} SELECT CASE WHEN reg1j1b THEN '1j1b' WHEN reg2j1b THEN '2j1b' ELSE '2j2b' END AS region, sample_group,
+      count(*) AS events, round(sum(weight_nominal), 6) AS weight, round(sum(pTsys_lep1lep2), 2) AS total FROM ev
+    WHERE (reg1j1b OR reg2j1b OR reg2j2b) AND OS = 1 AND sample_group IN ('tW_DR', 'tW_DS', 'ttbar') GROUP BY ALL""",
+)
+def _(spark, sf):
+    written = sources.write_region_samples(wide_events(spark, sf), shared_folder(spark, "samples"))
+    parts = [
+        spark.read.parquet(path).select(F.lit(region).alias("region"), "sample_group", "weight_nominal", "pTsys_lep1lep2")
+        for region, path in written.items()
+    ]
+    sums = reduce(lambda a, b: a.unionByName(b), parts).groupBy("region", "sample_group").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.sum("weight_nominal").alias("weight"),
+        F.sum("pTsys_lep1lep2").alias("total"),
+    )
+    return rounded(rounded(sums, 6, "weight"), 2, "total")
+
+
 # --- rows and columns -----------------------------------------------------------
 
 _SPELLINGS = {
@@ -402,6 +425,21 @@ def _(spark, sf):
     return rounded(prepared, 8, "weight")
 
 
+@query(
+    "save_and_load_prepared",
+    _prepared_sql("process = 'tW_DR'", "process = 'ttbar'", "weight_nominal", "weight_nominal"),
+)
+def _(spark, sf):
+    df = wide_events(spark, sf)
+    prepared = prep.prepare_training(
+        df.filter("process = 'tW_DR'"), df.filter("process = 'ttbar'"), "2j2b", key=KEY, weight_mean=1.0
+    )
+    folder = shared_folder(spark, "prepared")
+    sources.save_prepared(prepared, folder, selection_for("2j2b"), "2j2b")
+    table_, _ = sources.load_prepared(spark, folder)
+    return rounded(table_, 8, "weight")
+
+
 @query(
     "prepare_from_samples",
     _prepared_sql(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evq.functions.stats import kolmogorov_prob
+from evq.functions.stats import chi2_prob, kolmogorov_prob
 from evq.operators import compare, features, frames, hist
 from evq.plans.catalog import bin_sql, edge_sql, query, rounded
 from evq.plans.views import EVENT_SQL, WIDE_SQL, events, table, wide_events
@@ -452,11 +452,26 @@ def _(spark, sf):
     return rounded(test, 6, "chi2")
 
 
-@query("chi2_prob")
+@query("chi2_two_sample_pvalue")
 def _(spark, sf):
     return rounded(compare.chi2_two_sample(_pairs(spark, sf), ["region"]), 6, "chi2", "chi2_pvalue")
 
 
+# An even number of degrees of freedom has a closed form: exp(-x/2) times a partial sum of the exponential series.
+@query(
+    "chi2_prob",
+    """WITH t AS (SELECT l_partkey, avg(l_extendedprice) / 2000.0 AS chi2, 2 * (1 + l_partkey % 20) AS ndf
+      FROM lineitem GROUP BY l_partkey)
+    SELECT l_partkey, ndf, round(exp(-chi2 / 2) * list_sum(list_transform(range(ndf // 2), lambda k: pow(chi2 / 2, k) / gamma(k + 1))), 7)
+      AS chi2_pvalue FROM t""",
+)
+def _(spark, sf):
+    tests = table(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        (F.avg("l_extendedprice") / 2000.0).alias("chi2"), F.expr("2 * (1 + l_partkey % 20)").alias("ndf")
+    )
+    return tests.select("l_partkey", "ndf", F.round(chi2_prob(F.col("chi2"), F.col("ndf")), 7).alias("chi2_pvalue"))
+
+
 def _triplet_sql(up: str, down: str) -> str:
     return f"""{EV}, h AS (SELECT {bin_sql('mass_lep1jet1', *MASS, True)} AS bin, sum(weight_nominal) AS nominal,
       sum(weight_sys_pileup_UP) AS up, sum(weight_sys_pileup_DOWN) AS down FROM ev GROUP BY 1),

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+# A name that is no number and no gamma parameter, then three numbers.
+_FIT_LINE = rf"^\s*(?!{_NUMBER}\s|gamma)\S+(?:\s+{_NUMBER}){{3}}\s*$"
 
 
 def read_lines(spark: SparkSession, paths, pattern: str = "*") -> DataFrame:
@@ -22,8 +24,13 @@ def read_lines(spark: SparkSession, paths, pattern: str = "*") -> DataFrame:
     )
 
 
-def _tokens() -> Column:
-    return F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+def _words(n: int) -> Column:
+    """Does the line have exactly ``n`` words? One pattern in the filter, so that only these lines are split."""
+    return F.col("value").rlike(rf"^\s*\S+(?:\s+\S+){{{n - 1}}}\s*$")
+
+
+def _word(i: int) -> Column:
+    return F.element_at(F.split(F.trim("value"), r"\s+"), i)
 
 
 def file_stem(path: Column) -> Column:
@@ -34,19 +41,13 @@ def parse_fit_params(lines: DataFrame) -> DataFrame:
     """``fit, name, central, sig_hi, sig_lo`` of each ``name central up down`` line.
 
     Headers, the correlation matrix and the closing lines do not have this
-    shape: a name that is no number followed by exactly three numbers. Hence no
-    line order is needed and a file may be split. ``gamma*`` lines are skipped.
+    shape, hence no line order is needed and a file may be split. ``gamma*``
+    lines are skipped.
     """
-    t = F.col("_t")
-    numbers = [F.element_at(t, i) for i in (2, 3, 4)]
-    rows = lines.withColumn("_t", _tokens()).filter(F.size("_t") == 4)
-    for number in numbers:
-        rows = rows.filter(number.rlike(_NUMBER))
-    name = F.element_at(t, 1)
-    return rows.filter(~name.rlike(_NUMBER) & ~name.startswith("gamma")).select(
+    return lines.filter(F.col("value").rlike(_FIT_LINE)).select(
         file_stem(F.col("path")).alias("fit"),
-        name.alias("name"),
-        *[n.cast("double").alias(c) for n, c in zip(numbers, ("central", "sig_hi", "sig_lo"))],
+        _word(1).alias("name"),
+        *[_word(i).cast("double").alias(c) for i, c in enumerate(("central", "sig_hi", "sig_lo"), 2)],
     )
 
 
@@ -56,15 +57,10 @@ def read_fit_params(spark: SparkSession, paths) -> DataFrame:
 
 def parse_np_ranking(lines: DataFrame) -> DataFrame:
     """``name central sig_up sig_down post_up post_down pre_up pre_down``, rounded to 6 digits."""
-    t = F.col("_t")
     order = ["central", "sig_hi", "sig_lo", "post_up", "post_down", "pre_up", "pre_down"]
-    return (
-        lines.withColumn("_t", _tokens())
-        .filter(F.size("_t") == 8)
-        .select(
-            F.regexp_replace(file_stem(F.col("path")), "^NPRanking_", "").alias("name"),
-            *[F.bround(F.element_at(t, i).cast("double"), 6).alias(c) for i, c in enumerate(order, 2)],
-        )
+    return lines.filter(_words(8)).select(
+        F.regexp_replace(file_stem(F.col("path")), "^NPRanking_", "").alias("name"),
+        *[F.bround(_word(i).cast("double"), 6).alias(c) for i, c in enumerate(order, 2)],
     )
 
 
@@ -78,16 +74,14 @@ def clean_group_name(name: Column) -> Column:
 
 def parse_grouped_impacts(lines: DataFrame, include_total: bool = False) -> DataFrame:
     """``name, avg, sig_lo, sig_hi`` of six-token lines such as ``Group 0.05 ( +0.05, -0.04 )``."""
-    t = F.col("_t")
-    name = F.element_at(t, 1)
-    rows = lines.withColumn("_t", _tokens()).filter(F.size("_t") == 6)
+    rows = lines.filter(_words(6))
     if not include_total:
-        rows = rows.filter(name != "FullSyst")
+        rows = rows.filter(~F.ltrim("value").rlike(r"^FullSyst\s"))
     return rows.select(
-        clean_group_name(name).alias("name"),
-        F.element_at(t, 2).cast("double").alias("avg"),
-        F.element_at(t, 5).cast("double").alias("sig_lo"),
-        F.regexp_replace(F.element_at(t, 4), ".$", "").cast("double").alias("sig_hi"),
+        clean_group_name(_word(1)).alias("name"),
+        _word(2).cast("double").alias("avg"),
+        _word(5).cast("double").alias("sig_lo"),
+        F.regexp_replace(_word(4), ".$", "").cast("double").alias("sig_hi"),
     )
 
 
