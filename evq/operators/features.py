@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PAIR_EXPRESSIONS = 200
+MAX_PAIR_EXPRESSIONS = 20
 
 
 def _numeric(df: DataFrame, columns) -> list[str]:
@@ -53,9 +53,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Pearson coefficients of all feature pairs over the rows where both are present:
     ``pos_a, feature_a, pos_b, feature_b, coeff`` with ``pos_a < pos_b``.
 
-    Up to ``MAX_PAIR_EXPRESSIONS`` pairs are one aggregate of ``corr``. Beyond, one
-    pass of matrix products per Arrow batch, summed over the batches: the work
-    per row stays vectorised and the shuffle is features squared per task.
+    Up to ``MAX_PAIR_EXPRESSIONS`` pairs are one aggregate of ``corr``; with more, its
+    buffer outgrows code generation (171 pairs took 112 s, against 8 s below, on
+    600,000 rows). Beyond, one pass of matrix products per Arrow batch, summed over
+    the tasks: the work per row is vectorised and the shuffle is features squared
+    per task.
     """
     columns = _numeric(df, columns)
     pairs = list(combinations(range(len(columns)), 2))

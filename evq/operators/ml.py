@@ -18,7 +18,7 @@ from itertools import product
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ from evq.operators.ranking import (
 from evq.operators.sampling import kfold_assign, split_label
 from evq.plans.session import ensure_checkpoint_dir
 
+# MLlib takes no missing values: they become a value below every real one, which a split can separate.
+MISSING = -1e30
 IGNORED_AXES = ("num_leaves", "reg_lambda")
 SELECTOR_AXES = {"learning_rate": 0.1, "max_depth": 5, "min_child_samples": 20}
 
@@ -51,6 +53,14 @@ def persisted(df: DataFrame):
         df.unpersist()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows evenly over the cluster, by hash of the row key. A selection leaves partitions of very unequal
+    size; boosting passes over the table hundreds of times, so one shuffle beforehand pays."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key)
+
+
 def feature_columns(df: DataFrame, key: str | None = None) -> list[str]:
     """The features of a prepared table: every column but key, label, weight and split marks."""
     return [c for c in df.columns if c not in {key, "label", "weight", "split", "fold"}]
@@ -93,8 +103,10 @@ def fit_classifier(
     if validation is not None:
         train = train.withColumn("_validation", validation)
         trees = trees.setValidationIndicatorCol("_validation")
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[assemble, trees]).fit(train)
+    filled = ", ".join(f"coalesce(nanvl(`{f}`, CAST(NULL AS DOUBLE)), {MISSING}D) AS `_in_{f}`" for f in features)
+    fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    assemble = VectorAssembler(inputCols=[f"_in_{f}" for f in features], outputCol="_features")
+    return Pipeline(stages=[fill, assemble, trees]).fit(train)
 
 
 def ignored_axes(axes: Mapping[str, float]) -> list[str]:
@@ -106,7 +118,7 @@ def _trees(model: PipelineModel):
 
 
 def _features(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+    return [c.removeprefix("_in_") for c in model.stages[-2].getInputCols()]
 
 
 def best_iteration(model: PipelineModel) -> int:
@@ -134,7 +146,8 @@ def _with_scores(
     for name, model in models.items():
         features = _features(model)
         if features != assembled:
-            df = model.stages[0].transform(df.drop("_features"))
+            for stage in model.stages[:-1]:
+                df = stage.transform(df.drop("_features"))
             assembled = features
         score = vector_to_array("_raw" if raw else "_probability")[1]
         if where is not None:
@@ -188,7 +201,8 @@ def single_training(
 
 
 def _split_once(df: DataFrame, key: str, features: Sequence[str], test_size: float) -> DataFrame:
-    return df.select(key, *features, "label", "weight", split_label(key, test_size).alias("split"))
+    table = df.select(key, *features, "label", "weight", split_label(key, test_size).alias("split"))
+    return spread(table, key)
 
 
 def _train_and_judge(
@@ -271,7 +285,7 @@ def folded_training(
     averaged, normalised importances. Each fold is scored by the model that did not see it."""
     spark = df.sparkSession
     features = list(features or feature_columns(df, key))
-    with persisted(kfold_assign(df, key, k)) as table:
+    with persisted(spread(kfold_assign(df.select(key, *features, "label", "weight"), key, k), key)) as table:
         models = [fit_classifier(table.filter(F.col("fold") != i), features, axes, rounds) for i in range(k)]
         held_out = [
             with_score(table.filter(F.col("fold") == i), m).select("label", "weight", "fold", "score")
@@ -429,7 +443,7 @@ def feature_importances_repeated(
     """``feature, importance``: mean gain over fits on ``n_fits`` different halves, highest first."""
     features = list(features or feature_columns(df, key))
     rows = []
-    with persisted(df) as table:
+    with persisted(spread(df.select(key, *features, "label", "weight"), key)) as table:
         for i in range(1, n_fits + 1):
             validation = in_fraction(key, test_size, i * config.RANDOM_STATE)
             model = fit_classifier(table, features, axes or SELECTOR_AXES, rounds, validation)
@@ -453,7 +467,7 @@ def iterative_remove_auc(
 ) -> DataFrame:
     """``feature, auc``: the AUC without each candidate, lowest (most missed) first."""
     candidates = list(candidates)[:max_features]
-    with persisted(df.withColumn("split", split_label(key, test_size))) as table:
+    with persisted(_split_once(df, key, candidates, test_size)) as table:
         rows = [
             (c, _auc_of_fit(table, [f for f in candidates if f != c], axes or SELECTOR_AXES, rounds))
             for c in candidates
@@ -472,7 +486,7 @@ def iterative_add_auc(
 ) -> DataFrame:
     """``n, feature, auc``: the AUC with the first 1, 2, ... candidates."""
     candidates = list(candidates)[:max_features]
-    with persisted(df.withColumn("split", split_label(key, test_size))) as table:
+    with persisted(_split_once(df, key, candidates, test_size)) as table:
         rows = [
             (n, candidates[n - 1], _auc_of_fit(table, candidates[:n], axes or SELECTOR_AXES, rounds))
             for n in range(1, len(candidates) + 1)

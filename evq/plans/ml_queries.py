@@ -23,7 +23,7 @@ def _prepared(spark, sf):
 def _model(spark, sf, table=None):
     """A model of the training rows; the boosting passes over its input several times, hence the cache."""
     if table is None:
-        with ml.persisted(_prepared(spark, sf)) as table:
+        with ml.persisted(ml.spread(_prepared(spark, sf), KEY)) as table:
             return _model(spark, sf, table)
     return ml.fit_classifier(table.filter(split_label(KEY, 0.4) == "train"), FEATURES, AXES, ROUNDS)
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("apply_all")
 def _(spark, sf):
-    with ml.persisted(_prepared(spark, sf)) as table:
+    with ml.persisted(ml.spread(_prepared(spark, sf), KEY)) as table:
         models = [_model(spark, sf, table.filter(F.col("pT_lep1") < 60)), _model(spark, sf, table)]
     trainings = [([models[0]], "OS == 1 && reg1j1b"), ([models[1]], "(OS == True) & (reg2j2b == True)")]
     return rounded(ml.apply_all(events(spark, sf), KEY, trainings), 6, "response")

@@ -47,6 +47,17 @@ def test_fit_and_score(table, model):
     assert ml.ignored_axes({"num_leaves": 3, "max_depth": 2}) == ["num_leaves"]
 
 
+def test_missing_values(table):
+    # A feature that is missing more often for background: being missing must itself be usable.
+    gaps = table.withColumn(
+        "good", F.when((F.col("label") == 0) & (F.hash("id") % 3 != 0), None).when(F.hash("id") % 7 == 0, float("nan")).otherwise(F.col("good"))
+    )
+    fitted = ml.fit_classifier(gaps, FEATURES, AXES, ROUNDS)
+    scored = ml.with_score(gaps, fitted)
+    assert scored.columns == [*gaps.columns, "score"] and scored.filter("score IS NULL").count() == 0
+    assert weighted_auc(scored).first()["auc"] > 0.85
+
+
 def test_importance(spark, model):
     gain, split = ml.importances(model)
     assert sum(gain.values()) == pytest.approx(1) and sum(split.values()) == pytest.approx(1)
