@@ -207,7 +207,7 @@ def _compared_sql(quantities: dict[str, tuple[str, str]], source: str = "fp") ->
         )
         rows.append(
             f"""SELECT a.name, '{shown}' AS quantity, a.{c} AS value_1, b.{c} AS value_2, '{rule}' AS rule,
-            CASE WHEN abs(a.{c}) {sign} abs(b.{c}) THEN 'fit0' ELSE 'fit1' END AS which, round({change}, 4) AS change
+            CASE WHEN abs(a.{c}) {sign} abs(b.{c}) THEN 'fit0' ELSE 'fit1' END AS which, {change} AS change
             FROM {source} a JOIN {source} b ON a.name = b.name AND a.fit = 'fit0' AND b.fit = 'fit1'"""
         )
     return " UNION ALL ".join(rows)
@@ -226,12 +226,12 @@ _NUISPAR = {
 
 @query("compare_uncertainty", f"{FP} {_compared_sql(_UNCERTAINTY)}")
 def _(spark, sf):
-    return rounded(fits.compare_uncertainty(fit_params(spark, sf), "fit0", "fit1"), 4, "change")
+    return fits.compare_uncertainty(fit_params(spark, sf), "fit0", "fit1")
 
 
 @query("compare_nuispar", f"{FP} {_compared_sql(_NUISPAR)}")
 def _(spark, sf):
-    return rounded(fits.compare_nuispar(fit_params(spark, sf), "fit0", "fit1"), 4, "change")
+    return fits.compare_nuispar(fit_params(spark, sf), "fit0", "fit1")
 
 
 @query(
@@ -240,7 +240,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     both = poi_fits(spark, sf).unionByName(shower_fits(spark, sf))
-    return rounded(fits.comparison_summary(both, "fit0", "fit1", nuispars=SHOWER_NAMES), 4, "change")
+    return fits.comparison_summary(both, "fit0", "fit1", nuispars=SHOWER_NAMES)
 
 
 # --- nominal against many -------------------------------------------------------

@@ -15,7 +15,7 @@ def sample(spark):
     rng = np.random.default_rng(7)
     n = 2000
     x = np.round(rng.normal(5, 3, n), 3)
-    x[:5] = [0.0, 10.0, 2.5, 10.0001, -0.0001]
+    x[:6] = [0.0, 10.0, 2.5, 10.0001, -0.0001, 1e300]
     w = rng.normal(1, 0.8, n)
     label = (rng.random(n) < 0.3).astype(int)
     rows = [(float(a), float(b), int(c)) for a, b, c in zip(x, w, label)]
