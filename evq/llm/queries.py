@@ -13,12 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evq.llm.token_files import token_table
 
     return token_table(table(spark, sf_dir, "documents")).drop("file")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.repeats import kept_words
+
+    return kept_words(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evq.llm.packing import pack_documents
 
@@ -26,7 +50,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op3_contamination": op3_contamination,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -158,3 +158,35 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray
 def count_by_document(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def without_words(words: Words, offsets: np.ndarray, removed: np.ndarray) -> dict[int, bytes]:
+    """New texts of the documents that lose words: each run of removed words goes with the separators after it."""
+    lost = count_by_document(removed, words.first)
+    texts = {}
+    for doc in np.flatnonzero(lost).tolist():
+        a, b = int(words.first[doc]), int(words.first[doc + 1])
+        begin, end = int(offsets[doc]), int(offsets[doc + 1])
+        gone = removed[a:b]
+        first = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]]))
+        last = np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]]))
+        starts = words.starts[a:b][first]
+        after = np.append(words.starts[a:b], end)[last + 1]
+        kept, at = [], begin
+        for cut_from, cut_to in zip(starts.tolist(), after.tolist(), strict=True):
+            kept.append(words.data[at:cut_from].tobytes())
+            at = cut_to
+        kept.append(words.data[at:end].tobytes())
+        texts[doc] = b"".join(kept)
+    return texts
+
+
+def replaced(column: pa.Array, texts: dict[int, bytes]) -> pa.Array:
+    """The column as strings with some rows replaced."""
+    column = column.cast(pa.string())
+    if not texts:
+        return column
+    mask = np.zeros(len(column), dtype=bool)
+    rows = sorted(texts)
+    mask[rows] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array([texts[r].decode("utf-8") for r in rows], pa.string()))
