@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +20,27 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.html_crf import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evq.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id.txt``."""
+    from evq.llm.licences import scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evq.llm.quality import quality
 
@@ -49,12 +65,28 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evq.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_main_text": op2_main_text,
     "op3_contamination": op3_contamination,
+    "op4_licences": op4_licences,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
