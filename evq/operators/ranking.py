@@ -1,10 +1,10 @@
 """Weighted ROC, AUC and response shapes without a global sort.
 
-Scores are put on a grid of 1e-9 (float near-ties would otherwise split a step
-of the curve) and summed per grid point, map-side first. The grid then folds
-level by level: a window never holds more than ``FANOUT`` rows whatever the
-number of events and however they crowd, because a parent cell has at most
-``FANOUT`` children. The top window holds one row per 10 units of score.
+Weights are summed per exact score, map-side first. Scores then fall into cells
+of a monotone function of their exponent and leading mantissa bits, and the cells
+fold level by level: whatever the number, range or crowding of the scores, a
+window never holds more than about a million distinct scores, 65,536 cells or
+4,096 top cells, and the order inside the finest cell is that of the exact score.
 """
 
 from __future__ import annotations
@@ -18,36 +18,47 @@ from evq.functions.binning import ranged
 from evq.operators.compare import ks_two_sample, pair_by
 from evq.operators.hist import densify, density_histogram
 
-DIGITS = 9
-FANOUT = 100_000
+#: Bits of a cell's number that one level folds away, and levels above the finest cells.
+FOLD_BITS = 16
 LEVELS = 2
 
 
-def _grid_sums(df: DataFrame, score: str, label: str, weight: str, by: Sequence[str]) -> DataFrame:
-    """Per grid point of the score: signal and background weight (``s``, ``b``)."""
+def _score_sums(df: DataFrame, score: str, label: str, weight: str, by: Sequence[str]) -> DataFrame:
+    """Per distinct score: signal and background weight (``s``, ``b``) and the finest cell. A missing score is an error."""
     is_signal = F.col(label) == 1
     w = F.col(weight)
+    value = F.col(score).cast("double")
+    missing = value.isNull() | F.isnan(value)
     return (
-        df.filter(F.col(score).isNotNull() & ~F.isnan(score))
-        .select(
+        df.select(
             *by,
-            F.round(F.col(score) * 10**DIGITS).cast("long").alias("cell"),
+            F.when(missing, F.raise_error(F.lit(f"{score} has null or NaN values: filter or fill them first"))).otherwise(value).alias("value"),
             F.when(is_signal, w).otherwise(0.0).alias("s"),
             F.when(is_signal, 0.0).otherwise(w).alias("b"),
         )
-        .groupBy(*by, "cell")
+        .groupBy(*by, "value")
         .agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
+        .withColumn("cell", _cell(F.col("value")))
     )
 
 
+def _cell(value: Column) -> Column:
+    """A non-decreasing integer function of the score: sign, binary exponent, leading 32 bits of the mantissa."""
+    size = F.abs(value)
+    exponent = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    lead = F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 2.0**-32), size / F.pow(F.lit(2.0), exponent) - 1.0))
+    number = ((exponent + 1023.0) * 2.0**32 + F.floor(lead * 2.0**32)).cast("long") + 1
+    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, number).otherwise(-number)
+
+
 def _parent(cell: Column) -> Column:
-    return F.floor(cell / F.lit(FANOUT)).cast("long")
+    return F.shiftright(cell, FOLD_BITS)
 
 
-def _above(by: Sequence[str], *partition: str):
-    """Everything in the same partition with a higher cell."""
+def _above(by: Sequence[str], *partition: str, order: str = "cell"):
+    """Everything in the same partition that is higher."""
     keys = [*by, *partition] or [F.lit(0)]
-    return Window.partitionBy(*keys).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def weighted_auc(
@@ -59,16 +70,18 @@ def weighted_auc(
     ``area = sum(child area) + sum(child b * signal weight in higher children)``,
     so one window and one aggregate per level are enough and nothing is joined back.
     """
-    cells = _grid_sums(df, score, label, weight, by).withColumn("area", F.col("s") * F.col("b") * 0.5)
-    for _ in range(LEVELS):
-        higher = F.coalesce(F.sum("s").over(_above(by, "_up")), F.lit(0.0))
+    rows = _score_sums(df, score, label, weight, by).withColumn("area", F.col("s") * F.col("b") * 0.5)
+    cells, order = rows.withColumnRenamed("cell", "_up"), "value"
+    for level in range(LEVELS + 1):
+        higher = F.coalesce(F.sum("s").over(_above(by, "_up", order=order)), F.lit(0.0))
         cells = (
-            cells.withColumn("_up", _parent(F.col("cell")))
-            .withColumn("area", F.col("area") + F.col("b") * higher)
+            cells.withColumn("area", F.col("area") + F.col("b") * higher)
             .groupBy(*by, "_up")
             .agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("area").alias("area"))
             .withColumnRenamed("_up", "cell")
         )
+        if level < LEVELS:
+            cells, order = cells.withColumn("_up", _parent(F.col("cell"))), "cell"
     higher = F.coalesce(F.sum("s").over(_above(by)), F.lit(0.0))
     return (
         cells.withColumn("area", F.col("area") + F.col("b") * higher)
@@ -84,48 +97,40 @@ def roc_curve(
     """``threshold, fpr, tpr`` at every distinct score (a row passes when its score is at least the threshold)."""
     return _points(df, score, label, weight, by).select(
         *by,
-        (F.col("cell") / F.lit(10**DIGITS)).alias("threshold"),
+        F.col("value").alias("threshold"),
         F.try_divide("b_in", "b_all").alias("fpr"),
         F.try_divide("s_in", "s_all").alias("tpr"),
     )
 
 
 def _points(df, score, label, weight, by) -> DataFrame:
-    """Grid points with the weights at or above them and the totals.
+    """Distinct scores with the weights at or above them and the totals.
 
-    Offsets come from one coarser level (cells of 1e-4 in score, at most
-    ``FANOUT`` points each); its own running sum is taken per unit of 10 in score.
-    The levels are joined null-safe: groups with a null key stay, and no null
-    filter is pushed into one branch only, so the branches share one scan and
-    one shuffle of the events.
+    Each level's cells get the running sum inside their parent; a cell's offset adds up those of
+    its ancestors. The levels are joined null-safe: groups with a null key stay, and no null
+    filter is pushed into one branch only, so the branches share one scan and one shuffle of
+    the events.
     """
-    points = _grid_sums(df, score, label, weight, by).withColumn("_up", _parent(F.col("cell")))
-    coarse = points.groupBy(*by, F.col("_up").alias("cell")).agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
-    coarse = coarse.withColumn("_up2", _parent(F.col("cell")))
-    units = coarse.groupBy(*by, F.col("_up2").alias("cell")).agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
+    points = _score_sums(df, score, label, weight, by)
     every = Window.partitionBy(*(list(by) or [F.lit(0)]))
-    units = units.select(
+    levels = [points.groupBy(*by, "cell").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))]
+    for _ in range(LEVELS):
+        up = levels[-1].select(*by, _parent(F.col("cell")).alias("cell"), "s", "b")
+        levels.append(up.groupBy(*by, "cell").agg(F.sum("s").alias("s"), F.sum("b").alias("b")))
+    offsets = levels[-1].select(
         *by,
-        F.col("cell").alias("_up2"),
-        *[F.coalesce(F.sum(c).over(_above(by)), F.lit(0.0)).alias(f"{c}_unit") for c in "sb"],
+        "cell",
+        *[F.coalesce(F.sum(c).over(_above(by)), F.lit(0.0)).alias(f"{c}_above") for c in "sb"],
         *[F.sum(c).over(every).alias(f"{c}_all") for c in "sb"],
     )
-    coarse = coarse.select(
-        *by,
-        F.col("cell").alias("_up"),
-        "_up2",
-        *[F.coalesce(F.sum(c).over(_above(by, "_up2")), F.lit(0.0)).alias(f"{c}_coarse") for c in "sb"],
-    )
-    offsets = _joined(coarse, units, [*by, "_up2"]).drop("_up2")
-    inside = (
-        Window.partitionBy(*by, "_up").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return _joined(points.withColumns({f"{c}_here": F.sum(c).over(inside) for c in "sb"}), offsets, [*by, "_up"]).select(
-        *by,
-        "cell",
-        *[(F.col(f"{c}_here") + F.col(f"{c}_coarse") + F.col(f"{c}_unit")).alias(f"{c}_in") for c in "sb"],
-        "s_all",
-        "b_all",
+    for level in reversed(levels[:-1]):
+        inside = level.withColumn("_up", _parent(F.col("cell")))
+        inside = inside.select(*by, "cell", "_up", *[F.coalesce(F.sum(c).over(_above(by, "_up")), F.lit(0.0)).alias(f"{c}_here") for c in "sb"])
+        both = _joined(inside, offsets.withColumnRenamed("cell", "_up"), [*by, "_up"])
+        offsets = both.select(*by, "cell", *[(F.col(f"{c}_here") + F.col(f"{c}_above")).alias(f"{c}_above") for c in "sb"], "s_all", "b_all")
+    within = Window.partitionBy(*by, "cell").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return _joined(points.withColumns({f"{c}_here": F.sum(c).over(within) for c in "sb"}), offsets, [*by, "cell"]).select(
+        *by, "value", *[(F.col(f"{c}_here") + F.col(f"{c}_above")).alias(f"{c}_in") for c in "sb"], "s_all", "b_all"
     )
 
 

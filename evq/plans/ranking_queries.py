@@ -11,8 +11,8 @@ from evq.operators.sampling import kfold_assign, train_test_split
 
 KEY = "event_id"
 
-# label, weight, score rounded to the grid, process as a key, fold and split from the hash of the row key
-SCORED_SQL = f"""WITH raw AS ({EVENT_SQL}), ev AS (SELECT process, label, round(score, 9) AS s,
+# label, weight, exact score, process as a key, fold and split from the hash of the row key
+SCORED_SQL = f"""WITH raw AS ({EVENT_SQL}), ev AS (SELECT process, label, score AS s,
     CASE WHEN weight_nominal < 0 THEN 0 ELSE weight_nominal END AS w,
     CAST({unit_sql()} % 3 AS INT) AS fold,
     CASE WHEN {unit_sql()} < {int(round(0.4 * 2**32))} THEN 'test' ELSE 'train' END AS split FROM raw)"""
@@ -48,9 +48,25 @@ def _(spark, sf):
     return rounded(ranking.weighted_auc(_scored(spark, sf)), 9, "auc")
 
 
+def _scaled_sql(factor: str) -> str:
+    return f"""{SCORED_SQL}, {_auc_sql('process').replace('FROM ev', f'FROM (SELECT * REPLACE (s * CAST({factor} AS DOUBLE) AS s) FROM ev)')} SELECT process, round(auc, 9) AS auc FROM a"""
+
+
+@query("weighted_auc_tiny_scores", _scaled_sql("1e-12"))
+def _(spark, sf):
+    df = _scored(spark, sf).withColumn("score", F.col("score") * 1e-12)
+    return rounded(ranking.weighted_auc(df, by=["process"]), 9, "auc")
+
+
+@query("weighted_auc_huge_scores", _scaled_sql("1e11"))
+def _(spark, sf):
+    df = _scored(spark, sf).withColumn("score", F.col("score") * 1e11)
+    return rounded(ranking.weighted_auc(df, by=["process"]), 9, "auc")
+
+
 @query(
     "roc_curve",
-    f"""{SCORED_SQL}, {_points_sql('process')} SELECT process, s AS threshold, round(cb / nullif(tb, 0), 9) AS fpr,
+    f"""{SCORED_SQL}, {_points_sql('process')} SELECT process, round(s, 9) AS threshold, round(cb / nullif(tb, 0), 9) AS fpr,
       round(cs / nullif(ts, 0), 9) AS tpr FROM c""",
 )
 def _(spark, sf):
@@ -83,7 +99,7 @@ def _(spark, sf):
     return rounded(ranking.fold_summary(kfold_assign(_scored(spark, sf), KEY)), 9, "auc", "auc_std", "score")
 
 
-_RESPONSE_SQL = f"""{SCORED_SQL.replace('round(score, 9) AS s', 'score AS s')},
+_RESPONSE_SQL = f"""{SCORED_SQL},
     lim AS (SELECT min(s) FILTER (label = 0) AS lo, max(s) FILTER (label = 1) AS hi FROM ev),
     b AS (SELECT split, label, CASE WHEN s >= lo AND s <= hi THEN least(CAST(floor((s - lo) / ((hi - lo) / 30)) AS INT), 29) END AS bin, w FROM ev, lim),
     h AS (SELECT split, label, bin, sum(w) AS count, sqrt(sum(w * w)) AS err FROM b GROUP BY ALL),
