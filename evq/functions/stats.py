@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ def kolmogorov_prob(z: Column) -> Column:
     )
 
 
+#: Steps of an expansion of the chi-squared probability at most.
+STEPS = 100_000
+
+
 def chi2_prob(chi2: Column, ndf: Column) -> Column:
     """P(chi-squared > chi2) with ``ndf`` degrees of freedom; meant for one row per pair of histograms.
 
@@ -42,39 +47,50 @@ def chi2_prob(chi2: Column, ndf: Column) -> Column:
     shipped by value and workers need not have this package.
     """
 
-    def upper_ratio(a: float, x: float) -> float:
-        """Regularised upper incomplete gamma: power series below a + 1, continued fraction above."""
-        if math.isnan(a) or math.isnan(x) or a <= 0.0 or x < 0.0:
-            return math.nan
-        if x == 0.0:
-            return 1.0
-        if math.isinf(x):
-            return 0.0
-        front = math.exp(a * math.log(x) - x - math.lgamma(a))
-        if x < a + 1.0:
-            total = term = 1.0 / a
-            n = a
-            while abs(term) > abs(total) * 1e-16:
-                n += 1.0
-                term *= x / n
-                total += term
-            return 1.0 - front * total
+    steps = STEPS
+
+    def probability(chi2: pd.Series, ndf: pd.Series) -> pd.Series:
+        """Regularised upper incomplete gamma: power series below a + 1, continued fraction above; all rows at once.
+        What has not converged after ``STEPS`` steps is null."""
+        x, a = 0.5 * chi2.to_numpy(dtype=float), 0.5 * ndf.to_numpy(dtype=float)
+        result = np.full(len(x), np.nan)
+        result[(x == 0) & (a > 0)] = 1.0
+        result[np.isinf(x) & (x > 0) & (a > 0)] = 0.0
+        usable = (x > 0) & (a > 0) & np.isfinite(x) & np.isfinite(a)
+        log_gamma = np.array([math.lgamma(v) if v > 0 else np.nan for v in a])
+        front = np.exp(a * np.log(np.where(usable, x, 1.0)) - x - log_gamma)
+        rows = np.flatnonzero(usable & (x < a + 1.0))
+        total = 1.0 / a[rows]
+        term, n = total.copy(), a[rows].copy()
+        for _ in range(steps):
+            if not len(rows):
+                break
+            n += 1.0
+            term *= x[rows] / n
+            total += term
+            done = np.abs(term) <= np.abs(total) * 1e-16
+            result[rows[done]] = 1.0 - front[rows[done]] * total[done]
+            rows, total, term, n = rows[~done], total[~done], term[~done], n[~done]
+        rows = np.flatnonzero(usable & (x >= a + 1.0))
         tiny = 1e-300
-        b = x + 1.0 - a
-        c, d = 1.0 / tiny, 1.0 / b
-        fraction, step, i = d, 0.0, 0
-        while abs(step - 1.0) > 1e-15 and i < 10_000:
-            i += 1
-            numerator = -i * (i - a)
+        b = x[rows] + 1.0 - a[rows]
+        c, d = np.full(len(rows), 1.0 / tiny), 1.0 / b
+        fraction = d.copy()
+        for i in range(1, steps + 1):
+            if not len(rows):
+                break
+            numerator = -i * (i - a[rows])
             b += 2.0
-            d = 1.0 / ((numerator * d + b) or tiny)
-            c = (b + numerator / c) or tiny
+            d = numerator * d + b
+            d = 1.0 / np.where(d == 0, tiny, d)
+            c = b + numerator / c
+            c = np.where(c == 0, tiny, c)
             step = c * d
             fraction *= step
-        return front * fraction
-
-    def probability(chi2: pd.Series, ndf: pd.Series) -> pd.Series:
-        return pd.Series([upper_ratio(0.5 * n, 0.5 * x) for x, n in zip(chi2, ndf)], dtype="float64")
+            done = np.abs(step - 1.0) <= 1e-15
+            result[rows[done]] = front[rows[done]] * fraction[done]
+            rows, b, c, d, fraction = rows[~done], b[~done], c[~done], d[~done], fraction[~done]
+        return pd.Series(result)
 
     value = F.pandas_udf(probability, DoubleType())(chi2.cast("double"), ndf.cast("double"))
     return F.when(chi2.isNotNull() & (ndf > 0), value)

@@ -95,13 +95,17 @@ def density_histogram(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def histograms_by_variable(
     df: DataFrame,
-    binnings: Sequence[tuple],
+    binnings: Sequence[tuple] | DataFrame,
     weight: str | None = WEIGHT,
     by: Sequence[str] = (),
     flow: bool = False,
 ) -> DataFrame:
-    """Histograms of many variables in one scan. ``binnings`` holds ``(var, bins, range)``; the bin numbers
-    are computed before the rows are unpivoted, so no join with the binning is needed."""
+    """Histograms of many variables in one scan. ``binnings`` holds ``(var, bins, range)``, or is the table of
+    ``with_variable_binning``, which is collected: one row per variable of a region. The bin numbers are
+    computed before the rows are unpivoted, so no join with the binning is needed."""
+    if isinstance(binnings, DataFrame):
+        rows = binnings.select("var", "nbins", "xmin", "xmax").orderBy("var").collect()
+        binnings = [(r["var"], r["nbins"], (r["xmin"], r["xmax"])) for r in rows]
     edges = {var: edges_and_centers(bins, rng)[0] for var, bins, rng in binnings}
     entries = F.array(
         *[
@@ -301,6 +305,19 @@ def region_yields(
     )
 
 
+def region_yield_totals(
+    df: DataFrame, region: str = "region", process: str = "process", weight: str = WEIGHT
+) -> DataFrame:
+    """Yields with the totals of each region and of all regions, marked by ``level``: 0 process, 1 region, 2 all."""
+    w = F.col(weight)
+    return df.rollup(region, process).agg(
+        F.sum(w).alias("yield"),
+        F.sqrt(F.sum(w * w)).alias("err"),
+        F.count(F.lit(1)).alias("events"),
+        (F.grouping(region) + F.grouping(process)).cast("int").alias("level"),
+    )
+
+
 def two_sample_templates(
     df: DataFrame,
     column: str,

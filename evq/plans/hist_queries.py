@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evq.functions.regions import features_for
 from evq.functions.stats import chi2_prob, kolmogorov_prob
 from evq.operators import compare, features, frames, hist
 from evq.plans.catalog import bin_sql, edge_sql, query, rounded
@@ -125,6 +126,17 @@ def _(spark, sf):
     return rounded(h, 6, "count", "err")
 
 
+@query(
+    "histograms_by_variable_table",
+    f"{EV}, {_by_variable(_ROUNDED, 'weight_nominal', 'label', False)} SELECT * FROM d",
+)
+def _(spark, sf):
+    rows = [("2j2b", var, bins, lo, hi) for var, bins, (lo, hi) in _VARIABLES] + [("1j1b", "pT_lep1", 7, 0.0, 1.0)]
+    df = events(spark, sf)
+    binning = frames.with_variable_binning(df, spark.createDataFrame(rows, "region string, var string, nbins int, xmin double, xmax double"), "2j2b")
+    return rounded(hist.histograms_by_variable(df, binning, by=["label"]), 6, "count", "err")
+
+
 _SYSTEMATICS = ["weight_nominal", "weight_sys_pileup_UP", "weight_sys_pileup_DOWN", "weight_sys_noreweight"]
 
 
@@ -269,6 +281,16 @@ def _(spark, sf):
     return rounded(hist.region_yields(frames.add_region(events(spark, sf))), 6, "yield", "err")
 
 
+@query(
+    "region_yield_totals",
+    f"""{EV}, r AS (SELECT CASE WHEN reg1j1b THEN '1j1b' WHEN reg2j1b THEN '2j1b' WHEN reg2j2b THEN '2j2b' END AS region, process, weight_nominal AS w FROM ev)
+    SELECT region, process, round(sum(w), 6) AS yield, round(sqrt(sum(w * w)), 6) AS err, count(*) AS events,
+      CAST(grouping(region) + grouping(process) AS INT) AS level FROM r GROUP BY ROLLUP (region, process)""",
+)
+def _(spark, sf):
+    return rounded(hist.region_yield_totals(frames.add_region(events(spark, sf))), 6, "yield", "err")
+
+
 def _templates_sql() -> str:
     parts, rows = [], []
     for i, (region, (n, lo, hi), cut) in enumerate(
@@ -319,13 +341,19 @@ def _(spark, sf):
     return features.constant_columns(events(spark, sf), _STATISTICS)
 
 
-_CORRELATED = ["E_jet1", "mass_lep1jet1", "pT_jet2", "pT_lep1", "pTsys_lep1lep2", "score"]
-_CORR_SQL = " UNION ALL ".join(
-    f"SELECT {i} AS pos_a, '{a}' AS feature_a, {j} AS pos_b, '{b}' AS feature_b, round(corr({a}, {b}), 9) AS coeff FROM ev"
-    for i, a in enumerate(_CORRELATED)
-    for j, b in enumerate(_CORRELATED)
-    if i < j
-)
+_CORRELATED = ["E_jet1", "const_feature", "mass_lep1jet1", "pT_jet2", "pT_lep1", "pTsys_lep1lep2"]
+_WIDE = list(dict.fromkeys([*features_for("ALL"), "weight_nominal", "weight_tptrw_tool", "weight_trrw_tool", "weight_campaign", "score", "const_feature"]))
+
+
+def _corr_sql(columns: list[str], source: str) -> str:
+    """All coefficients in one aggregate, then one row each; null where a column does not vary."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    value = "CASE WHEN min({0}) < max({0}) AND min({1}) < max({1}) THEN round(corr({0}, {1}), 9) END AS c{2}_{3}"
+    row = ", ".join(value.format(columns[i], columns[j], i, j) for i, j in pairs)
+    return f"SELECT unnest([{', '.join(f"{{'pos_a': {i}, 'feature_a': '{columns[i]}', 'pos_b': {j}, 'feature_b': '{columns[j]}', 'coeff': c{i}_{j}}}" for i, j in pairs)}], recursive := true) FROM (SELECT {row} FROM {source})"
+
+
+_CORR_SQL = _corr_sql(_CORRELATED, "ev")
 
 
 @query("correlation_matrix", f"{EV} {_CORR_SQL}")
@@ -333,10 +361,9 @@ def _(spark, sf):
     return rounded(features.correlation_matrix(events(spark, sf), _CORRELATED), 9, "coeff")
 
 
-@query("correlation_matrix_products", f"{EV} {_CORR_SQL}")
+@query("correlation_matrix_products", f"WITH w AS ({WIDE_SQL}) {_corr_sql(_WIDE, 'w')}")
 def _(spark, sf):
-    # The one-pass form used for many features, on the same pairs.
-    return rounded(features._gramian(events(spark, sf), _CORRELATED), 9, "coeff")
+    return rounded(features.correlation_matrix(wide_events(spark, sf), _WIDE), 9, "coeff")
 
 
 @query(

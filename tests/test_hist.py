@@ -176,6 +176,21 @@ def test_chi2_prob(spark):
     assert got[:-1] == pytest.approx([p for *_, p in cases], rel=1e-12) and got[-1] is None
 
 
+def test_chi2_prob_of_large_and_odd_ndf(spark):
+    def upper(x, n):
+        """From erfc (odd) or exp (even) by the recurrence Q(a + 1, y) = Q(a, y) + y^a e^-y / gamma(a + 1)."""
+        y, a, q = x / 2, (0.5 if n % 2 else 1.0), (math.erfc(math.sqrt(x / 2)) if n % 2 else math.exp(-x / 2))
+        while a < n / 2:
+            q += math.exp(a * math.log(y) - y - math.lgamma(a + 1))
+            a += 1
+        return q
+
+    cases = [(x, n) for n in (3, 5, 7, 31, 101, 1001, 4000) for x in (0.2 * n, 0.9 * n, 1.1 * n, 1.5 * n)]
+    df = spark.createDataFrame([(i, x, n) for i, (x, n) in enumerate(cases)], "i int, x double, n int")
+    got = [r["p"] for r in df.select("i", chi2_prob(F.col("x"), F.col("n")).alias("p")).orderBy("i").collect()]
+    assert got == pytest.approx([upper(*c) for c in cases], rel=1e-9, abs=1e-12)
+
+
 def pair(spark, h1, e1, h2, e2):
     return spark.createDataFrame(
         [(i, float(a), float(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(h1, e1, h2, e2))],
@@ -248,15 +263,26 @@ def test_correlations_pairwise_complete(spark):
     import pandas as pd
 
     want = pd.DataFrame(x, columns=names).corr()
-    for matrix in (features.correlation_matrix(df, names), features._gramian(df, names)):
-        rows = matrix.collect()
-        assert len(rows) == 6
-        for r in rows:
-            assert r["coeff"] == pytest.approx(want.loc[r["feature_a"], r["feature_b"]], abs=1e-8)
+    rows = features.correlation_matrix(df, names).collect()
+    assert len(rows) == 6
+    for r in rows:
+        assert r["coeff"] == pytest.approx(want.loc[r["feature_a"], r["feature_b"]], abs=1e-8)
     found = features.correlated_pairs(features.correlation_matrix(df, names)).collect()
     assert [(r["drop_this"], r["because"]) for r in found] == [("b", "a")]
 
 
+@pytest.mark.parametrize("more", [0, 10])
+def test_correlations_with_constants_are_null(spark, more):
+    df = spark.range(1000).select(
+        F.col("id").cast("double").alias("a"), F.lit(0.1).alias("b"), (1e9 + F.col("id") * 1e-3).alias("c"), F.lit(None).cast("double").alias("d"),
+        *[(F.col("id") % (i + 2)).cast("double").alias(f"e{i}") for i in range(more)],
+    ).repartition(5)
+    got = {(r["feature_a"], r["feature_b"]): r["coeff"] for r in features.correlation_matrix(df).collect()}
+    assert len(got) == (4 + more) * (3 + more) // 2
+    assert got["a", "b"] is None and got["b", "c"] is None and got["a", "d"] is None
+    assert got["a", "c"] == pytest.approx(1.0, abs=1e-6)
+
+
 def test_many_features_use_one_pass(spark, capsys):
     names = [f"f{i}" for i in range(30)]
     df = spark.range(100).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(n) for i, n in enumerate(names)])
