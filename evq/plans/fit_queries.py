@@ -31,6 +31,7 @@ _FIT_LINE = """CASE l_linenumber
   WHEN 7 THEN concat('gamma_stat_bin_', CAST(l_partkey AS STRING), '  1.0 0.1 -0.1')
   WHEN 6 THEN 'CORRELATION_MATRIX'
   WHEN 5 THEN '1.0 0.5 0.25 0.125'
+  WHEN 4 THEN concat('NP_', CAST(l_partkey AS STRING), CASE WHEN l_suppkey % 2 = 0 THEN ' nan -inf +Infinity' ELSE ' -NaN inf 0.5' END)
   ELSE concat('NP_', CAST(l_partkey AS STRING), '   -0.', CAST(CAST(l_quantity AS INT) AS STRING), '5  0.',
     CAST(l_linenumber AS STRING), '25 -0.', CAST(l_suppkey AS STRING), ' ') END"""
 _FIT_PATH = "concat('file:/results/tW/Fits/fit', CAST(l_suppkey % 4 AS STRING), '.txt')"
@@ -44,7 +45,7 @@ def _lines(df, value: str, path: str):
     "read_fit_params",
     f"""WITH l AS (SELECT {_FIT_LINE} AS value, 'fit' || (l_suppkey % 4) AS fit FROM lineitem WHERE l_linenumber < 5),
     t AS (SELECT fit, string_split_regex(trim(value), '\\s+') AS t FROM l)
-    SELECT fit, t[1] AS name, t[2]::DOUBLE AS central, t[3]::DOUBLE AS sig_hi, t[4]::DOUBLE AS sig_lo FROM t""",
+    SELECT fit, t[1] AS name, replace(t[2], '-NaN', 'NaN')::DOUBLE AS central, t[3]::DOUBLE AS sig_hi, t[4]::DOUBLE AS sig_lo FROM t""",
 )
 def _(spark, sf):
     return sources.parse_fit_params(_lines(table(spark, sf, "lineitem"), _FIT_LINE, _FIT_PATH))
@@ -57,13 +58,14 @@ _RANK_LINE = """concat('NP_', CAST(p_partkey AS STRING), ' 0.', CAST(p_size AS S
 
 @query(
     "read_np_ranking",
-    f"""WITH t AS (SELECT concat('NP_', p_partkey) AS name, string_split({_RANK_LINE}, ' ') AS t FROM part)
-    SELECT name, round_even(t[2]::DOUBLE, 6) AS central, round_even(t[3]::DOUBLE, 6) AS sig_hi, round_even(t[4]::DOUBLE, 6) AS sig_lo,
+    f"""WITH t AS (SELECT 'file:/results/ws' || (p_partkey % 3) AS fit, concat('NP_', p_partkey // 3) AS name, string_split({_RANK_LINE}, ' ') AS t FROM part)
+    SELECT fit, name, round_even(t[2]::DOUBLE, 6) AS central, round_even(t[3]::DOUBLE, 6) AS sig_hi, round_even(t[4]::DOUBLE, 6) AS sig_lo,
       round_even(t[5]::DOUBLE, 6) AS post_up, round_even(t[6]::DOUBLE, 6) AS post_down, round_even(t[7]::DOUBLE, 6) AS pre_up,
       round_even(t[8]::DOUBLE, 6) AS pre_down FROM t""",
 )
 def _(spark, sf):
-    path = "concat('file:/results/tW/Fits/NPRanking_NP_', CAST(p_partkey AS STRING), '.txt')"
+    # Three workspaces that rank the same parameters.
+    path = "concat('file:/results/ws', CAST(p_partkey % 3 AS STRING), '/Fits/NPRanking_NP_', CAST(p_partkey DIV 3 AS STRING), '.txt')"
     return sources.parse_np_ranking(_lines(table(spark, sf, "part"), _RANK_LINE, path))
 
 
@@ -75,11 +77,11 @@ _GROUP_LINE = f"""concat({_GROUP}, '   0.', CAST(p_size AS STRING), '   ( +0.',
 def _group_lines(spark, sf):
     parts = table(spark, sf, "part").selectExpr("*", "regexp_replace(p_brand, ' ', '_') AS b")
     line = _GROUP_LINE.replace("p_brand", "b")
-    return _lines(parts, line, "'file:/results/tW/Fits/GroupedImpact.txt'")
+    return _lines(parts, line, "concat('file:/results/ws', CAST(p_partkey % 2 AS STRING), '/Fits/GroupedImpact.txt')")
 
 
 _GROUPED_SQL = f"""WITH g AS (SELECT p_partkey, p_size, {_GROUP.replace('p_brand', "replace(p_brand, ' ', '_')")} AS n FROM part),
-    i AS (SELECT replace(CASE WHEN n = 'Gammas' THEN 'Statistics' ELSE n END, '_', ' ') AS name, ('0.' || p_size)::DOUBLE AS avg,
+    i AS (SELECT 'file:/results/ws' || (p_partkey % 2) AS fit, replace(CASE WHEN n = 'Gammas' THEN 'Statistics' ELSE n END, '_', ' ') AS name, ('0.' || p_size)::DOUBLE AS avg,
       ('-0.1' || p_size)::DOUBLE AS sig_lo, ('+0.' || p_partkey)::DOUBLE AS sig_hi FROM g WHERE n <> 'FullSyst')"""
 
 
@@ -97,11 +99,13 @@ def _(spark, sf):
 
 
 _REGION = "concat('reg', CASE p_partkey % 3 WHEN 0 THEN '1j1b_' WHEN 1 THEN '2j1b_' ELSE '2j2b_' END, CAST(p_partkey AS STRING))"
+# The same regions in two workspaces.
+_CHI2_REGION = "concat('reg', CASE CAST(floor(p_partkey / 2) AS BIGINT) % 3 WHEN 0 THEN '1j1b_' WHEN 1 THEN '2j1b_' ELSE '2j2b_' END, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING))"
 
 
 @query(
     "read_chi2",
-    f"""SELECT {_REGION} AS region, CASE WHEN p_size % 2 = 0 THEN 'pre' ELSE 'post' END AS stage, p_size + 0.25::DOUBLE AS chi2,
+    f"""SELECT 'file:/r/ws' || (p_partkey % 2) AS fit, {_CHI2_REGION} AS region, CASE WHEN p_size % 2 = 0 THEN 'pre' ELSE 'post' END AS stage, p_size + 0.25::DOUBLE AS chi2,
       p_size AS ndof, 1.0::DOUBLE / 4 AS probability FROM part""",
 )
 def _(spark, sf):
@@ -109,7 +113,7 @@ def _(spark, sf):
         "inline(array(struct(concat('chi2: ', CAST(p_size AS STRING), '.25') AS value), "
         "struct(concat('  ndof: ', CAST(p_size AS STRING)) AS value), struct('probability: 0.25 ' AS value), "
         "struct('comment: none' AS value)))",
-        f"concat('file:/r/Histograms/', {_REGION}, CASE WHEN p_size % 2 = 0 THEN '_pre' ELSE '_post' END, 'Fit_Chi2.txt') AS path",
+        f"concat('file:/r/ws', CAST(p_partkey % 2 AS STRING), '/Histograms/', {_CHI2_REGION}, CASE WHEN p_size % 2 = 0 THEN '_pre' ELSE '_post' END, 'Fit_Chi2.txt') AS path",
     )
     return sources.parse_chi2(lines)
 
@@ -120,13 +124,14 @@ _FILE = f"concat({_BASE}, CASE WHEN p_partkey % 3 = 0 THEN '_preFit.root' WHEN p
 
 @query(
     "fit_inventory",
-    f"""WITH f AS (SELECT {_FILE} AS name FROM part WHERE p_partkey % 3 < 2),
-    r AS (SELECT regexp_replace(name, '_(pre|post)Fit.root$', '') AS region, name LIKE '%preFit%' AS pre, name LIKE '%postFit%' AS post
+    f"""WITH f AS (SELECT 'file:/results/ws' || (p_size % 2) AS fit, {_FILE} AS name FROM part WHERE p_partkey % 3 < 2),
+    r AS (SELECT fit, regexp_replace(name, '_(pre|post)Fit.root$', '') AS region, name LIKE '%preFit%' AS pre, name LIKE '%postFit%' AS post
       FROM f WHERE name NOT LIKE '%asimov%')
-    SELECT region, bool_or(post) AS has_postfit FROM r GROUP BY region HAVING bool_or(pre)""",
+    SELECT fit, region, bool_or(post) AS has_postfit FROM r GROUP BY fit, region HAVING bool_or(pre)""",
 )
 def _(spark, sf):
-    return sources.fit_inventory(table(spark, sf, "part").selectExpr(f"{_FILE} AS name"))
+    folder = "concat('file:/results/ws', CAST(p_size % 2 AS STRING), '/Histograms/x')"
+    return sources.fit_inventory(table(spark, sf, "part").selectExpr(f"{_FILE} AS name", f"{folder} AS path"))
 
 
 @query("postfit_available", f"SELECT bool_or(contains({_FILE}, 'postFit')) AS postfit FROM part")
@@ -306,6 +311,7 @@ def _(spark, sf):
     return fits.impact_across_configs(shower_fits(spark, sf), configs(spark), SHOWER_NAMES, sort=True)
 
 
+# Parameters of one size have no systematic, so that the inner join has something to drop.
 _SYSTEMATIC_SQL = """SELECT concat('NP_', p_partkey) AS name, p_type AS category, concat('title of ', p_name) AS title FROM part
   WHERE p_size <> 13"""
 

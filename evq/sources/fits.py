@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+# A failed fit writes nan or inf: such values are kept.
+_VALUE = rf"(?:{_NUMBER}|[-+]?(?:[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?))"
 # A name that is no number and no gamma parameter, then three numbers.
-_FIT_LINE = rf"^\s*(?!{_NUMBER}\s|gamma)\S+(?:\s+{_NUMBER}){{3}}\s*$"
+_FIT_LINE = rf"^\s*(?!{_NUMBER}\s|gamma)\S+(?:\s+{_VALUE}){{3}}\s*$"
 
 
 def read_lines(spark: SparkSession, paths, pattern: str = "*") -> DataFrame:
@@ -24,13 +26,25 @@ def read_lines(spark: SparkSession, paths, pattern: str = "*") -> DataFrame:
     )
 
 
-def _words(n: int) -> Column:
-    """Does the line have exactly ``n`` words? One pattern in the filter, so that only these lines are split."""
-    return F.col("value").rlike(rf"^\s*\S+(?:\s+\S+){{{n - 1}}}\s*$")
+def _split(lines: DataFrame, n: int) -> DataFrame:
+    """Lines of exactly ``n`` words, with the words as an array: each line is split once."""
+    words = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    return lines.withColumn("_w", words).filter(F.size("_w") == n)
 
 
 def _word(i: int) -> Column:
-    return F.element_at(F.split(F.trim("value"), r"\s+"), i)
+    return F.element_at("_w", i)
+
+
+def _value(text: Column) -> Column:
+    """A number as double; ``nan`` may have a sign."""
+    return F.regexp_replace(text, "^[-+](?=[nN])", "").cast("double")
+
+
+def workspace(path: Column) -> Column:
+    """The folder of the fit that a result file belongs to: what lies above ``Fits`` or ``Histograms``, else the file's folder."""
+    above = F.regexp_extract(path, r"^(.*)/(?:Fits|Histograms)/[^/]*$", 1)
+    return F.when(above != "", above).otherwise(F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
 
 
 def file_stem(path: Column) -> Column:
@@ -42,12 +56,12 @@ def parse_fit_params(lines: DataFrame) -> DataFrame:
 
     Headers, the correlation matrix and the closing lines do not have this
     shape, hence no line order is needed and a file may be split. ``gamma*``
-    lines are skipped.
+    lines are skipped; values that are ``nan`` or ``inf`` stay.
     """
-    return lines.filter(F.col("value").rlike(_FIT_LINE)).select(
+    return _split(lines.filter(F.col("value").rlike(_FIT_LINE)), 4).select(
         file_stem(F.col("path")).alias("fit"),
         _word(1).alias("name"),
-        *[_word(i).cast("double").alias(c) for i, c in enumerate(("central", "sig_hi", "sig_lo"), 2)],
+        *[_value(_word(i)).alias(c) for i, c in enumerate(("central", "sig_hi", "sig_lo"), 2)],
     )
 
 
@@ -56,11 +70,12 @@ def read_fit_params(spark: SparkSession, paths) -> DataFrame:
 
 
 def parse_np_ranking(lines: DataFrame) -> DataFrame:
-    """``name central sig_up sig_down post_up post_down pre_up pre_down``, rounded to 6 digits."""
+    """``fit`` (the workspace folder), ``name central sig_up sig_down post_up post_down pre_up pre_down``, rounded to 6 digits."""
     order = ["central", "sig_hi", "sig_lo", "post_up", "post_down", "pre_up", "pre_down"]
-    return lines.filter(_words(8)).select(
+    return _split(lines, 8).select(
+        workspace(F.col("path")).alias("fit"),
         F.regexp_replace(file_stem(F.col("path")), "^NPRanking_", "").alias("name"),
-        *[F.bround(_word(i).cast("double"), 6).alias(c) for i, c in enumerate(order, 2)],
+        *[F.bround(_value(_word(i)), 6).alias(c) for i, c in enumerate(order, 2)],
     )
 
 
@@ -73,15 +88,16 @@ def clean_group_name(name: Column) -> Column:
 
 
 def parse_grouped_impacts(lines: DataFrame, include_total: bool = False) -> DataFrame:
-    """``name, avg, sig_lo, sig_hi`` of six-token lines such as ``Group 0.05 ( +0.05, -0.04 )``."""
-    rows = lines.filter(_words(6))
+    """``fit`` (the workspace folder), ``name, avg, sig_lo, sig_hi`` of six-token lines such as ``Group 0.05 ( +0.05, -0.04 )``."""
+    rows = _split(lines, 6)
     if not include_total:
-        rows = rows.filter(~F.ltrim("value").rlike(r"^FullSyst\s"))
+        rows = rows.filter(_word(1) != "FullSyst")
     return rows.select(
+        workspace(F.col("path")).alias("fit"),
         clean_group_name(_word(1)).alias("name"),
-        _word(2).cast("double").alias("avg"),
-        _word(5).cast("double").alias("sig_lo"),
-        F.regexp_replace(_word(4), ".$", "").cast("double").alias("sig_hi"),
+        _value(_word(2)).alias("avg"),
+        _value(_word(5)).alias("sig_lo"),
+        _value(F.regexp_replace(_word(4), ".$", "")).alias("sig_hi"),
     )
 
 
@@ -90,20 +106,21 @@ def read_grouped_impacts(spark: SparkSession, paths, include_total: bool = False
 
 
 def parse_chi2(lines: DataFrame) -> DataFrame:
-    """``region, stage, chi2, ndof, probability`` from the ``key: value`` lines of ``{region}_{stage}Fit_Chi2.txt``."""
+    """``fit`` (the workspace folder), ``region, stage, chi2, ndof, probability`` from the ``key: value`` lines of ``{region}_{stage}Fit_Chi2.txt``."""
     named = r"([^/]+)_(pre|post)Fit_Chi2\.txt$"
     pair = r"^\s*(chi2|ndof|probability)\s*:\s*(\S+)\s*$"
     rows = lines.filter(F.col("path").rlike(named) & F.col("value").rlike(pair)).select(
+        workspace(F.col("path")).alias("fit"),
         F.regexp_extract("path", named, 1).alias("region"),
         F.regexp_extract("path", named, 2).alias("stage"),
         F.regexp_extract("value", pair, 1).alias("_k"),
-        F.regexp_extract("value", pair, 2).cast("double").alias("_v"),
+        _value(F.regexp_extract("value", pair, 2)).alias("_v"),
     )
 
     def of(key):
         return F.max(F.when(F.col("_k") == key, F.col("_v")))
 
-    return rows.groupBy("region", "stage").agg(
+    return rows.groupBy("fit", "region", "stage").agg(
         of("chi2").alias("chi2"), of("ndof").cast("int").alias("ndof"), of("probability").alias("probability")
     )
 
@@ -112,14 +129,14 @@ def read_chi2(spark: SparkSession, paths) -> DataFrame:
     return parse_chi2(read_lines(spark, paths, "*_Chi2.txt"))
 
 
-def fit_inventory(files: DataFrame, name: str = "name") -> DataFrame:
-    """``region, has_postfit`` of a file listing: regions with a pre-fit file (no Asimov), and whether any
-    file of the region is post-fit."""
+def fit_inventory(files: DataFrame, name: str = "name", path: str = "path") -> DataFrame:
+    """``fit`` (the workspace folder), ``region, has_postfit`` of a file listing: regions with a pre-fit file (no Asimov),
+    and whether any file of the region is post-fit."""
     file = F.col(name)
     return (
         files.filter(file.rlike(r"_(pre|post)Fit\.root$") & ~F.contains(file, F.lit("asimov")))
-        .select(F.regexp_extract(file, r"^(.*)_(pre|post)Fit\.root$", 1).alias("region"), file.alias("_f"))
-        .groupBy("region")
+        .select(workspace(F.col(path)).alias("fit"), F.regexp_extract(file, r"^(.*)_(pre|post)Fit\.root$", 1).alias("region"), file.alias("_f"))
+        .groupBy("fit", "region")
         .agg(
             F.max(F.contains(F.col("_f"), F.lit("preFit"))).alias("_pre"),
             F.max(F.contains(F.col("_f"), F.lit("postFit"))).alias("has_postfit"),

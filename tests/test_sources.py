@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evq import config
+from evq.operators import fits as operators
+from evq.plans.session import ensure_checkpoint_dir
 from evq.plans.views import wide_events
 from evq.sources import events as sources
 from evq.sources import fits
@@ -126,6 +128,7 @@ def test_prepared_round_trip(spark, folder):
 FIT = """NUISANCE_PARAMETERS
 3
 alpha_JET   0.12 0.9 -0.95
+alpha_BAD nan -Inf +infinity
 SigXsecOverSM 1.01  0.1 -0.09
 gamma_stat_r1_bin_0 1.0 0.01 -0.01
 
@@ -148,6 +151,8 @@ def test_fit_params(spark, folder):
     write(folder, "Fits/tW.txt", FIT)
     write(folder, "Fits/tW_exclude-NP_1.txt", "H\n1\nSigXsecOverSM 0.99 .2 -2e-1\n")
     got = {(r["fit"], r["name"]): (r["central"], r["sig_hi"], r["sig_lo"]) for r in fits.read_fit_params(spark, folder).collect()}
+    bad = got.pop(("tW", "alpha_BAD"))
+    assert bad[0] != bad[0] and bad[1:] == (float("-inf"), float("inf"))
     assert got == {
         ("tW", "alpha_JET"): (0.12, 0.9, -0.95),
         ("tW", "SigXsecOverSM"): (1.01, 0.1, -0.09),
@@ -158,6 +163,7 @@ def test_fit_params(spark, folder):
 def test_np_ranking(spark, folder):
     write(folder, "Fits/NPRanking_ttbar_PS.txt", "ttbar_PS 0.12345678 0.9 -0.8  0.05 -0.06 0.07 -0.08\n")
     row = fits.read_np_ranking(spark, folder).first().asDict()
+    assert row.pop("fit").endswith(folder)
     assert row == {
         "name": "ttbar_PS", "central": 0.123457, "sig_hi": 0.9, "sig_lo": -0.8, "post_up": 0.05,
         "post_down": -0.06, "pre_up": 0.07, "pre_down": -0.08,
@@ -166,7 +172,7 @@ def test_np_ranking(spark, folder):
 
 def test_grouped_impacts(spark, folder):
     write(folder, "Fits/GroupedImpact.txt", "Gammas 0.05 ( +0.05, -0.04 )\nJet_Energy 0.1 ( +0.11, -0.09 )\nFullSyst 1 ( +1, -1 )\n")
-    rows = sorted(tuple(r) for r in fits.read_grouped_impacts(spark, folder).collect())
+    rows = sorted(tuple(r) for r in fits.read_grouped_impacts(spark, folder).drop("fit").collect())
     assert rows == [("Jet Energy", 0.1, -0.09, 0.11), ("Statistics", 0.05, -0.04, 0.05)]
     assert fits.read_grouped_impacts(spark, folder, include_total=True).count() == 3
 
@@ -174,10 +180,50 @@ def test_grouped_impacts(spark, folder):
 def test_chi2(spark, folder):
     write(folder, "Histograms/reg1j1b_preFit_Chi2.txt", "chi2: 12.5\nndof: 10\nprobability: 0.25\n")
     write(folder, "Histograms/reg1j1b_postFit_Chi2.txt", "  chi2: 2.5\n  ndof: 10\n  probability: 0.99\nextra: x\n")
-    rows = sorted(tuple(r) for r in fits.read_chi2(spark, folder).collect())
+    rows = sorted(tuple(r) for r in fits.read_chi2(spark, folder).drop("fit").collect())
     assert rows == [("reg1j1b", "post", 2.5, 10, 0.99), ("reg1j1b", "pre", 12.5, 10, 0.25)]
 
 
+def test_several_workspaces_stay_apart(spark, folder):
+    for ws, post in (("tW", "0.05"), ("other", "0.5")):
+        write(folder, f"{ws}/Fits/NPRanking_JET.txt", f"JET 0.1 0.9 -0.8 {post} -0.06 0.07 -0.08\n")
+        write(folder, f"{ws}/Fits/NPRanking_MET.txt", "MET 0.2 0.7 -0.6 0.01 -0.02 0.03 -0.04\n")
+        write(folder, f"{ws}/Fits/GroupedImpact.txt", f"JET {post} ( +0.1, -0.1 )\n")
+        write(folder, f"{ws}/Histograms/r_preFit_Chi2.txt", f"chi2: {post}\nndof: 4\nprobability: 0.5\n")
+    touch(folder, "tW/Histograms/r_preFit.root", "tW/Histograms/r_postFit.root", "other/Histograms/r_preFit.root")
+    name = lambda fit: fit.rpartition("/")[2]
+    ranking = fits.read_np_ranking(spark, folder)
+    top = {(name(r["fit"]), r["name"]): r["post_max"] for r in operators.top_impacts(operators.np_impacts(ranking), 1).collect()}
+    assert top == {("tW", "JET"): 0.06, ("other", "JET"): 0.5}
+    pulls = operators.compare_nuispar(ranking.withColumn("fit", F.element_at(F.split("fit", "/"), -1)), "tW", "other")
+    assert {r["name"] for r in pulls.collect()} == {"JET", "MET"}
+    assert {(name(r["fit"]), r["avg"]) for r in fits.read_grouped_impacts(spark, folder).collect()} == {("tW", 0.05), ("other", 0.5)}
+    assert {(name(r["fit"]), r["chi2"], r["ndof"]) for r in fits.read_chi2(spark, folder).collect()} == {("tW", 0.05, 4), ("other", 0.5, 4)}
+    assert {(name(r["fit"]), r["has_postfit"]) for r in fits.fit_inventory(sources.list_files(spark, folder)).collect()} == {("tW", True), ("other", False)}
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_region_samples_are_few_files(spark, sf, folder):
+    df = wide_events(spark, sf).repartition(40)
+    for path in sources.write_region_samples(df, f"{folder}/few").values():
+        assert len(spark.read.parquet(path).inputFiles()) <= 6
+
+
 def test_inventory(spark, folder):
     touch(
         folder, "Histograms/a_preFit.root", "Histograms/a_postFit.root", "Histograms/b_preFit.root",
