@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq import config
@@ -16,10 +16,22 @@ def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = config
 def sample_n_per_class(
     df: DataFrame, n: int, key: str, label: str = "label", seed: int = config.RANDOM_STATE
 ) -> DataFrame:
-    """The ``n`` signal and ``n`` background events with the smallest hash (two top-n, no global sort)."""
-    order = hash_digits(key, seed)
-    parts = [df.filter(F.col(label) == value).orderBy(order, F.col(key)).limit(n) for value in (1, 0)]
-    return parts[0].unionByName(parts[1])
+    """The ``n`` signal and ``n`` background events with the smallest hash (ties: the smaller key).
+
+    One scan counts the rows of each class in 65,536 hash buckets; a running sum finds the bucket with the
+    n-th row. Lower buckets are kept by a filter alone, and only that bucket is ranked: no task holds n rows.
+    """
+    bucket = F.substring(hash_digits(key, seed), 1, 4)
+    rows = df.filter(F.col(label).isin(0, 1)).withColumn("_bucket", bucket)
+    so_far = Window.partitionBy(label).orderBy("_bucket")
+    counted = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    reached = counted.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n")).filter(F.col("_before") < n)
+    edges = reached.groupBy(F.col(label).alias("_class")).agg(F.max("_bucket").alias("_edge"), F.max("_before").alias("_before"))
+    placed = rows.join(F.broadcast(edges), F.col(label) == F.col("_class"))  # two rows
+    below = placed.filter(F.col("_bucket") < F.col("_edge"))
+    order = Window.partitionBy(label).orderBy(hash_digits(key, seed), F.col(key))
+    last = placed.filter(F.col("_bucket") == F.col("_edge")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n - F.col("_before"))
+    return below.select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def split_label(

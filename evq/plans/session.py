@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,18 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only where none is named."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a session whose executors are threads of this
+    process may do without: it gets a fresh local folder."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 

@@ -156,14 +156,15 @@ def write_region_samples(
 ) -> dict[str, str]:
     """Write ``{path}/{region}`` partitioned by sample, one write per region as the schemas differ.
 
-    Rows are not shuffled: each task writes its own part of every sample.
+    Rows are rebalanced by sample first: Spark splits large samples and merges small parts, so the number of
+    files follows the data and not tasks times samples.
     """
     written = {}
     chosen = df.filter(F.col(group).isin(*samples))
     for region in config.SELECTIONS:
         table = region_sample(chosen, region, use_campaign_weight, key=group)
         written[region] = f"{path.rstrip('/')}/{region}"
-        nan_to_null(table).write.mode(mode).partitionBy(group).parquet(written[region])
+        nan_to_null(table).hint("rebalance", group).write.mode(mode).partitionBy(group).parquet(written[region])
     return written
 
 
