@@ -24,7 +24,7 @@ class EliasFano:
         values = np.asarray(values, dtype=np.int64)
         n = len(values)
         base = int(values[0]) if n else 0
-        if n and (np.diff(values) < 0).any():
+        if (values[1:] < values[:-1]).any():
             raise ValueError("Elias-Fano needs values in ascending order")
         offset = values.astype(np.uint64) - np.uint64(base % (1 << 64))  # wraps: any range of 64-bit integers
         top = int(offset[-1]) if n else 0

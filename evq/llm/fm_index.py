@@ -72,7 +72,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     """Positions in the order of their suffixes, by prefix doubling over packed 64-bit keys."""
     n = len(text)
     place = n.bit_length()
-    width = max(1, (63 - place) // bits)
+    width = max(1, min(n, (63 - place) // bits))
     key = np.zeros(n, np.int64)
     open_ended = np.ones(n, dtype=bool)
     for step in range(width):
