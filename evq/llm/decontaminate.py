@@ -1,6 +1,6 @@
 """Benchmark passages in training documents.
 
-Each task turns its documents into shards of about a million words, builds an
+Each task turns its documents into shards of about half a million words, builds an
 FM-index of every shard over the benchmark's vocabulary (all other words are
 breaks), searches all benchmark windows backwards at once, locates their
 occurrences and merges them into spans of words to remove. The only data sent to
@@ -10,24 +10,25 @@ more than one block takes one pass over the documents per block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from evq.llm.fm_index import LONGEST, FMIndex
-from evq.llm.words import ALNUM_WORDS, covered, inside_document, replaced, split_words, text_blocks, text_buffer, window_hashes, without_words
+from evq.llm.tasks import small_batches
+from evq.llm.words import ALNUM_WORDS, Words, covered, inside_document, release_memory, replaced, split_words, text_blocks, text_buffer, window_hashes, without_words
 
 #: Words in a window; an item of fewer is one window.
 WINDOW = 10
 #: Bytes of text in a shard, and of benchmark text in one pass.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 BENCHMARK_BYTES = 4 << 20
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 class Phrases(NamedTuple):
@@ -120,11 +121,12 @@ def search(column: pa.Array, wanted: Phrases):
     return words, hit, doc, item
 
 
-def _pass(docs: DataFrame, wanted: Phrases, keep: list[str], last: bool) -> DataFrame:
-    """Add one block's findings to ``_runs`` (word ranges, flattened) and ``_items``."""
+Finish = Callable[[dict[str, pa.Array], Words, list[list[int]], list[list[str]]], list[pa.Array]]
+
+
+def _pass(docs: DataFrame, wanted: Phrases, schema: StructType, finish: Finish) -> DataFrame:
+    """Search one block of windows and make each shard's columns of what it and earlier passes (``_runs``, ``_items``) found."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
-    columns = [c for c in docs.columns if c in keep or (c == "text" and not last)]  # not the findings so far: they are added to
-    schema = docs.select(*columns).schema.add("_words", "long").add("_runs", ArrayType(IntegerType())).add("_items", ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(sent.value.items + [""], dtype=object)
@@ -133,22 +135,20 @@ def _pass(docs: DataFrame, wanted: Phrases, keep: list[str], last: bool) -> Data
                 get = {name: block.column(i) for i, name in enumerate(block.schema.names)}
                 words, hit, doc, item = search(get["text"], sent.value)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                runs = _by_document(edges, words.first, hit)
-                items = [[] for _ in range(block.num_rows)]
+                runs = _by_document(edges, words.first)
+                items: list[list[str]] = [[] for _ in range(block.num_rows)]
                 for d, name in zip(doc.tolist(), names[item].tolist(), strict=True):
                     items[d].append(name)
                 if "_runs" in get:
                     runs = [a + b for a, b in zip(get["_runs"].to_pylist(), runs, strict=True)]
                     items = [a + b for a, b in zip(get["_items"].to_pylist(), items, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(get[c] for c in columns), pa.array(words.counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    [*columns, "_words", "_runs", "_items"],
-                )
+                yield pa.RecordBatch.from_arrays(finish(get, words, runs, items), schema.fieldNames())
+            release_memory()
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
-def _by_document(edges: np.ndarray, first: np.ndarray, hit: np.ndarray) -> list[list[int]]:
+def _by_document(edges: np.ndarray, first: np.ndarray) -> list[list[int]]:
     """Runs of hit words, as [from, to, from, to, ...] inside each document."""
     runs: list[list[int]] = [[] for _ in range(len(first) - 1)]
     for begin, end in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -161,9 +161,8 @@ def _by_document(edges: np.ndarray, first: np.ndarray, hit: np.ndarray) -> list[
     return runs
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> DataFrame:
-    """The ``keep`` columns of every document with ``_words`` (long), ``_runs`` (word ranges found,
-    ``[from, to, ...]``; those of several blocks may overlap) and ``_items`` (names of the items found).
+def search_all(docs: DataFrame, benchmark: DataFrame, schema: StructType, finish: Finish, window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> DataFrame:
+    """One pass over the documents per block of the benchmark; the last one makes the result.
 
     A null text has no words; an item without words has no window; an item without id is named by the
     empty string; equal documents are searched one by one; empty tables give no rows or no findings.
@@ -171,14 +170,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: i
     blocks = benchmark_blocks(benchmark, window, limit)
     wanted = next(blocks)
     for following in blocks:
-        docs, wanted = _pass(docs, wanted, keep, False).drop("_words"), following
-    return _pass(docs, wanted, keep, True)
+        columns = [c for c in docs.columns if c not in ("_runs", "_items")]
+        between = docs.select(*columns).schema.add("_runs", ArrayType(IntegerType())).add("_items", ArrayType(StringType()))
+
+        def pass_on(get, words, runs, items, columns=columns):
+            return [*(get[c] for c in columns), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+
+        docs, wanted = _pass(docs, wanted, between, pass_on), following
+    return _pass(docs, wanted, schema, finish)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = find_leaks(chosen, benchmark, ["doc_id"], **options)
+    schema = chosen.select("doc_id").schema.add("_words", "long").add("_runs", ArrayType(IntegerType())).add("_items", ArrayType(StringType()))
+
+    def facts(get, words, runs, items):
+        return [get["doc_id"], pa.array(words.counts, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+
+    found = search_all(chosen, benchmark, schema, facts, **options)
     pairs = F.expr("transform(sequence(0, size(_runs) - 2, 2), i -> struct(_runs[i] AS a, _runs[i + 1] AS b))")
     # ranges of several blocks may overlap: count each word once
     merged = F.expr("aggregate(array_sort(_pairs), struct(0 AS n, 0 AS e), (s, x) -> struct(s.n + greatest(0, x.b - greatest(x.a, s.e)) AS n, greatest(s.e, x.b) AS e)).n")
@@ -197,31 +207,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents with all found passages cut out of their texts; ``n_chars``, if there, counts what is left."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
-    found = find_leaks(row, benchmark, ["_row"], **options)
-    schema = found.select("_row").schema.add("_new", "string")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in text_blocks(batch, "text"):
-                get = {name: block.column(i) for i, name in enumerate(block.schema.names)}
-                texts = {}
-                leaks = np.flatnonzero(np.diff(np.asarray(get["_runs"].offsets)))
-                if len(leaks):
-                    column = get["text"].take(pa.array(leaks))
-                    words = split_words(column, _EITHER_CASE, hashed=False)
-                    gone = np.zeros(len(words.starts), dtype=bool)
-                    for i, doc in enumerate(leaks.tolist()):
-                        runs = get["_runs"][doc].as_py()
-                        for a, b in zip(runs[0::2], runs[1::2], strict=True):
-                            gone[words.first[i] + a : words.first[i] + b] = True
-                    texts = {int(leaks[i]): t for i, t in without_words(words, text_buffer(column)[1], gone).items()}
-                yield pa.RecordBatch.from_arrays([get["_row"], replaced(get["text"], texts)], ["_row", "_new"])
-
-    text = F.col("_row").getField("text").cast("string").alias("text")
-    cleaned = found.select("_row", text, "_runs").mapInArrow(cut, schema)
+    schema = row.select("_row").schema.add("_new", "string")
+
+    def cut(get, words, runs, items):
+        data, offsets = text_buffer(get["text"])
+        gone = np.zeros(len(words.starts), dtype=bool)
+        for doc, found in enumerate(runs):
+            for a, b in zip(found[0::2], found[1::2], strict=True):
+                gone[words.first[doc] + a : words.first[doc] + b] = True
+        texts = without_words(words._replace(data=data), offsets, gone)  # not the lower-cased bytes
+        return [get["_row"], replaced(get["text"], texts)]
+
+    cleaned = search_all(row, benchmark, schema, cut, **options)
     new = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return cleaned.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
-
-_EITHER_CASE = ALNUM_WORDS.copy()
-_EITHER_CASE[0x41:0x5B] = True
