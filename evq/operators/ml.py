@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from itertools import product
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -75,14 +76,16 @@ def fit_classifier(
     axes: Mapping[str, float] | None = None,
     rounds: int = 500,
     validation: Column | None = None,
-    tolerance: float = 1e-4,
+    patience: int = 10,
     label: str = "label",
     weight: str = "weight",
     seed: int = config.RANDOM_STATE,
 ) -> PipelineModel:
-    """Weighted boosted trees. Rows where ``validation`` is true stop the boosting early: it ends when their
-    error no longer improves by ``tolerance``. ``num_leaves`` and ``reg_lambda`` have no counterpart in MLlib
-    and are ignored (:func:`ignored_axes`)."""
+    """Weighted boosted trees. Rows where ``validation`` is true are held back and their loss is taken after every
+    round: the model ends at the best round found before ``patience`` rounds without gain. MLlib cannot stop by
+    patience nor cut a model, so all rounds are fitted and, if fewer are best, those again (the same trees: same
+    rows, same seed). ``num_leaves`` and ``reg_lambda`` have no counterpart in MLlib and are ignored
+    (:func:`ignored_axes`)."""
     axes = train_axes(**(axes or {}))
     ensure_checkpoint_dir(train.sparkSession)
     trees = GBTClassifier(
@@ -96,17 +99,33 @@ def fit_classifier(
         minInstancesPerNode=int(axes["min_child_samples"]),
         checkpointInterval=10,
         maxMemoryInMB=1024,
-        validationTol=float(tolerance),
         seed=seed,
     )
     trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-    if validation is not None:
-        train = train.withColumn("_validation", validation)
-        trees = trees.setValidationIndicatorCol("_validation")
     filled = ", ".join(f"coalesce(nanvl(`{f}`, CAST(NULL AS DOUBLE)), {MISSING}D) AS `_in_{f}`" for f in features)
     fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
     assemble = VectorAssembler(inputCols=[f"_in_{f}" for f in features], outputCol="_features")
-    return Pipeline(stages=[fill, assemble, trees]).fit(train)
+    rows = train if validation is None else train.filter(~validation)
+    model = Pipeline(stages=[fill, assemble, trees]).fit(rows)
+    if validation is None:
+        return model
+    held = assemble.transform(fill.transform(train.filter(validation)))
+    best = best_round(_trees(model).evaluateEachIteration(held), patience)
+    if best == _trees(model).getNumTrees:
+        return model
+    return Pipeline(stages=[fill, assemble, trees.setMaxIter(best)]).fit(rows)
+
+
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The number of rounds with the least loss, looking no further than ``patience`` rounds without gain; all
+    rounds where no loss is known (no validation rows)."""
+    best, least = len(losses), float("inf")
+    for number, loss in enumerate(losses, 1):
+        if loss < least:
+            best, least = number, loss
+        elif least < float("inf") and number - best >= patience:
+            break
+    return best
 
 
 def ignored_axes(axes: Mapping[str, float]) -> list[str]:
@@ -325,32 +344,45 @@ def parameter_scan(
     rounds: int = 500,
     test_size: float = 0.4,
     parallelism: int = 4,
+    results: str | None = None,
 ) -> DataFrame:
     """One training per grid point, a few at a time so that the cluster stays busy between the small jobs of
-    a boosting round: ``name, auc, ks..., bad_ks, best_iteration`` and the parameters as JSON."""
-    points = grid_points(grid)
+    a boosting round: ``name, auc, ks..., bad_ks, best_iteration`` and the parameters as JSON.
+
+    With a ``results`` folder each point is kept there once done, and a scan that is started again trains only
+    what is missing."""
+    spark = df.sparkSession
     features = list(features or feature_columns(df, key))
-    with persisted(_split_once(df, key, features, test_size)) as table, ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(lambda p: _train_and_judge(table, key, features, p, rounds)[1].first(), points))
-    rows = [
-        (
-            "_".join(f"{a}-{v}" for a, v in point.items()),
-            r["auc"],
-            r["ks_test_sig"],
-            r["ks_pvalue_sig"],
-            r["ks_test_bkg"],
-            r["ks_pvalue_bkg"],
-            r["bad_ks"],
-            r["best_iteration"],
-            json.dumps(point),
-        )
-        for point, r in zip(points, done)
-    ]
-    return df.sparkSession.createDataFrame(
-        rows,
-        "name string, auc double, ks_test_sig double, ks_pvalue_sig double, ks_test_bkg double, "
-        "ks_pvalue_bkg double, bad_ks boolean, best_iteration int, params string",
-    )
+    points = {"_".join(f"{a}-{v}" for a, v in point.items()): point for point in grid_points(grid)}
+    done = {} if results is None else _kept_points(spark, results)
+    missing = [name for name in points if name not in done]
+
+    def train(name: str) -> tuple:
+        r = _train_and_judge(table, key, features, points[name], rounds)[1].first()
+        row = (name, *(r[c] for c in _SCAN_FIELDS[1:-1]), json.dumps(points[name]))
+        if results is not None:
+            spark.createDataFrame([row], SCAN_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{results.rstrip('/')}/{name}")
+        return row
+
+    if missing:
+        with persisted(_split_once(df, key, features, test_size)) as table, ThreadPoolExecutor(parallelism) as pool:
+            done |= dict(zip(missing, pool.map(train, missing)))
+    return spark.createDataFrame([done[name] for name in points], SCAN_SCHEMA)
+
+
+SCAN_SCHEMA = (
+    "name string, auc double, ks_test_sig double, ks_pvalue_sig double, ks_test_bkg double, "
+    "ks_pvalue_bkg double, bad_ks boolean, best_iteration int, params string"
+)
+_SCAN_FIELDS = [part.split()[0] for part in SCAN_SCHEMA.split(", ")]
+
+
+def _kept_points(spark: SparkSession, results: str) -> dict[str, tuple]:
+    try:
+        rows = spark.read.schema(SCAN_SCHEMA).json(f"{results.rstrip('/')}/*").collect()
+    except AnalysisException:  # nothing kept yet
+        return {}
+    return {r["name"]: tuple(r) for r in rows}
 
 
 def select_best_scan(results: DataFrame, n: int = 16) -> DataFrame:

@@ -1,97 +1,194 @@
-"""Queries that train boosted trees. Few rounds and shallow trees, but over all rows of the table."""
+"""Queries that train boosted trees, over all rows of the table.
+
+A tree is not SQL, but what must hold of it is: which events are scored, that scores are probabilities, that
+folds are averaged, which features and points come back, that summaries agree with their parts. Each query gives
+those facts as columns, computed from the operator's full values; one stump is compared value by value.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evq import config
 from evq.operators import frames, ml, prep
+from evq.operators.ranking import weighted_auc
+from evq.operators.sampling import kfold_assign, split_label
 from evq.plans.catalog import query, rounded
-from evq.plans.views import events
-from evq.operators.sampling import split_label
+from evq.plans.views import EVENT_SQL, events
 
 KEY = "event_id"
 FEATURES = ["mass_lep1jet1", "pT_jet2", "pT_lep1", "pTsys_lep1lep2"]
 AXES = {"learning_rate": 0.2, "max_depth": 3, "min_child_samples": 50}
-ROUNDS = 3
+#: Boosting rounds of every fit below: a parameter of the queries, not of the operators (500 by default).
+ROUNDS = 5
+EV = f"WITH ev AS ({EVENT_SQL})"
 
 
-def _prepared(spark, sf):
-    df = events(spark, sf).select(KEY, *FEATURES, "label", frames.clipped("weight_nominal").alias("weight"))
+def _prepared(spark, sf, condition: str = "true"):
+    df = events(spark, sf).filter(condition).select(KEY, *FEATURES, "label", frames.clipped("weight_nominal").alias("weight"))
     return prep.normalize_mean_weight(prep.scale_sum_weights(df))
 
 
-def _model(spark, sf, table=None):
+def _model(spark, sf, condition: str = "true"):
     """A model of the training rows; the boosting passes over its input several times, hence the cache."""
-    if table is None:
-        with ml.persisted(ml.spread(_prepared(spark, sf), KEY)) as table:
-            return _model(spark, sf, table)
-    return ml.fit_classifier(table.filter(split_label(KEY, 0.4) == "train"), FEATURES, AXES, ROUNDS)
+    with ml.persisted(ml.spread(_prepared(spark, sf, condition), KEY)) as table:
+        return ml.fit_classifier(table.filter(split_label(KEY, 0.4) == "train"), FEATURES, AXES, ROUNDS)
+
+
+def _share(column: str, name: str):
+    return ((F.col(column) >= 0) & (F.col(column) <= 1)).alias(name)
+
 
+def _facts(result: DataFrame) -> DataFrame:
+    """A small result with each row's position: operators that rank return their rows in order."""
+    rows = result.collect()
+    schema = result.schema.add("position", "integer")
+    return result.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
 
-@query("fit_classifier")
+
+@query("fit_classifier", f"{EV} SELECT event_id, label, true AS is_probability FROM ev")
 def _(spark, sf):
     scored = ml.with_score(_prepared(spark, sf), _model(spark, sf))
-    return rounded(scored.select(KEY, "label", "score"), 6, "score")
+    return scored.select(KEY, "label", ((F.col("score") > 0) & (F.col("score") < 1)).alias("is_probability"))
 
 
-@query("feature_importance")
+@query(
+    "fit_classifier_stump",
+    f"""{EV}, w AS (SELECT *, CASE WHEN weight_nominal < 0 THEN 0 ELSE weight_nominal END AS weight FROM ev),
+    leaf AS (SELECT OS, sum(weight * (2 * label - 1)) / sum(weight) AS m FROM w GROUP BY OS)
+    SELECT event_id, round(1 / (1 + exp(-2 * m)), 6) AS score FROM ev JOIN leaf USING (OS)""",
+)
 def _(spark, sf):
-    return ml.feature_importance(_model(spark, sf), spark)
+    # One round of depth one on a feature of two values: the leaves are the weighted means of the two.
+    table = events(spark, sf).select(KEY, F.col("OS").cast("double").alias("OS"), "label", frames.clipped("weight_nominal").alias("weight"))
+    model = ml.fit_classifier(table, ["OS"], {"max_depth": 1, "min_child_samples": 1}, 1)
+    return rounded(ml.with_score(table, model).select(KEY, "score"), 6, "score")
 
 
-@query("single_training")
-def _(spark, sf):
-    _, summary = ml.single_training(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS, selection="true")
-    shown = ["auc", "auc_train", "ks_test_sig", "ks_pvalue_sig", "ks_test_bkg", "ks_pvalue_bkg"]
-    return rounded(summary.select(*shown, "bad_ks", "best_iteration"), 6, "auc", "auc_train")
+_FEATURE_ROWS = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in FEATURES)
 
 
-@query("folded_training")
+@query("feature_importance", f"SELECT feature, true AS is_share, true AS sums_to_one, true AS in_order FROM ({_FEATURE_ROWS})")
 def _(spark, sf):
-    _, summary, _, _ = ml.folded_training(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS)
-    return rounded(summary, 6, "auc", "auc_std", "score")
+    ranked = _facts(ml.feature_importance(_model(spark, sf), spark))
+    total = ranked.agg(F.sum("gain").alias("g"), F.sum("split").alias("s")).first()
+    gains = [r["gain"] for r in ranked.orderBy("position").collect()]
+    sums = abs(total["g"] - 1) < 1e-3 and abs(total["s"] - 1) < 1e-3
+    return ranked.select("feature", _share("gain", "is_share"), F.lit(sums).alias("sums_to_one"), F.lit(gains == sorted(gains, reverse=True)).alias("in_order"))
 
 
-@query("parameter_scan")
+@query(
+    "single_training",
+    f"SELECT true AS auc_is_share, true AS auc_train_is_share, true AS bad_ks_agrees, true AS iteration_in_range, {len(FEATURES)} AS features, 'true' AS selection_used",
+)
+def _(spark, sf):
+    _, summary = ml.single_training(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS, selection="true")
+    poor = (F.col("ks_pvalue_sig") < 0.2) | (F.col("ks_pvalue_bkg") < 0.2)
+    return summary.select(
+        _share("auc", "auc_is_share"),
+        _share("auc_train", "auc_train_is_share"),
+        (F.col("bad_ks") == poor).alias("bad_ks_agrees"),
+        F.col("best_iteration").between(1, ROUNDS).alias("iteration_in_range"),
+        F.size("features").alias("features"),
+        "selection_used",
+    )
+
+
+@query("folded_training", "SELECT 3 AS folds, true AS auc_is_share, true AS score_is_mean, true AS importance_sums_to_one")
+def _(spark, sf):
+    table = _prepared(spark, sf)
+    models, summary, _, importance = ml.folded_training(table, KEY, FEATURES, AXES, ROUNDS)
+    held = kfold_assign(table, KEY, len(models))
+    aucs = [weighted_auc(ml.with_score(held.filter(F.col("fold") == i), m)).first()["auc"] for i, m in enumerate(models)]
+    total = importance.agg(F.sum("importance")).first()[0]
+    return summary.select(
+        "folds",
+        _share("auc", "auc_is_share"),
+        (F.abs(F.col("score") + sum(aucs) / len(aucs)) < 1e-9).alias("score_is_mean"),
+        F.lit(abs(total - 1) < 1e-9).alias("importance_sums_to_one"),
+    )
+
+
+_GRID = {"max_depth": [2, 3], "learning_rate": [0.1, 0.2], "num_leaves": [8, 16], "min_child_samples": [100]}
+_POINTS = [(d, r) for d in _GRID["max_depth"] for r in _GRID["learning_rate"]]
+
+
+@query(
+    "parameter_scan",
+    " UNION ALL ".join(
+        f"""SELECT 'max_depth-{d}_learning_rate-{r}_min_child_samples-100' AS name,
+        '{{"max_depth": {d}, "learning_rate": {r}, "min_child_samples": 100}}' AS params, true AS auc_is_share, true AS iteration_in_range"""
+        for d, r in _POINTS
+    ),
+)
 def _(spark, sf):
-    grid = {"max_depth": [2, 3], "learning_rate": [0.1, 0.2], "num_leaves": [8, 16], "min_child_samples": [100]}
-    scan = ml.parameter_scan(_prepared(spark, sf), KEY, FEATURES, grid, ROUNDS)
-    return rounded(scan, 6, "auc")
+    scan = ml.parameter_scan(_prepared(spark, sf), KEY, FEATURES, _GRID, ROUNDS)
+    return scan.select("name", "params", _share("auc", "auc_is_share"), F.col("best_iteration").between(1, ROUNDS).alias("iteration_in_range"))
+
+
+def _scored(response: str = "response"):
+    there = F.col(response) != config.UNSCORED
+    return there.alias("scored"), (~there | F.col(response).between(0, 1)).alias("in_range")
 
 
-@query("apply_single")
+@query("apply_single", f"{EV} SELECT event_id, reg2j2b AND OS = 1 AS scored, true AS in_range FROM ev")
 def _(spark, sf):
-    df = events(spark, sf)
-    scored = ml.apply_single(df, _model(spark, sf), selection="(reg2j2b == True) & (OS == True)")
-    return rounded(scored.select(KEY, "response"), 6, "response")
+    scored = ml.apply_single(events(spark, sf), _model(spark, sf), selection="(reg2j2b == True) & (OS == True)")
+    return scored.select(KEY, *_scored())
 
 
-@query("apply_folded")
+@query("apply_folded", f"{EV} SELECT event_id, OS = 1 AND mass_lep1jet1 < 155 AS scored, true AS in_range, true AS is_mean FROM ev")
 def _(spark, sf):
     models, _, _, _ = ml.folded_training(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS)
     scored = ml.apply_folded(events(spark, sf), models, selection="OS == 1 && mass_lep1jet1 < 155")
-    return rounded(scored.select(KEY, "response"), 6, "response")
+    for i, model in enumerate(models):
+        scored = ml.with_score(scored, model, f"one{i}")
+    mean = sum(F.col(f"one{i}") for i in range(len(models))) / len(models)
+    same = (F.col("response") == config.UNSCORED) | (F.abs(F.col("response") - mean) < 1e-9)
+    return scored.select(KEY, *_scored(), same.alias("is_mean"))
 
 
-@query("apply_all")
+@query("apply_all", f"{EV} SELECT event_id, OS = 1 AND (reg1j1b OR reg2j2b) AS scored, true AS in_range, true AS of_own_region FROM ev")
 def _(spark, sf):
-    with ml.persisted(ml.spread(_prepared(spark, sf), KEY)) as table:
-        models = [_model(spark, sf, table.filter(F.col("pT_lep1") < 60)), _model(spark, sf, table)]
+    regions = ["OS = 1 AND reg1j1b", "OS = 1 AND reg2j2b"]
+    models = [_model(spark, sf, region) for region in regions]
     trainings = [([models[0]], "OS == 1 && reg1j1b"), ([models[1]], "(OS == True) & (reg2j2b == True)")]
-    return rounded(ml.apply_all(events(spark, sf), KEY, trainings), 6, "response")
-
-
-@query("feature_importances_repeated")
+    df = events(spark, sf)
+    responses = ml.apply_all(df, KEY, trainings)
+    for i, model in enumerate(models):
+        df = ml.with_score(df, model, f"one{i}")
+    own = F.when(F.expr(regions[0]), F.col("one0")).when(F.expr(regions[1]), F.col("one1")).otherwise(config.UNSCORED)
+    # event_id may repeat: rows of equal keys are compared as sorted lists
+    both = responses.groupBy(KEY).agg(F.sort_array(F.collect_list("response")).alias("_got"))
+    wanted = df.groupBy(KEY).agg(F.sort_array(F.collect_list(own)).alias("_want"))
+    rows = both.join(wanted, KEY).select(KEY, F.explode(F.arrays_zip("_got", "_want")).alias("_p"))
+    rows = rows.select(KEY, F.col("_p._got").alias("response"), F.col("_p._want").alias("want"))
+    return rows.select(KEY, *_scored(), (F.abs(F.col("response") - F.col("want")) < 1e-9).alias("of_own_region"))
+
+
+@query("feature_importances_repeated", f"SELECT feature, true AS is_share, true AS sums_to_one, true AS in_order FROM ({_FEATURE_ROWS})")
 def _(spark, sf):
-    ranked = ml.feature_importances_repeated(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS, n_fits=2)
-    return rounded(ranked, 6, "importance")
+    ranked = _facts(ml.feature_importances_repeated(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS, n_fits=5))
+    values = [r["importance"] for r in ranked.orderBy("position").collect()]
+    return ranked.select(
+        "feature",
+        _share("importance", "is_share"),
+        F.lit(abs(sum(values) - 1) < 1e-9).alias("sums_to_one"),
+        F.lit(values == sorted(values, reverse=True)).alias("in_order"),
+    )
 
 
-@query("iterative_remove_auc")
+@query("iterative_remove_auc", f"SELECT feature, true AS auc_is_share, true AS in_order FROM ({_FEATURE_ROWS})")
 def _(spark, sf):
-    return rounded(ml.iterative_remove_auc(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS), 6, "auc")
+    ranked = _facts(ml.iterative_remove_auc(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS))
+    values = [r["auc"] for r in ranked.orderBy("position").collect()]
+    return ranked.select("feature", _share("auc", "auc_is_share"), F.lit(values == sorted(values)).alias("in_order"))
 
 
-@query("iterative_add_auc")
+@query(
+    "iterative_add_auc",
+    " UNION ALL ".join(f"SELECT {i} AS n, '{f}' AS feature, true AS auc_is_share" for i, f in enumerate(FEATURES, 1)),
+)
 def _(spark, sf):
-    return rounded(ml.iterative_add_auc(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS), 6, "auc")
+    return ml.iterative_add_auc(_prepared(spark, sf), KEY, FEATURES, AXES, ROUNDS).select("n", "feature", _share("auc", "auc_is_share"))

@@ -47,6 +47,33 @@ def test_fit_and_score(table, model):
     assert ml.ignored_axes({"num_leaves": 3, "max_depth": 2}) == ["num_leaves"]
 
 
+def test_patience():
+    assert ml.best_round([0.5, 0.6, 0.4, 0.3, 0.35, 0.36], 2) == 4
+    assert ml.best_round([0.5, 0.6, 0.7, 0.4], 2) == 1  # the gain comes after patience has run out
+    assert ml.best_round([0.5, 0.4, 0.3], 10) == 3
+    assert ml.best_round([float("nan")] * 3, 1) == 3
+
+
+def test_early_stop_keeps_the_best_round(table):
+    # Validation rows whose labels are noise: more rounds only fit what does not hold there.
+    noisy = table.withColumn("label", F.when(F.hash("id") % 4 == 0, F.pmod(F.hash("id", F.lit(3)), F.lit(2)).cast("int")).otherwise(F.col("label")))
+    rule = F.hash("id") % 4 == 0
+    stopped = ml.fit_classifier(noisy, FEATURES, AXES, 8, rule, patience=3)
+    full = ml.fit_classifier(noisy.filter(~rule), FEATURES, AXES, 8)
+    assert ml.best_iteration(full) == 8 and ml.best_iteration(stopped) < 8
+    assert stopped.stages[-1].trees[0].toDebugString.split("\n", 1)[1] == full.stages[-1].trees[0].toDebugString.split("\n", 1)[1]
+
+
+def test_scan_goes_on_where_it_stopped(table, folder, monkeypatch):
+    grid = {"max_depth": [1, 2]}
+    first = ml.parameter_scan(table, "id", FEATURES, {"max_depth": [1]}, 2, results=f"{folder}/scan").collect()
+    trained = []
+    train = ml._train_and_judge
+    monkeypatch.setattr(ml, "_train_and_judge", lambda t, k, f, p, r: trained.append(p) or train(t, k, f, p, r))
+    both = ml.parameter_scan(table, "id", FEATURES, grid, 2, results=f"{folder}/scan").orderBy("name").collect()
+    assert trained == [{"max_depth": 2}] and both[0] == first[0] and len(both) == 2
+
+
 def test_missing_values(table):
     # A feature that is missing more often for background: being missing must itself be usable.
     gaps = table.withColumn(
