@@ -17,8 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evq.llm.tasks import small_batches
 from evq.llm.tokens import BatchEncoder, tokenizer_path
-from evq.llm.words import mix, text_blocks
+from evq.llm.words import mix, release_memory, text_blocks
 
 #: Tokens in a sequence.
 SEQUENCE = 2048
@@ -103,9 +104,10 @@ def cut_documents(docs: DataFrame, groups: int, tokenizer: str | None = None, en
                     [block.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, sums, tokens[row], group[row].astype(np.int64)))],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group"],
                 )
+            release_memory()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(cut, _PIECES)
+    return small_batches(chosen).mapInArrow(cut, _PIECES)
 
 
 def pack_documents(docs: DataFrame, group_documents: int = GROUP_DOCUMENTS, sequence: int = SEQUENCE, **options) -> DataFrame:

@@ -8,10 +8,22 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from evq.llm.words import BLOCK_BYTES, text_blocks
+from evq.llm.words import BLOCK_BYTES, release_memory, text_blocks
 from evq.plans.session import ensure_checkpoint_dir
 
 
+#: Rows sent to a Python worker at once. Rows hold whole documents: Spark's default of 10,000 is made for narrow ones.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, with the session's Arrow batches limited to ``BATCH_ROWS`` rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """Apply a function to blocks of rows whose texts hold about ``block`` bytes."""
 
@@ -19,8 +31,9 @@ def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]
         for batch in batches:
             for part in text_blocks(batch, column, block):
                 yield function(part)
+            release_memory()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq.llm.elias_fano import EliasFano
-from evq.llm.tasks import new_folder
+from evq.llm.tasks import new_folder, small_batches
 from evq.llm.tokens import BatchEncoder, tokenizer_path
-from evq.llm.words import text_blocks
+from evq.llm.words import release_memory, text_blocks
 
 MAGIC = b"EVQTOK1\0"
 _HEAD = struct.Struct("<qqqq")
@@ -123,13 +123,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 held += len(with_end) * width
                 if held >= file_bytes:
                     close()
+            release_memory()
         if doc_ids:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*stats, strict=True) if stats else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "documents", "ids"])
 
     spark = docs.sparkSession
     manifest = f"{folder}/_manifest"
-    placed.mapInArrow(write, "file string, documents long, ids long").write.mode("overwrite").parquet(manifest)
+    small_batches(placed).mapInArrow(write, "file string, documents long, ids long").write.mode("overwrite").parquet(manifest)
     return spark.read.schema("file string, documents long, ids long").parquet(manifest)
 
 

@@ -19,7 +19,7 @@ import regex
 from evq.llm.words import span_hashes, text_buffer
 
 #: Pre-tokens a worker remembers (about 50 bytes each); beyond it starts again with an empty table.
-MEMORY_ENTRIES = 1_500_000
+MEMORY_ENTRIES = 600_000
 #: Code points below this are classified by table; texts with others go to the library whole.
 TABLE_END = 0x3000
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3

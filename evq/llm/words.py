@@ -9,6 +9,8 @@ longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Separator of the ASCII white space words: everything but space and 0x09-0x0D.
 SPACE_WORDS = np.ones(256, dtype=bool)
 SPACE_WORDS[[9, 10, 11, 12, 13, 32]] = False
@@ -46,6 +48,13 @@ class Words(NamedTuple):
         return np.diff(self.first)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,7 +93,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, 1), base, dtype=np.uint64)
         table[0] = 1
         table = np.cumprod(table, dtype=np.uint64)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 2 * BLOCK_BYTES:
             _powers[base] = table
     return table
 
