@@ -35,7 +35,7 @@ from evq.llm.words import Words, covered, inside_document, join_hashes, replaced
 WINDOW = 50
 LEVEL_1 = 13
 LEVEL_2 = 2 * LEVEL_1
-_ANCHORS = "place long, mark int, start int, windows int, level_1 long, right long, left long, context long"
+_ANCHORS = "place long, mark int, start int, windows int, level_1 long, right long, left long, context long, second long"
 _SPANS = "place long, mark int, spans array<int>"
 
 
@@ -72,15 +72,18 @@ def _anchor_rows(block: pa.RecordBatch) -> pa.RecordBatch:
         return pa.array(values.view(np.int64), mask=~there)
 
     context = join_hashes(span_hashes(words.hashes, low, high + WINDOW), (anchor - low).astype(np.uint64))
+    # a second hash of the context's own words: its first and last window cover it
+    ends = window_hashes(words.hashes, WINDOW)
+    second = join_hashes(join_hashes(ends[low], ends[high]), (high - low).astype(np.uint64)) if len(low) else np.zeros(0, np.uint64)
     level_1 = window_hashes(words.hashes, LEVEL_1)[anchor] if len(anchor) else np.zeros(0, np.uint64)
     rows = pa.array(doc)
     return pa.RecordBatch.from_arrays(
         [
             block.column(0).take(rows), block.column(1).take(rows),
             pa.array((low - words.first[doc]).astype(np.int32)), pa.array((high - low + 1).astype(np.int32)),
-            pa.array(level_1.view(np.int64)), extension(anchor, 1), extension(anchor - LEVEL_1, 2), pa.array(context.view(np.int64)),
+            pa.array(level_1.view(np.int64)), extension(anchor, 1), extension(anchor - LEVEL_1, 2), pa.array(context.view(np.int64)), pa.array(second.view(np.int64)),
         ],
-        ["place", "mark", "start", "windows", "level_1", "right", "left", "context"],
+        ["place", "mark", "start", "windows", "level_1", "right", "left", "context", "second"],
     )
 
 
@@ -129,7 +132,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     survivors = anchors.join(repeated, "level_1", "left_semi").drop("level_1")
     survivors = survivors.join(_seen_twice(survivors, "right"), "right", "left").join(_seen_twice(survivors, "left"), "left", "left")
     survivors = written(survivors.where("right_mixed IS NOT NULL OR left_mixed IS NOT NULL").select(
-        "place", "mark", "start", "windows", "context", F.coalesce("right", "left").alias("second"),
+        "place", "mark", "start", "windows", "context", "second",
         (F.coalesce("right_mixed", F.lit(False)) | F.coalesce("left_mixed", F.lit(False))).alias("mixed"),
     ), "survivors")
     first = survivors.groupBy("context", "second").agg(F.min("place").alias("_first"))

@@ -60,6 +60,23 @@ def test_remove_repeats(docs):
     rows = cleaned.collect()
     assert sorted(" ".join(split(r["text"])) for r in rows) == want
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+
+
+@pytest.mark.parametrize("ends", [False, True])
+def test_repeats_of_random_pairs(spark, ends):
+    """Passages of 50 to 89 words that two documents share: words that differ after it, or the smaller document ends with it."""
+    rng = random.Random(int(ends))
+    word = lambda pair: f"{pair}x{rng.getrandbits(40):x}"
+    pairs, want = [], {}
+    for pair in range(4000):
+        passage = [word(pair) for _ in range(rng.randrange(50, 90))]
+        for side in (0, 1):
+            before = [word(pair) for _ in range(rng.randrange(40))]
+            after = [] if ends and not side else [word(pair) for _ in range(rng.randrange(1, 40))]
+            pairs.append((2 * pair + side, " ".join(before + passage + after)))
+            want[2 * pair + side] = side * len(passage)
+    got = {r[0]: r[1] for r in repeats.kept_words(corpus.frame(spark, pairs, clash=False)).select("doc_id", "n_removed").collect()}
+    assert {d: (got[d], n) for d, n in want.items() if got[d] != n} == {}
     assert all(r["mark"] == (None if r["doc_id"] is None else f"mark{r['doc_id']}") for r in rows)
 
 
