@@ -9,7 +9,7 @@ Shards are any sets of paths: a task takes blocks of paths, enumerates their dis
 minimal perfect hash (verified against the stored digest), scatters counts into flat arrays and accumulates them from
 the deepest slots upwards through the array of parent slots. What a shard finds for a node is a partial sum, and
 Spark adds the partial sums of a digest; so a first turn that a third of all conversations share is one row a shard.
-Long paths are cut into bands of ``BAND`` turns at fixed depths; what the bands below bring is carried to the end of
+Long paths are cut into bands of ``Sizes.band`` turns at fixed depths; what the bands below bring is carried to the end of
 the band above by a running sum over bands, so no task holds a whole long conversation.
 
 Defined results. Turns are in order of ``turn`` (null first), ties by the digest of role and text; repeated rows are
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +34,21 @@ from evq.llm.tasks import small_batches, written
 from evq.llm.words import join_hashes
 from evq.plans.positions import with_position
 
-#: Turns of a path that are handled as one row.
-BAND = 256
-#: Turns of a block of paths: what a shard's arrays are made of.
-BLOCK_TURNS = 1 << 18
 #: Digest of the root, which no chain gives in practice (a clash raises an error).
 ROOT = (0, 0)
-#: Conversation ids that are joined to one string before the last sort of a node's ends.
-CHUNK = 1 << 14
 #: Parts of a node's children in the join that tells them their parent's owner.
 PARTS = 64
 DIGEST = ["high", "low"]
 
 
+class Sizes(NamedTuple):
+    """Turns of a path in one row, turns of a block of paths, ids joined to one string before the last sort of a node's ends."""
+
+    band: int = 256
+    block: int = 1 << 18
+    chunk: int = 1 << 14
+
+
 def turn_rows(conversations: DataFrame) -> DataFrame:
     """``conv_id, position, digest, chars`` of all turns, in order from 0; texts are left behind in the scan."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
@@ -90,14 +94,15 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), _longs(np.ascontiguousarray(values)))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``BLOCK_TURNS`` turns in a list column."""
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, sizes: Sizes) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``sizes.block`` turns in a list column."""
     kept, turns = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_TURNS // BAND):
-            part = batch.slice(at, BLOCK_TURNS // BAND)
+        rows = max(1, sizes.block // sizes.band)
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
             n = len(part.column(column).flatten())
-            if kept and turns + n > BLOCK_TURNS:
+            if kept and turns + n > sizes.block:
                 yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
                 kept, turns = [], 0
             kept.append(part)
@@ -119,9 +124,9 @@ def _number(batch: pa.RecordBatch, name: str, dtype: type = np.int64) -> np.ndar
     return batch.column(name).to_numpy(zero_copy_only=False).view(dtype)
 
 
-def _local_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_chains(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa.RecordBatch]:
     """Per band of a path: the digests of its turns, and those chained from the band's start."""
-    for batch in _blocks(batches, "path"):
+    for batch in _blocks(batches, "path", sizes):
         path = batch.column("path")
         items, starts = path.flatten(), _starts(path)
         digests = np.frombuffer(b"".join(items.field("digest").to_pylist()), np.uint64).reshape(-1, 2)
@@ -151,9 +156,9 @@ def _band_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["conv_id", "band", "up_high", "up_low"])
 
 
-def _joined_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined_bands(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa.RecordBatch]:
     """Chain each band to the digest above it: now a digest stands for the whole sequence from the first turn."""
-    for batch in _blocks(batches, "high"):
+    for batch in _blocks(batches, "high", sizes):
         starts = _starts(batch.column("high"))
         lengths = np.diff(starts)
         up = [np.repeat(_number(batch, name, np.uint64), lengths) for name in ("up_high", "up_low")]
@@ -165,23 +170,23 @@ def _joined_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _CHAINS = "conv_id long, band long, turns long, high array<long>, low array<long>, said array<long>, chars array<long>"
 
 
-def paths(rebuilt: DataFrame) -> DataFrame:
-    """Rows of at most ``BAND`` turns: the nodes that a conversation passes, from ``band * BAND + 1`` downwards."""
-    band = F.floor((F.col("depth") - 1) / BAND).cast("long").alias("band")
+def paths(rebuilt: DataFrame, sizes: Sizes) -> DataFrame:
+    """Rows of at most ``sizes.band`` turns: the nodes that a conversation passes, from depth ``band * sizes.band + 1``."""
+    band = F.floor((F.col("depth") - 1) / sizes.band).cast("long").alias("band")
     bands = rebuilt.groupBy("conv_id", band).agg(F.max("turns").alias("turns"), F.sort_array(F.collect_list(F.struct("depth", "digest", "chars"))).alias("path"))
-    chains = written(bands.mapInArrow(_local_chains, _CHAINS), "trie-chains")
-    full = chains.where(F.size("high") == BAND).select("conv_id", "band", F.element_at("high", -1).alias("high"), F.element_at("low", -1).alias("low"))
+    chains = written(bands.mapInArrow(partial(_local_chains, sizes=sizes), _CHAINS), "trie-chains")
+    full = chains.where(F.size("high") == sizes.band).select("conv_id", "band", F.element_at("high", -1).alias("high"), F.element_at("low", -1).alias("low"))
     tops = full.repartition("conv_id").sortWithinPartitions("conv_id", "band").mapInArrow(_band_tops, "conv_id long, band long, up_high long, up_low long")
     root = [F.coalesce(f"up_{half}", F.lit(value)).alias(f"up_{half}") for half, value in zip(DIGEST, ROOT, strict=True)]
     above = chains.join(tops, ["conv_id", "band"], "left").select(*chains.columns, *root)
     schema = "conv_id long, band long, turns long, up_high long, up_low long, said array<long>, chars array<long>, high array<long>, low array<long>"
-    return written(above.mapInArrow(_joined_bands, schema), "trie-paths")
+    return written(above.mapInArrow(partial(_joined_bands, sizes=sizes), schema), "trie-paths")
 
 
 class _Shard:
     """The nodes on a block of paths: their slots, depths and parent slots (-1: above the block)."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
+    def __init__(self, batch: pa.RecordBatch, band: int) -> None:
         self.high, self.low = _flat(batch.column("high")), _flat(batch.column("low"))
         self.starts = _starts(batch.column("high"))
         lengths = np.diff(self.starts)
@@ -190,7 +195,7 @@ class _Shard:
         self.up_high, self.up_low = np.roll(self.high, 1), np.roll(self.low, 1)
         for up, name in ((self.up_high, "up_high"), (self.up_low, "up_low")):
             up[first] = _number(batch, name, np.uint64)[lengths > 0]
-        self.depth = _number(batch, "band")[self.path] * BAND + np.arange(len(self.high)) - self.starts[self.path] + 1
+        self.depth = _number(batch, "band")[self.path] * band + np.arange(len(self.high)) - self.starts[self.path] + 1
         # Enumerate the distinct digests, with the root.
         high, low = np.append(self.high, np.uint64(ROOT[0])), np.append(self.low, np.uint64(ROOT[1]))
         order = np.lexsort((low, high))
@@ -205,7 +210,9 @@ class _Shard:
         self.nodes = np.flatnonzero(self.turn >= 0)
         turn = self.turn[self.nodes]
         self.parent = np.full(len(self.table), -1, np.int64)
-        self.parent[self.nodes] = self.table.slots(self.up_high[turn], self.up_low[turn])
+        # What goes from a band to the one above is carried outside, also when both are in this block.
+        inside = ((self.depth[turn] - 1) % band != 0) | (self.depth[turn] == 1)
+        self.parent[self.nodes] = np.where(inside, self.table.slots(self.up_high[turn], self.up_low[turn]), -1)
 
     def upwards(self, *arrays: np.ndarray) -> None:
         """Add each slot's values to its parent's, the deepest slots first."""
@@ -218,10 +225,10 @@ class _Shard:
                 np.add.at(values, self.parent[inside], values[inside])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa.RecordBatch]:
     """Members and smallest member of the nodes of a shard."""
-    for batch in _blocks(batches, "high"):
-        shard = _Shard(batch)
+    for batch in _blocks(batches, "high", sizes):
+        shard = _Shard(batch, sizes.band)
         members, smallest = np.zeros(len(shard.table), np.int64), np.full(len(shard.table), np.iinfo(np.int64).max)
         np.add.at(members, shard.slot, 1)
         np.minimum.at(smallest, shard.slot, _number(batch, "conv_id")[shard.path])
@@ -234,10 +241,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTED = "high long, low long, up_high long, up_low long, depth long, chars long, said long, n_convs long, conv_id long"
 
 
-def nodes(all_paths: DataFrame) -> DataFrame:
+def nodes(all_paths: DataFrame, sizes: Sizes) -> DataFrame:
     """One row per node below the root, merged from all shards."""
     facts = F.struct("up_high", "up_low", "depth", "chars", "said")
-    merged = small_batches(all_paths).mapInArrow(_counted, _COUNTED).groupBy(*DIGEST).agg(
+    merged = small_batches(all_paths).mapInArrow(partial(_counted, sizes=sizes), _COUNTED).groupBy(*DIGEST).agg(
         F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.min(facts).alias("facts"), F.max(facts).alias("others")
     )
     is_root = (F.col("high") == ROOT[0]) & (F.col("low") == ROOT[1])
@@ -245,10 +252,10 @@ def nodes(all_paths: DataFrame) -> DataFrame:
     return merged.withColumn("facts", same).select(*DIGEST, "n_convs", "conv_id", "facts.up_high", "facts.up_low", "facts.depth", "facts.chars")
 
 
-def _accumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _accumulated(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa.RecordBatch]:
     """Partial sums over the subtrees of a shard's nodes, of what the paths' conversations own."""
-    for batch in _blocks(batches, "high"):
-        shard = _Shard(batch)
+    for batch in _blocks(batches, "high", sizes):
+        shard = _Shard(batch, sizes.band)
         leaves, saved = np.zeros(len(shard.table), np.int64), np.zeros(len(shard.table), np.int64)
         own = batch.column("own")
         items, row = own.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(_starts(own)))
@@ -263,11 +270,11 @@ def _accumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_longs(shard.table.high[some]), _longs(shard.table.low[some]), pa.array(leaves[some]), pa.array(saved[some])], [*DIGEST, "n_leaves", "saved_tokens"])
 
 
-def subtree_sums(all_nodes: DataFrame, all_paths: DataFrame) -> DataFrame:
+def subtree_sums(all_nodes: DataFrame, all_paths: DataFrame, sizes: Sizes) -> DataFrame:
     """``n_leaves`` and ``saved_tokens`` of every node and of the root; nodes need ``n_children``."""
-    band = F.floor((F.col("depth") - 1) / BAND).cast("long").alias("band")
+    band = F.floor((F.col("depth") - 1) / sizes.band).cast("long").alias("band")
     item = F.struct(
-        ((F.col("depth") - 1) % BAND).alias("at"),
+        ((F.col("depth") - 1) % sizes.band).alias("at"),
         F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("leaf"),
         ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"),
     )
@@ -287,18 +294,18 @@ def subtree_sums(all_nodes: DataFrame, all_paths: DataFrame) -> DataFrame:
         "conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("band") - 1)).alias("band"), nothing.alias("own"), F.col("all_leaf").alias("below_leaf"), F.col("all_saved").alias("below_saved")
     )
     work = all_paths.join(carried.select(*above.columns).unionByName(above), ["conv_id", "band"])
-    sums = work.mapInArrow(_accumulated, "high long, low long, n_leaves long, saved_tokens long")
+    sums = work.mapInArrow(partial(_accumulated, sizes=sizes), "high long, low long, n_leaves long, saved_tokens long")
     return sums.groupBy(*DIGEST).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
 
 
-def _id_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (digest, conv_id) rows: the ids of a digest joined, at most ``CHUNK`` in a row."""
+def _id_chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (digest, conv_id) rows: the ids of a digest joined, at most ``chunk`` in a row."""
     for batch in batches:
         high, low, ids = (_number(batch, name) for name in (*DIGEST, "conv_id"))
         new = np.ones(len(ids), bool)
         new[1:] = (np.diff(high) != 0) | (np.diff(low) != 0)
         starts = np.flatnonzero(new)
-        starts = np.unique(np.concatenate([starts, *(np.arange(a, b, CHUNK) for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True) if b - a > CHUNK)]))
+        starts = np.unique(np.concatenate([starts, *(np.arange(a, b, chunk) for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True) if b - a > chunk)]))
         texts = [",".join(map(str, ids[a:b].tolist())) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(high[starts]), pa.array(low[starts]), pa.array(ids[starts]), pa.array(texts)], [*DIGEST, "first", "ids"])
 
@@ -325,13 +332,13 @@ def _hashed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def end_digests(conversations: DataFrame, all_paths: DataFrame) -> DataFrame:
+def end_digests(conversations: DataFrame, all_paths: DataFrame, sizes: Sizes) -> DataFrame:
     """Per node at which conversations end: SHA-256 of their ids in order. Ids of one node are sorted in many tasks."""
-    last = F.col("band") * BAND + F.size("high") == F.col("turns")
+    last = F.col("band") * sizes.band + F.size("high") == F.col("turns")
     ends = all_paths.where(last).select("conv_id", F.element_at("high", -1).alias("high"), F.element_at("low", -1).alias("low"))
     empty = conversations.where("turns = 0").select("conv_id", F.lit(ROOT[0]).cast("long").alias("high"), F.lit(ROOT[1]).cast("long").alias("low"))
     order = [*DIGEST, "conv_id"]
-    chunks = ends.unionByName(empty).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_id_chunks, "high long, low long, first long, ids string")
+    chunks = ends.unionByName(empty).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_id_chunks, chunk=sizes.chunk), "high long, low long, first long, ids string")
     return chunks.repartition(*DIGEST).sortWithinPartitions(*DIGEST, "first").mapInArrow(_hashed_ids, "high long, low long, ends_sha256 string")
 
 
@@ -347,21 +354,21 @@ def _parents(below: DataFrame, root: DataFrame) -> DataFrame:
     return children.join(wanted, ["up_high", "up_low", "part"]).select(*DIGEST, "parent_conv_id")
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """One row per node of the trie of rebuilt conversations."""
     everyone, rebuilt = rebuild(turn_rows(conversations))
-    all_paths = paths(rebuilt)
-    below = written(nodes(all_paths), "trie-nodes")
+    all_paths = paths(rebuilt, sizes)
+    below = written(nodes(all_paths, sizes), "trie-nodes")
     root = everyone.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
     children = below.groupBy(F.col("up_high").alias("high"), F.col("up_low").alias("low")).agg(F.count(F.lit(1)).alias("n_children"))
     none: Column = F.lit(0).cast("long")
     top = root.select(F.lit(ROOT[0]).cast("long").alias("high"), F.lit(ROOT[1]).cast("long").alias("low"), "n_convs", "conv_id", none.alias("depth"), none.alias("chars"))
     known = below.select(*top.columns).unionByName(top).join(children, DIGEST, "left").withColumn("n_children", F.coalesce("n_children", none))
     known = written(known, "trie-known")
-    sums = subtree_sums(known.where("depth > 0"), all_paths)
+    sums = subtree_sums(known.where("depth > 0"), all_paths, sizes)
     return (
         known.join(sums, DIGEST, "left")
-        .join(end_digests(everyone, all_paths), DIGEST, "left")
+        .join(end_digests(everyone, all_paths, sizes), DIGEST, "left")
         .join(_parents(below, root), DIGEST, "left")
         .select(
             "conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
