@@ -142,7 +142,7 @@ def scan(files: DataFrame) -> DataFrame:
     clash = [c for c in files.columns if c in ("own_licence", "own_score", "licence", "licence_from", "inherited_path", "licence_share", "_dir")]
     own = written(own_licences(files.drop(*clash)), "licences").withColumn("_dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     stated = own.where(F.col("own_licence").isNotNull() & F.col("path").isNotNull() & ((F.col("licence_share") >= FILE_SHARE) | F.col("path").rlike(FILE_NAMES)))
-    spoken = stated.groupBy("_dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_licence").alias("l"))).alias("_best"))
+    spoken = stated.groupBy("_dir").agg(F.min(F.struct((-F.round("own_score", 9)).alias("s"), F.col("path").alias("p"), F.col("own_licence").alias("l"))).alias("_best"))
     spoken = spoken.select(F.col("_dir").alias("_above"), F.col("_best.l").alias("_licence"), F.col("_best.p").alias("_path"))
     # every ancestor of each distinct directory: its path cut after each part, the root (empty) included
     parts = F.split("_dir", "/")

@@ -10,15 +10,19 @@ from llm import corpus
 
 def folder_of(spark, folder):
     rng = random.Random(4)
-    item = corpus.prose(rng, 15)
-    passage = corpus.prose(rng, 70)
-    pairs = [(i, corpus.prose(rng, 90)) for i in range(40)]
+
+    def prose(n):  # few words, so that good documents resemble each other
+        return corpus.prose(rng, n, 4)
+
+    item = prose(15)
+    passage = prose(70)
+    pairs = [(i, prose(90)) for i in range(40)]
     words = pairs[0][1].split(" ")
     pairs.append((40, " ".join(words[:50] + ["new"] + words[51:])))  # near copy
     pairs.append((41, pairs[1][1]))  # exact copy
-    pairs += [(42, f"{corpus.prose(rng, 60)} {passage}"), (43, f"{corpus.prose(rng, 60)} {passage} {corpus.prose(rng, 30)}")]
-    pairs += [(44, f"{corpus.prose(rng, 60)} {item} {corpus.prose(rng, 20)}"), (45, "too short"), (46, None)]
-    pairs += [(60 + i, " ".join(f"{w}###" for w in corpus.prose(rng, 90).split(" "))) for i in range(12)]
+    pairs += [(42, f"{prose(60)} {passage}"), (43, f"{prose(60)} {passage} {prose(30)}")]
+    pairs += [(44, f"{prose(60)} {item} {prose(20)}"), (45, "too short"), (46, None)]
+    pairs += [(60 + i, " ".join(f"{w}###" for w in prose(90).split(" "))) for i in range(12)]
     corpus.frame(spark, pairs, False).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     labels = [(i, 1) for i in range(20)] + [(60 + i, 0) for i in range(6)]
@@ -48,5 +52,5 @@ def test_stages(spark, folder):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near-duplicates", "repeats", "benchmark", "packing"]
