@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,73 +51,98 @@ def drop_constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -
 ROUNDING = 8 * np.finfo(float).eps
 
 
+#: Tasks per executor core that a correlation matrix reads the table with.
+TASKS_PER_CORE = 4
+
+
+class _Moments:
+    """Counts, means and central moments of all pairs of columns over the rows where both are present.
+
+    One array of six planes (rows, means of the first and the second column, both variances, covariance, the last
+    three times the rows), so that a task's state is one value of features squared, and two states merge exactly.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.pairs, self.state = np.triu_indices(n, k=1), None
+
+    def add(self, count, x, y, xx, yy, xy) -> None:
+        new = np.stack([count, x, y, xx, yy, xy])
+        if self.state is None:
+            self.state = new
+            return
+        old, total = self.state, np.maximum(self.state[0] + count, 1)
+        dx, dy, both = x - old[1], y - old[2], old[0] * count / total
+        share = count / total
+        self.state = np.stack(
+            [old[0] + count, old[1] + dx * share, old[2] + dy * share, old[3] + xx + dx * dx * both, old[4] + yy + dy * dy * both, old[5] + xy + dx * dy * both]
+        )
+
+    def add_rows(self, x: np.ndarray) -> None:
+        """Rows with NaN where a value is missing; shifted by the batch's own means, so that products do not cancel."""
+        here = ~np.isnan(x)
+        full = bool(here.all())
+        shift = x.mean(axis=0) if full else np.where(here, x, 0.0).sum(axis=0) / np.maximum(here.sum(axis=0), 1)
+        a, b = self.pairs
+        if full:  # the means are exact: one product says all
+            product = (x - shift).T @ (x - shift)
+            square = np.diag(product)
+            self.add(np.full(len(a), float(len(x))), shift[a], shift[b], square[a], square[b], product[a, b])
+            return
+        m, x = here.astype(float), np.where(here, x - shift, 0.0)
+        square = x * x
+        count, sum_a, sum_b, xx, yy, xy = (p[a, b] for p in (m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x))
+        safe = np.maximum(count, 1)
+        self.add(count, shift[a] + sum_a / safe, shift[b] + sum_b / safe, xx - sum_a * sum_a / safe, yy - sum_b * sum_b / safe, xy - sum_a * sum_b / safe)
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        if self.state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([self.state.tobytes()], pa.binary())], ["state"])
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson coefficients of all feature pairs over the rows where both are present:
     ``pos_a, feature_a, pos_b, feature_b, coeff`` with ``pos_a < pos_b``; null where one of them does not vary there.
 
-    One scan: each task adds up matrix products of its Arrow batches, shifted by the means of
-    its first batch so that moments do not cancel, and sends counts, means and central moments
-    of every pair. Those merge exactly: the shuffle is features squared per task.
+    One scan, by as many tasks as the cluster runs at a time and a few more: each adds up matrix products of its Arrow
+    batches and sends its moments of all pairs as one value. Those merge exactly, in two steps: what is shuffled is
+    features squared per core, whatever the size of the table.
     """
     columns = _numeric(df, columns)
-    base = df.select(*[_finite(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    n = len(columns)
-    upper = np.triu_indices(n, k=1)
+    n, spark = len(columns), df.sparkSession
+    tasks = TASKS_PER_CORE * max(1, spark.sparkContext.defaultParallelism)
+    base = df.select(*[_finite(c).alias(f"_{i}") for i, c in enumerate(columns)]).coalesce(tasks)
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, shift = np.zeros((6, n, n)), None
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moments = _Moments(n)
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            here = ~np.isnan(x)
-            if shift is None:
-                shift = np.where(here, x, 0.0).sum(axis=0) / np.maximum(here.sum(axis=0), 1)
-            m = here.astype(float)
-            x = np.where(here, x - shift, 0.0)
-            square = x * x
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
-        if shift is None:
-            return
-        count, x, y, xx, yy, xy = (part[upper] for part in total)
-        safe = np.maximum(count, 1)
-        yield pd.DataFrame(
-            {
-                "pos_a": upper[0].astype(np.int32),
-                "pos_b": upper[1].astype(np.int32),
-                "n": count,
-                "x": shift[upper[0]] + x / safe,
-                "y": shift[upper[1]] + y / safe,
-                "xx": xx - x * x / safe,
-                "yy": yy - y * y / safe,
-                "xy": xy - x * y / safe,
-            }
-        )
+            if batch.num_rows:
+                moments.add_rows(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+        yield from moments.packed()
 
-    pair = Window.partitionBy("pos_a", "pos_b")
-    tasks = base.mapInPandas(moments, "pos_a int, pos_b int, n double, x double, y double, xx double, yy double, xy double")
-    tasks = tasks.filter("n > 0").withColumns({f"mean_{v}": F.sum(F.col("n") * F.col(v)).over(pair) / F.sum("n").over(pair) for v in "xy"})
-    dx, dy = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")
-    sums = tasks.groupBy("pos_a", "pos_b").agg(
-        F.sum("n").alias("n"),
-        F.first("mean_x").alias("mean_x"),
-        F.first("mean_y").alias("mean_y"),
-        F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"),
-        F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"),
-        F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"),
-    )
+    def merged(batches: Iterator[pa.RecordBatch]) -> _Moments:
+        moments = _Moments(n)
+        for batch in batches:
+            for state in batch.column(0):
+                moments.add(*np.frombuffer(state.as_buffer(), np.float64).reshape(6, -1))
+        return moments
+
+    def coefficients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moments = merged(batches)
+        a, b = moments.pairs
+        coeff = np.full(len(a), np.nan)
+        if moments.state is not None:
+            count, x, y, xx, yy, xy = moments.state
+            varies = (xx > count * (ROUNDING * x) ** 2) & (yy > count * (ROUNDING * y) ** 2)
+            coeff[varies] = xy[varies] / np.sqrt(xx[varies] * yy[varies])
+        names = np.array(columns, dtype=object)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype(np.int32)), pa.array(names[a], pa.string()), pa.array(b.astype(np.int32)), pa.array(names[b], pa.string()), pa.array(coeff, mask=np.isnan(coeff))],
+            ["pos_a", "feature_a", "pos_b", "feature_b", "coeff"],
+        )
 
-    def varies(moment: str, mean: str):
-        least = F.lit(ROUNDING) * F.abs(mean)
-        return F.col(moment) > F.col("n") * least * least
-
-    names = F.array(*map(F.lit, columns))
-    pairs = df.sparkSession.createDataFrame([(int(i), int(j)) for i, j in zip(*upper)], "pos_a int, pos_b int")
-    return pairs.join(sums, ["pos_a", "pos_b"], "left").select(
-        "pos_a",
-        F.element_at(names, F.col("pos_a") + 1).alias("feature_a"),
-        "pos_b",
-        F.element_at(names, F.col("pos_b") + 1).alias("feature_b"),
-        F.when(varies("xx", "mean_x") & varies("yy", "mean_y"), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("coeff"),
-    )
+    some = math.isqrt(tasks) + 1
+    states = base.mapInArrow(of_rows, "state binary").repartition(some).mapInArrow(lambda batches: merged(batches).packed(), "state binary")
+    return states.repartition(1).mapInArrow(coefficients, "pos_a int, feature_a string, pos_b int, feature_b string, coeff double")
 
 
 def correlated_pairs(correlations: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -1,5 +1,8 @@
 """Analysis of fit results: tables with one row per fit and parameter.
 
+``fit`` is a plain string or, over several workspaces, the key of :mod:`evq.functions.fit_keys`; a fit is named by
+a string or a ``FitKey`` accordingly.
+
 Two fits are compared by one conditional aggregate per parameter (one scan, a
 map-side partial) instead of a self-join; the configuration tables that name
 fits are joined without a hint, so Spark sizes them.
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq import config
+from evq.functions.fit_keys import FitKey, has_keys, is_fit
 from evq.functions.text import prettify_label
 from evq.plans.positions import with_position
 
@@ -57,16 +61,19 @@ def impact_bars(df: DataFrame, n: int | None = 20, fit: str = "fit") -> DataFram
 # --- two fits -------------------------------------------------------------------
 
 
-def _of(fit: str, value: str, column: str) -> Column:
-    return F.max(F.when(F.col(fit) == value, F.col(column)))
+Fit = str | FitKey
+
+
+def _of(fit: str, value: Fit, column: str) -> Column:
+    return F.max(F.when(is_fit(fit, value), F.col(column)))
 
 
-def paired_fits(df: DataFrame, first: str, second: str, columns: Sequence[str], fit: str = "fit") -> DataFrame:
+def paired_fits(df: DataFrame, first: Fit, second: Fit, columns: Sequence[str], fit: str = "fit") -> DataFrame:
     """``name`` and ``{column}_1, {column}_2`` of the parameters present in both fits."""
-    both = df.filter(F.col(fit).isin(first, second)).groupBy("name")
+    both = df.filter(is_fit(fit, first) | is_fit(fit, second)).groupBy("name")
     wide = both.agg(
-        F.count(F.when(F.col(fit) == first, 1)).alias("_n1"),
-        F.count(F.when(F.col(fit) == second, 1)).alias("_n2"),
+        F.count(F.when(is_fit(fit, first), 1)).alias("_n1"),
+        F.count(F.when(is_fit(fit, second), 1)).alias("_n2"),
         *[_of(fit, f, c).alias(f"{c}_{i}") for c in columns for i, f in ((1, first), (2, second))],
     )
     return wide.filter((F.col("_n1") > 0) & (F.col("_n2") > 0)).drop("_n1", "_n2")
@@ -80,14 +87,14 @@ def _delta(c1, c2, hi1, hi2, lo1, lo2) -> dict[str, Column]:
     }
 
 
-def delta_param(df: DataFrame, first: str, second: str, fit: str = "fit") -> DataFrame:
+def delta_param(df: DataFrame, first: Fit, second: Fit, fit: str = "fit") -> DataFrame:
     """Difference of every common parameter with its propagated up and down uncertainty."""
     wide = paired_fits(df, first, second, ["central", "sig_hi", "sig_lo"], fit)
     parts = [F.col(f"{c}_{i}") for c in ("central", "sig_hi", "sig_lo") for i in (1, 2)]
     return wide.select("name", *[c.alias(n) for n, c in _delta(*parts).items()])
 
 
-def delta_poi(df: DataFrame, first: str, second: str, poi: str = config.DEFAULT_POI, fit: str = "fit") -> DataFrame:
+def delta_poi(df: DataFrame, first: Fit, second: Fit, poi: str = config.DEFAULT_POI, fit: str = "fit") -> DataFrame:
     return delta_param(df.filter(F.col("name") == poi), first, second, fit)
 
 
@@ -97,14 +104,14 @@ def _percent_larger(a: Column, b: Column) -> Column:
     return F.try_divide(big - small, small) * 100.0
 
 
-def _compared(wide: DataFrame, quantities: dict[str, tuple[str, str]], first: str, second: str) -> DataFrame:
+def _compared(wide: DataFrame, quantities: dict[str, tuple[str, str]], first: Fit, second: Fit) -> DataFrame:
     """One row per parameter and quantity. ``quantities`` maps the name shown to (column, rule)."""
     entries = []
     for shown, (column, rule) in quantities.items():
         a, b = F.col(f"{column}_1"), F.col(f"{column}_2")
-        larger = F.when(F.abs(a) > F.abs(b), F.lit(first)).otherwise(F.lit(second))
+        larger = F.when(F.abs(a) > F.abs(b), F.lit(str(first))).otherwise(F.lit(str(second)))
         if rule == "tighter":
-            larger = F.when(F.abs(a) < F.abs(b), F.lit(first)).otherwise(F.lit(second))
+            larger = F.when(F.abs(a) < F.abs(b), F.lit(str(first))).otherwise(F.lit(str(second)))
             change = F.abs(F.abs(a) - F.abs(b))
         else:
             change = _percent_larger(a, b)
@@ -121,13 +128,13 @@ def _compared(wide: DataFrame, quantities: dict[str, tuple[str, str]], first: st
     return wide.select("name", F.inline(F.array(*entries)))
 
 
-def compare_uncertainty(df: DataFrame, first: str, second: str, fit: str = "fit") -> DataFrame:
+def compare_uncertainty(df: DataFrame, first: Fit, second: Fit, fit: str = "fit") -> DataFrame:
     """Which fit has the larger up and down uncertainty on each common parameter, and by how many percent."""
     wide = paired_fits(df, first, second, ["sig_hi", "sig_lo"], fit)
     return _compared(wide, {"up": ("sig_hi", "larger"), "down": ("sig_lo", "larger")}, first, second)
 
 
-def compare_nuispar(df: DataFrame, first: str, second: str, fit: str = "fit") -> DataFrame:
+def compare_nuispar(df: DataFrame, first: Fit, second: Fit, fit: str = "fit") -> DataFrame:
     """Constraints (tighter, absolute difference) and impacts (larger, percent) of each common parameter."""
     columns = {
         "sig_lo": ("sig_lo", "tighter"),
@@ -141,7 +148,7 @@ def compare_nuispar(df: DataFrame, first: str, second: str, fit: str = "fit") ->
 
 
 def comparison_summary(
-    df: DataFrame, first: str, second: str, poi: str = config.DEFAULT_POI, nuispars: Sequence[str] = (), fit: str = "fit"
+    df: DataFrame, first: Fit, second: Fit, poi: str = config.DEFAULT_POI, nuispars: Sequence[str] = (), fit: str = "fit"
 ) -> DataFrame:
     """Uncertainty comparison of the parameter of interest and the named nuisance parameters, as one table."""
     mu = compare_uncertainty(df.filter(F.col("name") == poi), first, second, fit)
@@ -152,10 +159,13 @@ def comparison_summary(
 # --- one nominal fit against many -----------------------------------------------
 
 
-def _nominal(df: DataFrame, nominal: str, parameter: str, fit: str) -> Column:
+def _measured() -> Column:
+    return F.struct(*[F.max(c).alias(c) for c in ("central", "sig_hi", "sig_lo")])
+
+
+def _nominal(df: DataFrame, nominal: Fit, parameter: str, fit: str) -> Column:
     """The nominal values of one parameter as a one-row subquery."""
-    row = df.filter((F.col(fit) == nominal) & (F.col("name") == parameter))
-    return row.agg(F.struct(*[F.max(c).alias(c) for c in ("central", "sig_hi", "sig_lo")])).scalar()
+    return df.filter(is_fit(fit, nominal) & (F.col("name") == parameter)).agg(_measured()).scalar()
 
 
 def _against_nominal(rows: DataFrame, nominal: Column, keep: Sequence[str]) -> DataFrame:
@@ -173,24 +183,34 @@ def _against_nominal(rows: DataFrame, nominal: Column, keep: Sequence[str]) -> D
 def excluded_systematics_delta(
     df: DataFrame, nominal: str = "tW", poi: str = config.DEFAULT_POI, fit: str = "fit"
 ) -> DataFrame:
-    """Change of the parameter of interest in each ``{nominal}_exclude-{NP}`` fit, ordered by NP name."""
+    """Change of the parameter of interest in each ``{nominal}_exclude-{NP}`` fit, ordered by NP name.
+
+    Over several workspaces, each of them against its own nominal fit, with the ``workspace`` as first column.
+    """
+    keyed = has_keys(df, fit)
+    file = F.col(fit).getField("file") if keyed else F.col(fit)
     prefix = f"{nominal}_exclude-"
+    measured = df.filter(F.col("name") == poi)
     rows = (
-        df.filter((F.col("name") == poi) & F.col(fit).startswith(prefix))
-        .withColumn("excluded", F.substring(fit, len(prefix) + 1, 2**30))
+        measured.filter(file.startswith(prefix))
+        .withColumn("excluded", F.substring(file, len(prefix) + 1, 2**30))
         .filter(~F.contains(F.col("excluded"), F.lit("saturatedModel")))
         .withColumn("label", prettify_label(F.col("excluded")))
     )
-    return _against_nominal(rows, _nominal(df, nominal, poi, fit), ["excluded", "label"]).orderBy(
-        F.lower("excluded"), "excluded"
-    )
+    order = [F.lower("excluded"), "excluded"]
+    if not keyed:
+        return _against_nominal(rows, _nominal(df, nominal, poi, fit), ["excluded", "label"]).orderBy(*order)
+    of = F.col(fit).getField("workspace").alias("workspace")
+    nominals = measured.filter(file == nominal).groupBy(of).agg(_measured().alias("_nominal"))
+    both = rows.withColumn("workspace", of).join(nominals, "workspace")
+    return _against_nominal(both, F.col("_nominal"), ["workspace", "excluded", "label"]).orderBy("workspace", *order)
 
 
 def config_delta(
-    df: DataFrame, configs: DataFrame, nominal: str, poi: str = config.DEFAULT_POI, fit: str = "fit"
+    df: DataFrame, configs: DataFrame, nominal: Fit, poi: str = config.DEFAULT_POI, fit: str = "fit"
 ) -> DataFrame:
     """Change of the parameter of interest in each fit of a ``(config, label, fit)`` table."""
-    rows = df.filter(F.col("name") == poi).join(configs.filter(F.col("fit") != nominal), fit)
+    rows = df.filter(F.col("name") == poi).join(configs.filter(~is_fit(fit, nominal)), fit)
     return _against_nominal(rows, _nominal(df, nominal, poi, fit), ["config", "label"])
 
 
@@ -241,10 +261,15 @@ def impact_across_configs(
 # --- tables ---------------------------------------------------------------------
 
 
-def grouped_impact_table(impacts: DataFrame, descending: bool = False) -> DataFrame:
-    """``name, impact`` in percent, by name or by falling impact."""
+def grouped_impact_table(impacts: DataFrame, descending: bool = False, fit: str = "fit") -> DataFrame:
+    """``fit, position, name, impact`` in percent, by name or by falling impact inside each fit.
+
+    A fit has one row per group of systematics, so its window is short however many fits there are.
+    """
     order = [F.col("avg").desc(), F.col("name")] if descending else [F.lower("name"), F.col("name")]
-    return impacts.orderBy(*order).select("name", (100.0 * F.bround("avg", 3)).alias("impact"))
+    position = F.row_number().over(Window.partitionBy(fit).orderBy(*order, "avg")) - 1
+    table = impacts.select(fit, position.alias("position"), "name", (100.0 * F.bround("avg", 3)).alias("impact"))
+    return table.orderBy(fit, "position")
 
 
 def pulls_by_category(params: DataFrame, systematics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

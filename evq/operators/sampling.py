@@ -18,20 +18,21 @@ def sample_n_per_class(
 ) -> DataFrame:
     """The ``n`` signal and ``n`` background events with the smallest hash (ties: the smaller key).
 
-    One scan counts the rows of each class in 65,536 hash buckets; a running sum finds the bucket with the
-    n-th row. Lower buckets are kept by a filter alone, and only that bucket is ranked: no task holds n rows.
+    One scan counts the rows of each class in 65,536 hash buckets; a running sum finds the bucket with the n-th row.
+    A second scan keeps the rows up to that bucket and ranks them inside their bucket, so no task holds n rows; the
+    rank matters in the last bucket only. The key is hashed once per row and scan.
     """
-    bucket = F.substring(hash_digits(key, seed), 1, 4)
-    rows = df.filter(F.col(label).isin(0, 1)).withColumn("_bucket", bucket)
+    rows = df.filter(F.col(label).isin(0, 1)).withColumn("_digits", hash_digits(key, seed))
+    rows = rows.withColumn("_bucket", F.substring("_digits", 1, 4))
     so_far = Window.partitionBy(label).orderBy("_bucket")
     counted = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     reached = counted.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n")).filter(F.col("_before") < n)
     edges = reached.groupBy(F.col(label).alias("_class")).agg(F.max("_bucket").alias("_edge"), F.max("_before").alias("_before"))
-    placed = rows.join(F.broadcast(edges), F.col(label) == F.col("_class"))  # two rows
-    below = placed.filter(F.col("_bucket") < F.col("_edge"))
-    order = Window.partitionBy(label).orderBy(hash_digits(key, seed), F.col(key))
-    last = placed.filter(F.col("_bucket") == F.col("_edge")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n - F.col("_before"))
-    return below.select(*df.columns).unionByName(last.select(*df.columns))
+    near = (F.col(label) == F.col("_class")) & (F.col("_bucket") <= F.col("_edge"))
+    placed = rows.join(F.broadcast(edges), near)  # two rows
+    rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_digits", key))
+    kept = placed.withColumn("_rank", rank).filter((F.col("_bucket") < F.col("_edge")) | (F.col("_rank") <= n - F.col("_before")))
+    return kept.select(*df.columns)
 
 
 def split_label(

@@ -6,18 +6,23 @@ from pyspark.sql import functions as F
 
 from evq import config
 from evq.functions import text
+from evq.functions.fit_keys import FitKey
 from evq.operators import fits
 from evq.plans.catalog import query, rounded
 from evq.plans.views import (
     CONFIG_SQL,
     EXCLUDE_SQL,
     FIT_SQL,
+    KEYED_EXCLUDE_SQL,
+    KEYED_SQL,
     POI_SQL,
     SHOWER_NAMES,
     SHOWER_SQL,
     configs,
     exclusion_fits,
     fit_params,
+    keyed_exclusion_fits,
+    keyed_fits,
     poi_fits,
     shower_fits,
     table,
@@ -34,21 +39,27 @@ _FIT_LINE = """CASE l_linenumber
   WHEN 4 THEN concat('NP_', CAST(l_partkey AS STRING), CASE WHEN l_suppkey % 2 = 0 THEN ' nan -inf +Infinity' ELSE ' -NaN inf 0.5' END)
   ELSE concat('NP_', CAST(l_partkey AS STRING), '   -0.', CAST(CAST(l_quantity AS INT) AS STRING), '5  0.',
     CAST(l_linenumber AS STRING), '25 -0.', CAST(l_suppkey AS STRING), ' ') END"""
-_FIT_PATH = "concat('file:/results/tW/Fits/fit', CAST(l_suppkey % 4 AS STRING), '.txt')"
+# Two workspaces with files of the same names.
+_FIT_PATH = "concat('file:/results/ws', CAST(l_partkey % 2 AS STRING), '/Fits/fit', CAST(l_suppkey % 4 AS STRING), '.txt')"
 
 
 def _lines(df, value: str, path: str):
     return df.selectExpr(f"{value} AS value", f"{path} AS path")
 
 
+def _flat(df):
+    """The key's parts as columns."""
+    return df.select("fit.workspace", "fit.file", *[c for c in df.columns if c != "fit"])
+
+
 @query(
     "read_fit_params",
-    f"""WITH l AS (SELECT {_FIT_LINE} AS value, 'fit' || (l_suppkey % 4) AS fit FROM lineitem WHERE l_linenumber < 5),
-    t AS (SELECT fit, string_split_regex(trim(value), '\\s+') AS t FROM l)
-    SELECT fit, t[1] AS name, replace(t[2], '-NaN', 'NaN')::DOUBLE AS central, t[3]::DOUBLE AS sig_hi, t[4]::DOUBLE AS sig_lo FROM t""",
+    f"""WITH l AS (SELECT {_FIT_LINE} AS value, 'file:/results/ws' || (l_partkey % 2) AS workspace, 'fit' || (l_suppkey % 4) AS file FROM lineitem WHERE l_linenumber < 5),
+    t AS (SELECT workspace, file, string_split_regex(trim(value), '\\s+') AS t FROM l)
+    SELECT workspace, file, t[1] AS name, replace(t[2], '-NaN', 'NaN')::DOUBLE AS central, t[3]::DOUBLE AS sig_hi, t[4]::DOUBLE AS sig_lo FROM t""",
 )
 def _(spark, sf):
-    return sources.parse_fit_params(_lines(table(spark, sf, "lineitem"), _FIT_LINE, _FIT_PATH))
+    return _flat(sources.parse_fit_params(_lines(table(spark, sf, "lineitem"), _FIT_LINE, _FIT_PATH)))
 
 
 _RANK_LINE = """concat('NP_', CAST(p_partkey AS STRING), ' 0.', CAST(p_size AS STRING), ' 0.9', CAST(p_size AS STRING), ' -0.8',
@@ -92,12 +103,22 @@ def _(spark, sf):
 
 @query(
     "grouped_impact_table",
-    f"{_GROUPED_SQL} SELECT name, round(100 * round_even(avg, 3), 6) AS impact FROM i",
+    f"""{_GROUPED_SQL} SELECT fit, CAST(row_number() OVER (PARTITION BY fit ORDER BY lower(name), name, avg) - 1 AS INT) AS position, name,
+      round(100 * round_even(avg, 3), 6) AS impact FROM i""",
 )
 def _(spark, sf):
     return rounded(fits.grouped_impact_table(sources.parse_grouped_impacts(_group_lines(spark, sf))), 6, "impact")
 
 
+@query(
+    "grouped_impact_table_descending",
+    f"""{_GROUPED_SQL} SELECT fit, CAST(row_number() OVER (PARTITION BY fit ORDER BY avg DESC, name) - 1 AS INT) AS position, name,
+      round(100 * round_even(avg, 3), 6) AS impact FROM i""",
+)
+def _(spark, sf):
+    return rounded(fits.grouped_impact_table(sources.parse_grouped_impacts(_group_lines(spark, sf)), descending=True), 6, "impact")
+
+
 _REGION = "concat('reg', CASE p_partkey % 3 WHEN 0 THEN '1j1b_' WHEN 1 THEN '2j1b_' ELSE '2j2b_' END, CAST(p_partkey AS STRING))"
 # The same regions in two workspaces.
 _CHI2_REGION = "concat('reg', CASE CAST(floor(p_partkey / 2) AS BIGINT) % 3 WHEN 0 THEN '1j1b_' WHEN 1 THEN '2j1b_' ELSE '2j2b_' END, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING))"
@@ -274,6 +295,71 @@ def _(spark, sf):
     return rounded(fits.excluded_systematics_delta(exclusion_fits(spark, sf)), 9, *_DELTAS)
 
 
+# --- the same file names in two workspaces -------------------------------------------
+
+_WS = "file:/results/ws"
+_ONE, _TWO = FitKey(f"{_WS}0", "fit0"), FitKey(f"{_WS}1", "fit0")
+_KEYED_PAIR = f"""FROM ({KEYED_SQL}) a JOIN ({KEYED_SQL}) b ON a.name = b.name AND a.file = 'fit0' AND b.file = 'fit0'
+    AND a.workspace = '{_WS}0' AND b.workspace = '{_WS}1'"""
+
+
+@query(
+    "delta_param_workspaces",
+    f"""SELECT a.name, round(a.central - b.central, 9) AS delta, round(sqrt(a.sig_hi * a.sig_hi + b.sig_hi * b.sig_hi), 9) AS delta_up,
+    round(sqrt(a.sig_lo * a.sig_lo + b.sig_lo * b.sig_lo), 9) AS delta_down {_KEYED_PAIR}""",
+)
+def _(spark, sf):
+    return rounded(fits.delta_param(keyed_fits(spark, sf), _ONE, _TWO), 9, *_DELTAS)
+
+
+@query(
+    "compare_uncertainty_workspaces",
+    " UNION ALL ".join(
+        f"""SELECT a.name, '{shown}' AS quantity, a.{c} AS value_1, b.{c} AS value_2, 'larger' AS rule,
+        CASE WHEN abs(a.{c}) > abs(b.{c}) THEN '{_ONE}' ELSE '{_TWO}' END AS which,
+        round((greatest(abs(a.{c}), abs(b.{c})) - least(abs(a.{c}), abs(b.{c}))) / least(abs(a.{c}), abs(b.{c})) * 100.0, 6) AS change {_KEYED_PAIR}"""
+        for shown, c in (("up", "sig_hi"), ("down", "sig_lo"))
+    ),
+)
+def _(spark, sf):
+    return rounded(fits.compare_uncertainty(keyed_fits(spark, sf), _ONE, _TWO), 6, "change")
+
+
+@query(
+    "excluded_systematics_delta_workspaces",
+    f"""WITH f AS ({KEYED_EXCLUDE_SQL}), n AS (SELECT * FROM f WHERE file = 'tW')
+    SELECT f.workspace, replace(f.file, 'tW_exclude-', '') AS excluded, {_pretty_sql("replace(f.file, 'tW_exclude-', '')")} AS label, round(n.central - f.central, 9) AS delta,
+      round(sqrt(n.sig_hi * n.sig_hi + f.sig_hi * f.sig_hi), 9) AS delta_up, round(sqrt(n.sig_lo * n.sig_lo + f.sig_lo * f.sig_lo), 9) AS delta_down
+    FROM f JOIN n USING (workspace) WHERE f.file LIKE 'tW_exclude-%' AND f.file NOT LIKE '%saturatedModel%'""",
+)
+def _(spark, sf):
+    return rounded(fits.excluded_systematics_delta(keyed_exclusion_fits(spark, sf)), 9, *_DELTAS)
+
+
+@query(
+    "top_impacts_workspaces",
+    f"""SELECT workspace, file, name, post_max, rank FROM (SELECT *, greatest(abs(post_down), abs(post_up)) AS post_max,
+      CAST(row_number() OVER (PARTITION BY workspace, file ORDER BY greatest(abs(post_down), abs(post_up)) DESC, name) AS INT) AS rank FROM ({KEYED_SQL})) WHERE rank <= 20""",
+)
+def _(spark, sf):
+    return _flat(fits.top_impacts(keyed_fits(spark, sf)).select("fit", "name", "post_max", "rank"))
+
+
+_KEYED_CONFIGS = [(c, f"{c} in {w}", FitKey(f"{_WS}{w}", f"fit{i}")) for w in (0, 1) for i, c in enumerate(("main", "1j1b", "1j1b2j1b"))]
+
+
+@query(
+    "region_delta_workspaces",
+    f"""WITH f AS (SELECT * FROM ({KEYED_SQL}) WHERE name = 'NP_1'), c(config, label, workspace, file) AS (VALUES {", ".join(f"('{c}', '{t}', '{k.workspace}', '{k.file}')" for c, t, k in _KEYED_CONFIGS)}),
+    n AS (SELECT * FROM f WHERE workspace = '{_ONE.workspace}' AND file = 'fit0')
+    SELECT c.config, c.label, round(n.central - f.central, 9) AS delta, round(sqrt(n.sig_hi * n.sig_hi + f.sig_hi * f.sig_hi), 9) AS delta_up,
+      round(sqrt(n.sig_lo * n.sig_lo + f.sig_lo * f.sig_lo), 9) AS delta_down FROM f JOIN c USING (workspace, file), n WHERE c.config <> 'main'""",
+)
+def _(spark, sf):
+    keys = spark.createDataFrame(_KEYED_CONFIGS, "config string, label string, fit struct<workspace:string,file:string>")
+    return rounded(fits.region_delta(keyed_fits(spark, sf), keys, _ONE, poi="NP_1"), 9, *_DELTAS)
+
+
 @query(
     "region_delta",
     _against_sql(
@@ -316,18 +402,31 @@ _SYSTEMATIC_SQL = """SELECT concat('NP_', p_partkey) AS name, p_type AS category
   WHERE p_size <> 13"""
 
 
+def _systematics(spark, sf):
+    return table(spark, sf, "part").filter("p_size <> 13").select(
+        F.concat(F.lit("NP_"), "p_partkey").alias("name"),
+        F.col("p_type").alias("category"),
+        F.concat(F.lit("title of "), "p_name").alias("title"),
+    )
+
+
 @query(
     "pulls_by_category",
     f"""{FP} SELECT s.category, s.name, s.title, fp.central AS mean, fp.sig_hi AS plus, fp.sig_lo AS minus, fp.fit
     FROM fp JOIN ({_SYSTEMATIC_SQL}) s USING (name)""",
 )
 def _(spark, sf):
-    systematics = table(spark, sf, "part").filter("p_size <> 13").select(
-        F.concat(F.lit("NP_"), "p_partkey").alias("name"),
-        F.col("p_type").alias("category"),
-        F.concat(F.lit("title of "), "p_name").alias("title"),
-    )
-    return fits.pulls_by_category(fit_params(spark, sf), systematics, keep=["fit"])
+    return fits.pulls_by_category(fit_params(spark, sf), _systematics(spark, sf), keep=["fit"])
+
+
+@query(
+    "pulls_by_category_workspaces",
+    f"""SELECT s.category, s.name, s.title, f.central AS mean, f.sig_hi AS plus, f.sig_lo AS minus, f.workspace, f.file
+    FROM ({KEYED_SQL}) f JOIN ({_SYSTEMATIC_SQL}) s USING (name)""",
+)
+def _(spark, sf):
+    pulls = fits.pulls_by_category(keyed_fits(spark, sf), _systematics(spark, sf), keep=["fit"])
+    return _flat(pulls)
 
 
 # --- labels ---------------------------------------------------------------------

@@ -138,6 +138,30 @@ def exclusion_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The same file names in two workspaces: the fit is a key of both.
+KEYED = {"workspace": "concat('file:/results/ws', CAST(l_suppkey % 2 AS STRING))", "file": "concat('fit', CAST(l_suppkey % 3 AS STRING))"}
+KEYED_SQL = f"SELECT {_select({**KEYED, 'name': FIT_KEYS['name'], **FIT_VALUES})} FROM lineitem GROUP BY l_suppkey % 2, l_suppkey % 3, l_partkey"
+KEYED_EXCLUDE_SQL = (
+    f"SELECT {KEYED['workspace']} AS workspace, {EXCLUDE_FIT} AS file, 'SigXsecOverSM' AS name, {_select(FIT_VALUES)} FROM lineitem GROUP BY l_suppkey % 2, l_partkey "
+    f"UNION ALL SELECT {KEYED['workspace']} AS workspace, 'tW' AS file, 'SigXsecOverSM' AS name, {_select(FIT_VALUES)} FROM lineitem GROUP BY l_suppkey % 2"
+)
+
+
+def _keyed(rows: DataFrame, **keys: str) -> DataFrame:
+    values = _fit_values(rows, **keys)
+    return values.select(F.struct("workspace", "file").alias("fit"), *[c for c in values.columns if c not in ("workspace", "file")])
+
+
+def keyed_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(table(spark, sf_dir, "lineitem"), **KEYED, name=FIT_KEYS["name"])
+
+
+def keyed_exclusion_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, poi = table(spark, sf_dir, "lineitem"), "'SigXsecOverSM'"
+    parts = [_keyed(rows, workspace=KEYED["workspace"], file=file, name=poi) for file in (EXCLUDE_FIT, "'tW'")]
+    return parts[0].unionByName(parts[1])
+
+
 # Impacts of a handful of parameters in every fit.
 SHOWER_KEYS = {"fit": FIT_KEYS["fit"], "name": "concat('ttbar_PS_', CAST(l_linenumber AS STRING))"}
 SHOWER_SQL = f"SELECT {_select({**SHOWER_KEYS, **FIT_VALUES})} FROM lineitem GROUP BY l_suppkey % 4, l_linenumber"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evq.functions.fit_keys import file_stem, fit_key, workspace
+
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 # A failed fit writes nan or inf: such values are kept.
 _VALUE = rf"(?:{_NUMBER}|[-+]?(?:[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?))"
@@ -26,10 +28,14 @@ def read_lines(spark: SparkSession, paths, pattern: str = "*") -> DataFrame:
     )
 
 
+def _words(lines: DataFrame) -> DataFrame:
+    """Add the words of each line as an array. (Unlike a split, this compiles its pattern once, not once per line.)"""
+    return lines.withColumn("_w", F.regexp_extract_all("value", F.lit(r"\S+"), F.lit(0)))
+
+
 def _split(lines: DataFrame, n: int) -> DataFrame:
     """Lines of exactly ``n`` words, with the words as an array: each line is split once."""
-    words = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
-    return lines.withColumn("_w", words).filter(F.size("_w") == n)
+    return _words(lines).filter(F.size("_w") == n)
 
 
 def _word(i: int) -> Column:
@@ -37,29 +43,20 @@ def _word(i: int) -> Column:
 
 
 def _value(text: Column) -> Column:
-    """A number as double; ``nan`` may have a sign."""
-    return F.regexp_replace(text, "^[-+](?=[nN])", "").cast("double")
-
-
-def workspace(path: Column) -> Column:
-    """The folder of the fit that a result file belongs to: what lies above ``Fits`` or ``Histograms``, else the file's folder."""
-    above = F.regexp_extract(path, r"^(.*)/(?:Fits|Histograms)/[^/]*$", 1)
-    return F.when(above != "", above).otherwise(F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
-
-
-def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(\.[A-Za-z]+)?$", 1)
+    """A number as double; ``nan`` may have a sign, which only is looked for where the plain cast fails."""
+    return F.coalesce(text.try_cast("double"), F.regexp_replace(text, "^[-+](?=[nN])", "").cast("double"))
 
 
 def parse_fit_params(lines: DataFrame) -> DataFrame:
-    """``fit, name, central, sig_hi, sig_lo`` of each ``name central up down`` line.
+    """``fit`` (workspace and file, as one key), ``name, central, sig_hi, sig_lo`` of each ``name central up down`` line.
 
     Headers, the correlation matrix and the closing lines do not have this
     shape, hence no line order is needed and a file may be split. ``gamma*``
     lines are skipped; values that are ``nan`` or ``inf`` stay.
     """
-    return _split(lines.filter(F.col("value").rlike(_FIT_LINE)), 4).select(
-        file_stem(F.col("path")).alias("fit"),
+    # The pattern leaves lines of four words.
+    return _words(lines.filter(F.col("value").rlike(_FIT_LINE))).select(
+        fit_key(F.col("path")).alias("fit"),
         _word(1).alias("name"),
         *[_value(_word(i)).alias(c) for i, c in enumerate(("central", "sig_hi", "sig_lo"), 2)],
     )

@@ -99,7 +99,7 @@ def test_impact_across_configs(params, spark):
 
 
 def test_grouped_table(spark):
-    df = spark.createDataFrame([("b", 0.1234), ("A", 0.2), ("c", 0.3)], "name string, avg double")
+    df = spark.createDataFrame([("w", "b", 0.1234), ("w", "A", 0.2), ("w", "c", 0.3)], "fit string, name string, avg double")
     assert [(r["name"], round(r["impact"], 6)) for r in fits.grouped_impact_table(df).collect()] == [("A", 20.0), ("b", 12.3), ("c", 30.0)]
     assert [r["name"] for r in fits.grouped_impact_table(df, descending=True).collect()] == ["c", "A", "b"]
 

@@ -288,10 +288,25 @@ def test_many_features_use_one_pass(spark, capsys):
     df = spark.range(100).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(n) for i, n in enumerate(names)])
     matrix = features.correlation_matrix(df, names)
     matrix.explain("formatted")
-    assert "MapInPandas" in capsys.readouterr().out
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "Join" not in plan and plan.count("Range (") == 2  # tree and details name the one scan
     assert matrix.count() == 30 * 29 // 2
 
 
+def test_correlations_of_nothing(spark):
+    rows = features.correlation_matrix(spark.createDataFrame([], "a double, b int")).collect()
+    assert [tuple(r) for r in rows] == [(0, "a", 1, "b", None)]
+    assert features.correlation_matrix(spark.createDataFrame([(1.0,)], "a double")).count() == 0
+
+
+def test_correlation_shuffle_does_not_grow_with_tasks(spark):
+    df = spark.range(0, 20000, numPartitions=400).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    matrix = features.correlation_matrix(df)
+    assert df.rdd.getNumPartitions() == 400 and matrix.rdd.getNumPartitions() == 1
+    want = np.corrcoef(np.arange(20000), np.arange(20000) % 7)[0, 1]
+    assert matrix.first()["coeff"] == pytest.approx(want, abs=1e-12)
+
+
 def test_feature_candidates(spark):
     importances = spark.createDataFrame([("a", 9.0), ("b", 8.0), ("c", 7.0), ("d", 6.0), ("e", 5.0)], "feature string, importance double")
     pairs = spark.createDataFrame([("c", "d", 0.9), ("b", "a", 0.95), ("e", "q", 0.9)], "drop_this string, because string, coeff double")

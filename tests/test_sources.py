@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evq import config
+from evq.functions.fit_keys import FitKey
 from evq.operators import fits as operators
 from evq.plans.session import ensure_checkpoint_dir
 from evq.plans.views import wide_events
@@ -150,7 +151,9 @@ def write(folder, name, text):
 def test_fit_params(spark, folder):
     write(folder, "Fits/tW.txt", FIT)
     write(folder, "Fits/tW_exclude-NP_1.txt", "H\n1\nSigXsecOverSM 0.99 .2 -2e-1\n")
-    got = {(r["fit"], r["name"]): (r["central"], r["sig_hi"], r["sig_lo"]) for r in fits.read_fit_params(spark, folder).collect()}
+    rows = fits.read_fit_params(spark, folder).collect()
+    assert all(r["fit"]["workspace"].endswith(folder) for r in rows)
+    got = {(r["fit"]["file"], r["name"]): (r["central"], r["sig_hi"], r["sig_lo"]) for r in rows}
     bad = got.pop(("tW", "alpha_BAD"))
     assert bad[0] != bad[0] and bad[1:] == (float("-inf"), float("inf"))
     assert got == {
@@ -202,6 +205,30 @@ def test_several_workspaces_stay_apart(spark, folder):
     assert {(name(r["fit"]), r["has_postfit"]) for r in fits.fit_inventory(sources.list_files(spark, folder)).collect()} == {("tW", True), ("other", False)}
 
 
+def test_fits_of_one_name_in_two_workspaces(spark, folder):
+    for ws, central in (("v1", "1.0"), ("v2", "1.5")):
+        write(folder, f"{ws}/Fits/tW.txt", f"H\n1\n  SigXsecOverSM\t{central} 0.3 -0.4 \nJET 0.5 1 -1\nx -nan +NaN nan\n1.0 2 3 4\na b c\nw 1 2 x\n")
+        write(folder, f"{ws}/Fits/tW_exclude-JET.txt", f"SigXsecOverSM {central}5 0.4 -0.3\n")
+        write(folder, f"{ws}/Fits/GroupedImpact.txt", f"b_x {central} ( +0.1, -0.1 )\nA 0.{ws[1]} ( +0.1, -0.1 )\n")
+    params = fits.read_fit_params(spark, folder)
+    assert params.filter("name = 'x' AND isnan(central) AND isnan(sig_hi) AND isnan(sig_lo)").count() == 2 and params.count() == 8
+    root = params.filter("fit.file = 'tW'").first()["fit"]["workspace"].rpartition("/")[0]
+    one, two = FitKey(f"{root}/v1", "tW"), FitKey(f"{root}/v2", "tW")
+    delta = operators.delta_poi(params, one, two).first()
+    assert (delta["delta"], delta["delta_up"]) == (pytest.approx(-0.5), pytest.approx(0.3 * 2**0.5))
+    assert {r["which"] for r in operators.compare_uncertainty(params, one, FitKey(two.workspace, "tW_exclude-JET")).filter("quantity = 'down'").collect()} == {str(one)}
+    left_out = [(r["workspace"][-2:], r["excluded"], round(r["delta"], 9)) for r in operators.excluded_systematics_delta(params).collect()]
+    assert left_out == [("v1", "JET", -0.05), ("v2", "JET", -0.05)]
+    configs = spark.createDataFrame([("17", "new", two), ("18", "old", one)], "config string, label string, fit struct<workspace:string,file:string>")
+    assert [(r["label"], r["delta"]) for r in operators.campaign_delta(params, configs, one).collect()] == [("new", -0.5)]
+    systematics = spark.createDataFrame([("JET", "jets", "Jets")], "name string, category string, title string")
+    pulls = operators.pulls_by_category(params, systematics, keep=["fit"]).collect()
+    assert sorted(r["fit"]["workspace"][-2:] for r in pulls) == ["v1", "v2"]
+    for descending, order in ((False, ["A", "b x"]), (True, ["b x", "A"])):
+        table = operators.grouped_impact_table(fits.read_grouped_impacts(spark, folder), descending).collect()
+        assert [(r["fit"][-2:], r["position"], r["name"]) for r in table] == [(ws, i, n) for ws in ("v1", "v2") for i, n in enumerate(order)]
+
+
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     class Context:
         master = "spark://somewhere:7077"
