@@ -46,7 +46,7 @@ def impact_bars(df: DataFrame, n: int | None = 20, fit: str = "fit") -> DataFram
     position ``ys`` in ascending order of impact. ``n=None`` places all parameters."""
     ascending = [F.col("post_max"), F.col("name").desc()]
     if n is None:
-        placed = with_position(with_post_max(df), [fit], ascending, "ys")
+        placed = with_position(with_post_max(df), [fit], ascending, "ys", F.col("post_max"))
     else:
         top = top_impacts(df, n, fit).drop("rank")
         placed = top.withColumn("ys", F.row_number().over(Window.partitionBy(fit).orderBy(*ascending)) - 1)

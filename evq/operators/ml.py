@@ -7,18 +7,18 @@ folds are hashes of the row key, so a recomputation gives the same rows).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from itertools import product
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evq import config
 from evq.functions.keys import in_fraction
-from evq.functions.regions import train_axes
+from evq.functions.regions import by_name, train_axes
 from evq.operators.frames import selection_column
 from evq.operators.ranking import (
     fold_summary,
@@ -37,7 +37,7 @@ from evq.operators.ranking import (
     weighted_auc,
 )
 from evq.operators.sampling import kfold_assign, split_label
-from evq.plans.session import ensure_checkpoint_dir
+from evq.plans.session import drop_folder, ensure_checkpoint_dir, shared_folder
 
 # MLlib takes no missing values: they become a value below every real one, which a split can separate.
 MISSING = -1e30
@@ -83,9 +83,8 @@ def fit_classifier(
 ) -> PipelineModel:
     """Weighted boosted trees. Rows where ``validation`` is true are held back and their loss is taken after every
     round: the model ends at the best round found before ``patience`` rounds without gain. MLlib cannot stop by
-    patience nor cut a model, so all rounds are fitted and, if fewer are best, those again (the same trees: same
-    rows, same seed). ``num_leaves`` and ``reg_lambda`` have no counterpart in MLlib and are ignored
-    (:func:`ignored_axes`)."""
+    patience, so all rounds are fitted once and the model is cut to its best ones (:func:`first_rounds`).
+    ``num_leaves`` and ``reg_lambda`` have no counterpart in MLlib and are ignored (:func:`ignored_axes`)."""
     axes = train_axes(**(axes or {}))
     ensure_checkpoint_dir(train.sparkSession)
     trees = GBTClassifier(
@@ -110,10 +109,23 @@ def fit_classifier(
     if validation is None:
         return model
     held = assemble.transform(fill.transform(train.filter(validation)))
-    best = best_round(_trees(model).evaluateEachIteration(held), patience)
-    if best == _trees(model).getNumTrees:
+    return first_rounds(model, best_round(_trees(model).evaluateEachIteration(held), patience))
+
+
+def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The model of the first ``rounds`` trees and their weights: what a fit of so many rounds gives, without fitting."""
+    whole = _trees(model)
+    if rounds >= whole.getNumTrees:
         return model
-    return Pipeline(stages=[fill, assemble, trees.setMaxIter(best)]).fit(rows)
+    jvm, gateway, java = whole._java_obj, SparkContext._gateway, SparkContext._jvm.org.apache.spark.ml
+    trees = gateway.new_array(java.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(SparkContext._jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(jvm.trees()[:rounds], whole.treeWeights)):
+        trees[i], weights[i] = tree, float(weight)
+    cut = java.classification.GBTClassificationModel(jvm.uid(), trees, weights, jvm.numFeatures(), jvm.numClasses())
+    last = GBTClassificationModel(jvm.copyValues(cut, java.param.ParamMap()))
+    last._transfer_params_from_java()
+    return PipelineModel([*model.stages[:-1], last])
 
 
 def best_round(losses: Sequence[float], patience: int) -> int:
@@ -186,15 +198,50 @@ def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 
 def importances(model: PipelineModel) -> tuple[dict[str, float], dict[str, float]]:
-    """Gain and split-count importances of a model (one number per feature, from the driver-side model)."""
-    names = _features(model)
+    """Gain and split-count importances of a model, one number per feature, each with a sum of 1."""
+    return gain_importances(model), split_importances(model)
+
+
+def gain_importances(model: PipelineModel) -> dict[str, float]:
+    gain = _trees(model).featureImportances.toArray()
+    total = gain.sum() or 1.0
+    return {name: float(gain[i] / total) for i, name in enumerate(_features(model))}
+
+
+def split_importances(model: PipelineModel) -> dict[str, float]:
+    """The share of all splits, numerical and categorical, that are on each feature."""
+    spark = SparkSession.getActiveSession()
+    folder = shared_folder(spark, "model")
+    try:
+        splits = node_table(model, folder).filter("left IS NOT NULL").groupBy("feature").count().collect()  # a row per feature
+    finally:
+        drop_folder(spark, folder)
+    total = sum(r["count"] for r in splits) or 1
+    counts = {r["feature"]: r["count"] for r in splits}
+    return {name: counts.get(name, 0) / total for name in _features(model)}
+
+
+def node_table(model: PipelineModel, folder: str) -> DataFrame:
+    """One row per node of a model's trees, read from its saved form in ``folder``: ``tree, node, prediction, rows,
+    gain, left, right, feature, threshold, categories``. A leaf has no children, feature and gain; a split on a
+    categorical feature has the categories that go left, another one its threshold."""
     trees = _trees(model)
-    gain = trees.featureImportances.toArray()
-    splits = Counter(int(i) for i in re.findall(r"If \(feature (\d+) ", trees.toDebugString))
-    total_gain, total_splits = gain.sum() or 1.0, sum(splits.values()) or 1
-    return (
-        {n: float(gain[i] / total_gain) for i, n in enumerate(names)},
-        {n: splits[i] / total_splits for i, n in enumerate(names)},
+    trees.write().overwrite().save(folder)
+    nodes = SparkSession.getActiveSession().read.parquet(f"{folder}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    inner, names = F.col("leftChild") >= 0, F.array(*map(F.lit, _features(model)))
+    categorical = F.col("split.numCategories") >= 0
+    bounds = F.col("split.leftCategoriesOrThreshold")
+    return nodes.select(
+        "tree",
+        F.col("id").alias("node"),
+        "prediction",
+        F.col("rawCount").alias("rows"),
+        F.when(inner, F.col("gain")).alias("gain"),
+        F.when(inner, F.col("leftChild")).alias("left"),
+        F.when(inner, F.col("rightChild")).alias("right"),
+        F.when(inner, F.element_at(names, F.col("split.featureIndex") + 1)).alias("feature"),
+        F.when(inner & ~categorical, bounds[0]).alias("threshold"),
+        F.when(inner & categorical, bounds).alias("categories"),
     )
 
 
@@ -316,7 +363,7 @@ def folded_training(
         with persisted(scored) as scored:
             summary = [tuple(fold_summary(scored, points=points).first())]
             curve = [tuple(r) for r in mean_roc(scored, points=points).collect()]
-    shares = [importances(m)[0] for m in models]
+    shares = [gain_importances(m) for m in models]
     mean = {f: sum(s[f] for s in shares) / k for f in features}
     total = sum(mean.values()) or 1.0
     return (
@@ -349,27 +396,48 @@ def parameter_scan(
     """One training per grid point, a few at a time so that the cluster stays busy between the small jobs of
     a boosting round: ``name, auc, ks..., bad_ks, best_iteration`` and the parameters as JSON.
 
-    With a ``results`` folder each point is kept there once done, and a scan that is started again trains only
-    what is missing."""
+    With a ``results`` folder each point is kept there once done, below a fingerprint of the data, the features and
+    the settings, and a scan that is started again trains only what is missing. Another table, other features, rounds
+    or another split have another fingerprint, so results of different scans never mix."""
     spark = df.sparkSession
     features = list(features or feature_columns(df, key))
     points = {"_".join(f"{a}-{v}" for a, v in point.items()): point for point in grid_points(grid)}
-    done = {} if results is None else _kept_points(spark, results)
-    missing = [name for name in points if name not in done]
-
-    def train(name: str) -> tuple:
-        r = _train_and_judge(table, key, features, points[name], rounds)[1].first()
-        row = (name, *(r[c] for c in _SCAN_FIELDS[1:-1]), json.dumps(points[name]))
+    with persisted(_split_once(df, key, features, test_size)) as table:
+        folder, done = None, {}
         if results is not None:
-            spark.createDataFrame([row], SCAN_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{results.rstrip('/')}/{name}")
-        return row
-
-    if missing:
-        with persisted(_split_once(df, key, features, test_size)) as table, ThreadPoolExecutor(parallelism) as pool:
+            folder = _scan_folder(table, results, {"key": key, "features": features, "rounds": rounds, "test_size": test_size, "seed": config.RANDOM_STATE})
+            done = _kept_points(spark, folder)
+        missing = [name for name in points if name not in done]
+
+        def train(name: str) -> tuple:
+            r = _train_and_judge(table, key, features, points[name], rounds)[1].first()
+            row = (name, *(r[c] for c in _SCAN_FIELDS[1:-1]), json.dumps(points[name]))
+            if folder is not None:
+                spark.createDataFrame([row], SCAN_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{folder}/points/{name}")
+            return row
+
+        with ThreadPoolExecutor(parallelism) as pool:
             done |= dict(zip(missing, pool.map(train, missing)))
     return spark.createDataFrame([done[name] for name in points], SCAN_SCHEMA)
 
 
+def _scan_folder(table: DataFrame, results: str, settings: Mapping) -> str:
+    """Where the points of a scan of this table with these settings are kept; beside them, once, the settings as JSON."""
+    about = json.dumps({**settings, "data": table_fingerprint(table)}, sort_keys=True)
+    folder = f"{results.rstrip('/')}/scan-{hashlib.sha256(about.encode()).hexdigest()[:16]}"
+    table.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/settings")
+    return folder
+
+
+def table_fingerprint(df: DataFrame) -> str:
+    """Number of rows and two sums of their hashes: the same for the same rows in any order and partitioning."""
+    columns = by_name(df.columns)
+    row = F.xxhash64(*columns)
+    halves = [F.sum(half.cast("decimal(20,0)")) for half in (F.shiftrightunsigned(row, 32), row.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    found = df.agg(F.count(F.lit(1)), *[F.coalesce(half, F.lit(0)) for half in halves]).first()
+    return "-".join([*columns, *map(str, found)])
+
+
 SCAN_SCHEMA = (
     "name string, auc double, ks_test_sig double, ks_pvalue_sig double, ks_test_bkg double, "
     "ks_pvalue_bkg double, bad_ks boolean, best_iteration int, params string"
@@ -377,9 +445,9 @@ SCAN_SCHEMA = (
 _SCAN_FIELDS = [part.split()[0] for part in SCAN_SCHEMA.split(", ")]
 
 
-def _kept_points(spark: SparkSession, results: str) -> dict[str, tuple]:
+def _kept_points(spark: SparkSession, folder: str) -> dict[str, tuple]:
     try:
-        rows = spark.read.schema(SCAN_SCHEMA).json(f"{results.rstrip('/')}/*").collect()
+        rows = spark.read.schema(SCAN_SCHEMA).json(f"{folder}/points/*").collect()
     except AnalysisException:  # nothing kept yet
         return {}
     return {r["name"]: tuple(r) for r in rows}
@@ -479,7 +547,7 @@ def feature_importances_repeated(
         for i in range(1, n_fits + 1):
             validation = in_fraction(key, test_size, i * config.RANDOM_STATE)
             model = fit_classifier(table, features, axes or SELECTOR_AXES, rounds, validation)
-            rows += [(i, f, g) for f, g in importances(model)[0].items()]
+            rows += [(i, f, g) for f, g in gain_importances(model).items()]
     return (
         df.sparkSession.createDataFrame(rows, "fit int, feature string, gain double")
         .groupBy("feature")

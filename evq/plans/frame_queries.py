@@ -139,10 +139,10 @@ def _(spark, sf):
     WHERE (reg1j1b OR reg2j1b OR reg2j2b) AND OS = 1 AND sample_group IN ('tW_DR', 'tW_DS', 'ttbar') GROUP BY ALL""",
 )
 def _(spark, sf):
-    written = sources.write_region_samples(wide_events(spark, sf), shared_folder(spark, "samples"))
+    path = shared_folder(spark, "samples")
     parts = [
-        spark.read.parquet(path).select(F.lit(region).alias("region"), "sample_group", "weight_nominal", "pTsys_lep1lep2")
-        for region, path in written.items()
+        sources.read_region_sample(spark, path, region).select(F.lit(region).alias("region"), "sample_group", "weight_nominal", "pTsys_lep1lep2")
+        for region in sources.write_region_samples(wide_events(spark, sf), path)
     ]
     sums = reduce(lambda a, b: a.unionByName(b), parts).groupBy("region", "sample_group").agg(
         F.count(F.lit(1)).alias("events"),

@@ -28,3 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, which every executor can write to."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

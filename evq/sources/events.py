@@ -12,11 +12,13 @@ from evq.functions.regions import by_name
 from evq.functions.selections import selection_for
 from evq.operators.frames import (
     WEIGHT,
+    apply_weight_campaign,
     drop_avoid,
     drop_columns,
     drop_jet2,
     nan_to_null,
     select_events,
+    selection_column,
 )
 
 CAMPAIGNS = ("MC16a", "MC16d", "MC16e")
@@ -154,18 +156,37 @@ def write_region_samples(
     use_campaign_weight: bool = False,
     mode: str = "errorifexists",
 ) -> dict[str, str]:
-    """Write ``{path}/{region}`` partitioned by sample, one write per region as the schemas differ.
+    """Write ``{path}/region={region}/{group}={sample}`` of all regions in one write from one scan.
 
-    Rows are rebalanced by sample first: Spark splits large samples and merges small parts, so the number of
-    files follows the data and not tasks times samples.
+    Regions have different columns: the table holds all of them, null where a region has none, and ``_columns``
+    beside it says which belong to a region (:func:`read_region_sample` restores them). An event of several regions
+    is written in each. Rows are rebalanced by region and sample first: Spark splits large samples and merges small
+    parts, so the number of files follows the data and not tasks times samples.
     """
-    written = {}
-    chosen = df.filter(F.col(group).isin(*samples))
-    for region in config.SELECTIONS:
-        table = region_sample(chosen, region, use_campaign_weight, key=group)
-        written[region] = f"{path.rstrip('/')}/{region}"
-        nan_to_null(table).hint("rebalance", group).write.mode(mode).partitionBy(group).parquet(written[region])
-    return written
+    root, chosen = path.rstrip("/"), df.filter(F.col(group).isin(*samples))
+    columns = {region: region_sample(chosen, region, use_campaign_weight, key=group).columns for region in config.SELECTIONS}
+    every = by_name({c for names in columns.values() for c in names})
+    if "region" in every:
+        raise ValueError("the table has a column named region already")
+    weighted = apply_weight_campaign(chosen) if use_campaign_weight else chosen
+    inside = F.array(*[F.when(selection_column(weighted, selection_for(region)), F.lit(region)) for region in columns])
+    rows = nan_to_null(weighted.withColumn("region", F.explode(F.array_compact(inside))).select("region", *every))
+    own = {c: [region for region, names in columns.items() if c in names] for c in every}
+    rows = rows.withColumns({c: F.when(F.col("region").isin(*regions), F.col(c)) for c, regions in own.items() if len(regions) < len(columns)})
+    rows.hint("rebalance", "region", group).write.mode(mode).partitionBy("region", group).parquet(root)
+    listed = [(region, i, c) for region, names in columns.items() for i, c in enumerate(names)]
+    df.sparkSession.createDataFrame(listed, "region string, position int, name string").coalesce(1).write.mode(mode).json(f"{root}/_columns")
+    return {region: f"{root}/region={region}" for region in columns}
+
+
+def read_region_sample(spark: SparkSession, path: str, region: str) -> DataFrame:
+    """One region of :func:`write_region_samples`, with that region's columns. Only its files are read."""
+    root = path.rstrip("/")
+    # The names of one region's columns, a few hundred.
+    names = {(r["position"], r["name"]) for r in spark.read.json(f"{root}/_columns").filter(F.col("region") == region).collect()}
+    if not names:
+        raise ValueError(f"no region {region} in {path}")
+    return spark.read.parquet(root).filter(F.col("region") == region).select(*[name for _, name in sorted(names)])
 
 
 def save_prepared(

@@ -119,13 +119,31 @@ def test_positions_of_a_hot_group(spark):
         (F.col("id") * 7919 % 11).alias("v"),
         "id",
     )
-    placed = with_position(df, ["k"], [F.col("v"), F.col("id").desc()], "at")
+    placed = with_position(df, ["k"], [F.col("v"), F.col("id").desc()], "at", F.col("v"))
     rows = placed.filter("k = 'hot'").orderBy("at").collect()
     assert [r["at"] for r in rows] == list(range(14_000))
     assert [(r["v"], -r["id"]) for r in rows] == sorted((r["v"], -r["id"]) for r in rows)
     assert placed.count() == 20_000
 
 
+def test_positions_need_no_files(spark, capsys):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 1000).alias("v"), "id").withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    placed = with_position(df, ["k"], [F.col("v"), F.col("id")], "at", F.col("v"))
+    rows = placed.collect()
+    for k in (None, 1, 2):  # null keys and null values have their places too
+        group = sorted((r for r in rows if r["k"] == k), key=lambda r: r["at"])
+        assert [r["at"] for r in group] == list(range(len(group))) and len(group) > 1600
+        assert [(r["v"] is not None, r["v"] or 0, r["id"]) for r in group] == sorted((r["v"] is not None, r["v"] or 0, r["id"]) for r in group)
+    assert with_position(df.limit(0), ["k"], [F.col("v")], "at", F.col("v")).count() == 0
+    placed.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "RDD" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # Both branches see the same split points: the subquery is evaluated once.
+    placed.count()
+    executed = placed._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("ReusedSubquery") >= 1
+
+
 def test_checkpoint_dir_is_kept(spark):
     first = ensure_checkpoint_dir(spark)
     assert first and ensure_checkpoint_dir(spark) == first

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +66,61 @@ def test_early_stop_keeps_the_best_round(table):
     assert stopped.stages[-1].trees[0].toDebugString.split("\n", 1)[1] == full.stages[-1].trees[0].toDebugString.split("\n", 1)[1]
 
 
-def test_scan_goes_on_where_it_stopped(table, folder, monkeypatch):
+def test_a_cut_model_is_the_shorter_fit(table, folder, monkeypatch):
+    long, short = ml.fit_classifier(table, FEATURES, AXES, 5), ml.fit_classifier(table, FEATURES, AXES, 3)
+    fits = []
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows: fits.append(rows))
+    cut = ml.first_rounds(long, 3)
+    assert not fits and ml.best_iteration(cut) == 3 and ml.first_rounds(long, 9) is long
+    scores = [ml.with_score(table, m).orderBy("id").select("id", "score").collect() for m in (cut, short)]
+    assert scores[0] == scores[1]
+    assert ml.gain_importances(cut) == pytest.approx(ml.gain_importances(short))
+    cut.save(f"{folder}/cut")
+    again = ml.PipelineModel.load(f"{folder}/cut")
+    assert ml.with_score(table, again).orderBy("id").select("id", "score").collect() == scores[0]
+
+
+def test_node_table(spark, folder):
+    # Two rounds of depth one; the second feature is categorical and the better one.
+    rows = [(f"e{i}", float(i % 4 in (0, 2)), float(i % 4), float(i % 5), int(i % 4 in (1, 2) if i % 10 else i % 20 > 0), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, a double, kind double, c double, label int, weight double")
+    model = ml.fit_classifier(df, ["kind", "c"], {"max_depth": 2, "min_child_samples": 1}, 3)
+    nodes = ml.node_table(model, f"{folder}/m").collect()
+    inner = [n for n in nodes if n["left"] is not None]
+    assert len(nodes) == sum(t.numNodes for t in model.stages[-1].trees) and all(n["feature"] in ("kind", "c") and n["threshold"] is not None for n in inner)
+    assert all(n["gain"] is None and n["feature"] is None for n in nodes if n["left"] is None)
+    by_text = [len(re.findall(f"If \\(feature {i} ", model.stages[-1].toDebugString)) for i in (0, 1)]
+    assert [sum(n["feature"] == f for n in inner) for f in ("kind", "c")] == by_text and sum(by_text) > 3
+    assert ml.split_importances(model) == {f: n / sum(by_text) for f, n in zip(("kind", "c"), by_text, strict=True)}
+    # A categorical split names the categories that go left.
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler, VectorIndexer
+
+    stages = [VectorAssembler(inputCols=["_in_kind"], outputCol="_raw_features"), VectorIndexer(inputCol="_raw_features", outputCol="_features", maxCategories=8)]
+    indexed = Pipeline(stages=stages).fit(df.withColumn("_in_kind", F.col("kind")))
+    trees = GBTClassifier(featuresCol="_features", maxDepth=1, maxIter=1).fit(indexed.transform(df.withColumn("_in_kind", F.col("kind"))))
+    whole = ml.PipelineModel([VectorAssembler(inputCols=["_in_kind"], outputCol="_features"), trees])
+    top = [n for n in ml.node_table(whole, f"{folder}/c").collect() if n["left"] is not None]
+    assert [(n["feature"], n["threshold"], set(n["categories"]) in ({1.0, 2.0}, {0.0, 3.0})) for n in top] == [("kind", None, True)]
+    assert ml.split_importances(whole) == {"kind": 1.0}
+
+
+def test_boosted_in_closed_form(spark):
+    """Two rounds of depth one on a feature of two values, in plain Python."""
+    import math
+
+    rows = [(f"e{i}", float(i % 3 == 0), int(i % 7 < (4 if i % 3 == 0 else 2)), 1.0 + i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, x double, label int, weight double")
+    got = {r["x"]: r["score"] for r in ml.with_score(df, ml.fit_classifier(df, ["x"], {"max_depth": 1, "min_child_samples": 1, "learning_rate": 0.1}, 2)).select("x", "score").distinct().collect()}
+    for x in (0.0, 1.0):
+        here = [(2 * y - 1, w) for _, v, y, w in rows if v == x]
+        f = sum(y * w for y, w in here) / sum(w for _, w in here)
+        f += 0.1 * sum(w * 4 * y / (1 + math.exp(2 * y * f)) for y, w in here) / sum(w for _, w in here)
+        assert got[x] == pytest.approx(1 / (1 + math.exp(-2 * f)), abs=1e-9)
+
+
+def test_scan_goes_on_where_it_stopped(spark, table, folder, monkeypatch):
     grid = {"max_depth": [1, 2]}
     first = ml.parameter_scan(table, "id", FEATURES, {"max_depth": [1]}, 2, results=f"{folder}/scan").collect()
     trained = []
@@ -72,6 +128,21 @@ def test_scan_goes_on_where_it_stopped(table, folder, monkeypatch):
     monkeypatch.setattr(ml, "_train_and_judge", lambda t, k, f, p, r: trained.append(p) or train(t, k, f, p, r))
     both = ml.parameter_scan(table, "id", FEATURES, grid, 2, results=f"{folder}/scan").orderBy("name").collect()
     assert trained == [{"max_depth": 2}] and both[0] == first[0] and len(both) == 2
+    again = ml.parameter_scan(table.repartition(3), "id", FEATURES, grid, 2, results=f"{folder}/scan").orderBy("name").collect()
+    assert again == both and len(trained) == 1
+    # Another table, other features, rounds or split: nothing of the old results is taken.
+    changed = table.withColumn("good", F.when(F.col("id") == "e7", -1.0).otherwise(F.col("good")))
+    for n, (df, features, rounds, size) in enumerate([(changed, FEATURES, 2, 0.4), (table, FEATURES[:2], 2, 0.4), (table, FEATURES, 1, 0.4), (table, FEATURES, 2, 0.3)], 2):
+        ml.parameter_scan(df, "id", features, {"max_depth": [1]}, rounds, size, results=f"{folder}/scan")
+        assert len(trained) == n
+    assert spark.read.text(f"{folder}/scan/*/settings").count() == 5
+
+
+def test_fingerprint(table):
+    one = ml.table_fingerprint(table)
+    assert ml.table_fingerprint(table.repartition(7).select(*reversed(table.columns))) == one
+    assert ml.table_fingerprint(table.unionByName(table.limit(1))) != one != ml.table_fingerprint(table.drop("OS"))
+    assert ml.table_fingerprint(table.limit(0)).endswith("-0-0-0")
 
 
 def test_missing_values(table):

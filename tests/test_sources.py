@@ -97,8 +97,8 @@ def test_read_events(spark, folder):
 def test_region_samples_round_trip(spark, sf, folder):
     df = wide_events(spark, sf).withColumn("minimaxmbl", F.lit(1.0)).withColumn("eta_met", F.lit(float("nan")))
     written = sources.write_region_samples(df, f"{folder}/samples")
-    for region, path in written.items():
-        back = spark.read.parquet(path)
+    for region in written:
+        back = sources.read_region_sample(spark, f"{folder}/samples", region)
         gone = {*config.AVOID, *config.AVOID_BY_REGION[region], *config.ALWAYS_DROP[region]}
         assert not gone & set(back.columns)
         assert ("minimaxmbl" in back.columns) == (region != "1j1b")
@@ -110,6 +110,24 @@ def test_region_samples_round_trip(spark, sf, folder):
         sources.write_region_samples(df, f"{folder}/samples")
 
 
+def test_region_samples_are_one_scan(spark, sf, folder, monkeypatch):
+    df = wide_events(spark, sf).withColumn("reg1j1b", F.lit(True)).withColumn("weight_campaign", F.lit(2.0))  # many events in two regions
+    plans, write = [], type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or write(self, *a, **k))
+    sources.write_region_samples(df, f"{folder}/one", use_campaign_weight=True)
+    assert len(plans) == 1 and plans[0].count("Relation [") == 1
+    for region in ("1j1b", "2j2b"):
+        want = sources.region_sample(df.filter("sample_group IN ('tW_DR', 'tW_DS', 'ttbar')"), region, True, key="sample_group")
+        back = sources.read_region_sample(spark, f"{folder}/one", region)
+        assert back.columns == want.columns
+        total = lambda t: tuple(t.agg(F.count(F.lit(1)), F.round(F.sum("weight_nominal"), 6)).first())
+        assert total(back) == total(want)
+    raw = spark.read.parquet(f"{folder}/one")
+    assert raw.filter("region = '1j1b' AND pT_jet2 IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="no region"):
+        sources.read_region_sample(spark, f"{folder}/one", "3j1b")
+
+
 def test_prepared_round_trip(spark, folder):
     df = spark.createDataFrame([(1.0, 1, 0.5), (2.0, 0, 1.5)], "x double, label int, weight double")
     sources.save_prepared(df, f"{folder}/p", "(a == True)", "2j2b", "DS", ["s.root"], ["b1.root", "b2.root"])
