@@ -54,7 +54,7 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     said = F.concat(F.length(role).cast("string"), F.lit(":"), role, text)
     rows = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", F.unhex(F.md5(said)).alias("digest"), F.length(text).cast("long").alias("chars"))
-    return with_position(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("digest").asc()], "position").drop("turn")
+    return with_position(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("digest").asc()], "position", F.col("turn")).drop("turn")
 
 
 def rebuild(turns: DataFrame, most: int = 6, family: int = 100) -> tuple[DataFrame, DataFrame]:
