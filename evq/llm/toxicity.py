@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples.
 
-Terms that tell the two labels apart are chosen on a bounded sample of labelled
-documents; document frequencies come from all documents. Examples are indexed by
-inverted lists with the largest weight per block of examples, so a query scores
-only blocks that can still hold one of its nearest examples, and the result is
-the exact list by TF-IDF cosine. Votes are weighed by similarity and mapped to
-probabilities on leave-one-out votes of the examples themselves.
+Examples are a bounded sample of labelled documents, indexed with all their words; document frequencies come from all
+documents. A word's TF-IDF weight is multiplied by its association with the label among the examples, so that a few
+telling words outweigh hundreds of others; no word is left out, so a document that resembles an example in any words
+finds it. Inverted lists are cut into blocks of examples with the largest weight of each word in each block: a query
+takes the blocks in order of their bounds, reads the postings of those alone that can still hold one of its nearest
+examples, and gets the exact list by cosine. Votes are weighed by similarity and mapped to probabilities on
+leave-one-out votes of the examples themselves.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.tasks import map_text
+from evq.llm.tasks import map_text, small_batches
 from evq.llm.words import ALNUM_WORDS, split_words, text_blocks
 
 #: Labelled documents at most of each label that serve as examples.
 EXAMPLES = 4000
-#: Terms at most, and the least chi-squared statistic of one.
-TERMS = 2048
-CHI_SQUARED = 30.0
+#: A word's weight is multiplied by BASE plus what its chi-squared statistic exceeds CHANCE by (one in twenty does by chance).
+BASE = 0.05
+CHANCE = 3.84
 NEIGHBOURS = 25
 BLOCK = 64
 FOLDS = 5
@@ -72,48 +74,60 @@ def chosen_counts(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return doc, term, count
 
 
-def unit_vectors(doc: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, docs: int) -> Vectors:
-    weight = (1 + np.log(count)) * idf[term] if len(term) else np.zeros(0)
+def unit_vectors(doc: np.ndarray, term: np.ndarray, count: np.ndarray, scale: np.ndarray, docs: int) -> Vectors:
+    weight = (1 + np.log(count)) * scale[term] if len(term) else np.zeros(0)
     norm = np.sqrt(np.bincount(doc, weight**2, minlength=docs))
     return Vectors(term, weight / norm[doc] if len(doc) else weight, np.searchsorted(doc, np.arange(docs + 1)))
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges [start, end), one range after the other, and the number of each one's range."""
+    lengths = ends - starts
+    of = np.repeat(np.arange(len(starts)), lengths)
+    return np.arange(len(of)) + (starts - np.cumsum(lengths) + lengths)[of], of
+
+
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, with the largest weight of each term per block of vectors."""
+    """Inverted lists of unit vectors, cut into blocks of ``BLOCK`` vectors, with the largest weight of each piece."""
 
     def __init__(self, vectors: Vectors, terms: int):
         self.size = len(vectors.first) - 1
+        self.blocks = max(1, -(-self.size // BLOCK))
         row = np.repeat(np.arange(self.size), np.diff(vectors.first))
-        order = np.argsort(vectors.terms, kind="stable")
+        order = np.lexsort((row, vectors.terms))
         self.rows, self.weights = row[order], vectors.weights[order]
-        self.start = np.searchsorted(vectors.terms[order], np.arange(terms + 1))
-        self.blocks = -(-self.size // BLOCK)
-        self.largest = np.zeros((terms, max(1, self.blocks)))
-        np.maximum.at(self.largest, (vectors.terms[order], self.rows // BLOCK), self.weights)
+        piece = vectors.terms[order] * self.blocks + self.rows // BLOCK
+        self.start = np.flatnonzero(np.diff(piece, prepend=-1))
+        self.largest = np.maximum.reduceat(self.weights, self.start) if len(piece) else np.zeros(0)
+        self.first, self.block = np.searchsorted(piece[self.start], np.arange(terms + 1) * self.blocks), piece[self.start] % self.blocks
+        self.start = np.append(self.start, len(piece))
+        self.postings_read = 0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` vectors of largest cosine above 0 (ties: the smaller row first) and their cosines."""
-        bound = weights @ self.largest[terms]
+        pieces, of = spans(self.first[terms], self.first[terms + 1])
+        block, weight = self.block[pieces], weights[of]
+        bound = np.bincount(block, self.largest[pieces] * weight, minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        lengths = self.start[terms + 1] - self.start[terms]
-        at = np.repeat(self.start[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        rows, partial = self.rows[at], self.weights[at] * np.repeat(weights, lengths)
-        block = rows // BLOCK
-        wanted = np.zeros(max(1, self.blocks), dtype=bool)
-        wanted[order[: 2 + k // BLOCK]] = True
-        cosine = np.zeros(self.size)
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        by_rank = np.argsort(rank[block], kind="stable")
+        pieces, weight = pieces[by_rank], weight[by_rank]
+        edges = np.searchsorted(rank[block][by_rank], np.arange(self.blocks + 1))
+        cosine, done, step, worst = np.zeros(self.size), 0, 2 + k // BLOCK, 0.0
         while True:
-            inside = wanted[block]
-            cosine += np.bincount(rows[inside], partial[inside], minlength=self.size)
-            rows, partial, block = rows[~inside], partial[~inside], block[~inside]
+            able = int(np.searchsorted(-bound[order], -max(worst, 1e-12) * (1 - 1e-12), side="right"))
+            to = min(able, done + step)
+            if to <= done:
+                break
+            chosen = slice(edges[done], edges[to])
+            at, piece = spans(self.start[pieces[chosen]], self.start[pieces[chosen] + 1])
+            self.postings_read += len(at)
+            cosine += np.bincount(self.rows[at], self.weights[at] * weight[chosen][piece], minlength=self.size)
             if without >= 0:
                 cosine[without] = 0
             worst = np.partition(cosine, -k)[-k] if k < self.size else 0.0
-            more = np.zeros(len(wanted), dtype=bool)
-            more[block] = True  # blocks not scored yet that hold a query term
-            wanted = more & (bound >= max(worst, 1e-12) * (1 - 1e-12))
-            if not wanted.any():
-                break
+            done, step = to, 2 * step
         found = np.flatnonzero(cosine >= max(worst, 1e-12))
         found = found[np.lexsort((found, -np.round(cosine[found], 12)))][:k]
         return found, np.minimum(cosine[found], 1.0)
@@ -121,7 +135,7 @@ class BlockMaxIndex:
 
 class Model(NamedTuple):
     vocabulary: np.ndarray
-    idf: np.ndarray
+    scale: np.ndarray  # of each word: inverse document frequency times association
     index: BlockMaxIndex
     labels: np.ndarray
     ids: np.ndarray
@@ -170,76 +184,90 @@ def _example_ids(labels: DataFrame) -> dict[int, int]:
     return found
 
 
+def association(terms: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """The factor of each term, from the terms of each example (one per pair) and whether that example is toxic."""
+    n1 = float(toxic.sum())
+    n0 = len(toxic) - n1
+    a, every = np.bincount(terms[0], toxic[terms[1]], minlength=size), np.bincount(terms[0], minlength=size)
+    b, n = every - a, n0 + n1
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(n0 * n1 * every * (n - every), 1e-9)
+    return BASE + np.maximum(chi - CHANCE, 0)
+
+
+def document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of all documents, and of those that hold each word of a sorted vocabulary."""
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros(len(sent.value), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for block in text_blocks(batch, "text"):
+                np.add.at(found, chosen_counts(block.column(0), sent.value)[1], 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], rows))], ["term", "n"])
+
+    summed = small_batches(texts).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (summed.column(i).to_numpy() for i in (0, 1))
+    frequency = np.zeros(len(vocabulary), np.int64)
+    frequency[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), frequency
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Choose terms, count documents, index the examples and calibrate their votes.
+    """Take the examples' words, count documents, index the examples and calibrate their votes.
 
-    To the driver come at most ``2 * EXAMPLES`` ids and sparse vectors, and ``TERMS`` terms with their counts.
+    To the driver come at most ``2 * EXAMPLES`` ids, as many sparse vectors, and the number of documents of each of
+    their words; an id that many rows carry is one example, with the smallest of its texts.
     """
     spark = docs.sparkSession
     wanted = _example_ids(labels)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, toxic int"
-    known = spark.createDataFrame(list(wanted.items()), schema)  # bounded: 2 * EXAMPLES rows
-    examples = chosen.join(F.broadcast(known), "doc_id")
-    totals = dict(known.groupBy("toxic").count().collect())
+    known = spark.createDataFrame(list(wanted.items()), "doc_id long, toxic int")  # bounded: 2 * EXAMPLES rows
+    examples = chosen.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     # the share of toxic among labelled rows, which the equal-sized samples hide
     shares = dict(labels.where(F.col("toxic").isin(0, 1)).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0).groupBy("toxic").count().collect())
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
     share = shares.get(1, 0) / max(1, shares.get(0, 0) + shares.get(1, 0))
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), BlockMaxIndex(Vectors(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64)), 0), np.zeros(0), np.zeros(0, np.int64), share, share, np.zeros(0), np.zeros(0))
-    if not n0 or not n1:
-        return empty
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in text_blocks(batch, "text"):
-                doc, term, _ = term_counts(block.column(1))
-                toxic = block.column(2).to_numpy()[doc] if len(doc) else np.zeros(0, np.int32)
-                term, of = np.unique(term, return_inverse=True)
-                found = np.bincount(of, toxic, minlength=len(term)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(of, minlength=len(term)) - found), pa.array(found)], ["term", "clean", "toxic"])
-
-    a, b = F.col("toxic"), F.col("clean")
-    n = n0 + n1
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / (F.lit(float(n0)) * n1 * (a + b) * (n - a - b + 1e-9))
-    counted = examples.mapInArrow(terms, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("clean"), F.sum("toxic").cast("double").alias("toxic"))
-    top = counted.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    if not top:
-        return empty
-    vocabulary = np.sort(np.array([r["term"] for r in top], np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(vocabulary)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, rows = np.zeros(len(sent.value), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for block in text_blocks(batch, "text"):
-                count += np.bincount(chosen_counts(block.column(0), sent.value)[1], minlength=len(sent.value))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(count))), pa.array(np.concatenate([[rows], count]))], ["term", "n"])
-
-    frequency = dict(chosen.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    idf = np.log((1 + frequency[-1]) / (1 + np.array([frequency[t] for t in range(len(vocabulary))]))) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                doc, term, count = chosen_counts(block.column(1), sent.value)
+                doc, term, count = term_counts(block.column(1))
                 first = np.searchsorted(doc, np.arange(block.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), *(pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (term, count))], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    rows = sorted(rows, key=lambda r: (r["terms"], r["doc_id"]))  # similar examples share blocks
-    doc = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
-    flat = lambda name: np.array([x for r in rows for x in r[name]], np.int64)
-    found = unit_vectors(doc, flat("terms"), flat("counts"), idf, len(rows))
-    toxic = np.array([r["toxic"] for r in rows], np.float64)
+                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (term.view(np.int64), count.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), *lists], ["doc_id", "toxic", "terms", "counts"])
+
+    rows = small_batches(examples).mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow().combine_chunks()
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
+    n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
+    if not n0 or not n1:
+        nothing = BlockMaxIndex(Vectors(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64)), 0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), nothing, np.zeros(0), np.zeros(0, np.int64), share, share, np.zeros(0), np.zeros(0))
+    lengths = pc.list_value_length(rows.column("terms")).to_numpy()
+    hashes, counts = (pc.list_flatten(rows.column(name)).to_numpy() for name in ("terms", "counts"))
+    vocabulary, term = np.unique(hashes.view(np.uint64), return_inverse=True)
+    doc = np.repeat(np.arange(len(ids)), lengths)
+    documents, frequency = document_frequencies(chosen.select("text"), vocabulary)
+    factor = association((term, doc), toxic, len(vocabulary))
+    scale = (np.log((1 + documents) / (1 + frequency)) + 1) * factor
+    # Examples beside those with the same strongest word, so that they share blocks; ties by id.
+    plain = unit_vectors(doc, term, counts, scale, len(ids))
+    strongest = np.full(len(ids), -1)
+    by_weight = np.lexsort((plain.weights, doc))
+    strongest[doc[by_weight]] = term[by_weight]
+    place = np.lexsort((ids, strongest))
+    rank = np.empty(len(ids), np.int64)
+    rank[place] = np.arange(len(ids))
+    moved = np.lexsort((term, rank[doc]))
+    found = unit_vectors(rank[doc][moved], term[moved], counts[moved], scale, len(ids))
+    ids, toxic = ids[place], toxic[place]
     # examples stand for all labelled rows of their label
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     blank = np.diff(found.first) == 0
     blank_share = float((weight * toxic)[blank].sum() / weight[blank].sum()) if blank.any() else share
-    model = Model(vocabulary, idf, BlockMaxIndex(found, len(vocabulary)), toxic, np.array([r["doc_id"] for r in rows]), float(toxic.mean()), blank_share, np.zeros(0), np.zeros(0))
+    model = Model(vocabulary, scale, BlockMaxIndex(found, len(vocabulary)), toxic, ids, float(toxic.mean()), blank_share, np.zeros(0), np.zeros(0))
     full = np.flatnonzero(~blank)
-    probes = full[np.argsort(np.array([zlib.crc32(b"%d" % model.ids[i]) for i in full]))][:CALIBRATION]
+    probes = full[np.argsort(np.array([zlib.crc32(b"%d" % ids[i]) for i in full]))][:CALIBRATION]
     votes = np.array([vote(model, found.terms[found.first[i] : found.first[i + 1]], found.weights[found.first[i] : found.first[i + 1]], int(i))[0] for i in probes])
     if not len(votes):
         return model
@@ -254,7 +282,8 @@ CALIBRATION = 2000
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: ``doc_id, held_out, score, predicted`` and ``evidence``, the ids of up to three nearest examples.
 
-    A null or empty text, and one without any telling term, gets the share of toxic among such examples. Without
+    A null or empty text, and one without any word of an example, gets the share of toxic among examples without words,
+    or among all. Very long texts are read whole. Equally near examples are taken in the order of the index. Without
     examples of both labels every score is the labels' share of toxic (0 without labels). Repeated rows get equal
     scores; a null ``doc_id`` is in no fold, its ``held_out`` is false; an empty table gives no rows.
     """
@@ -263,7 +292,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(block: pa.RecordBatch) -> pa.RecordBatch:
         model, rows = sent.value, block.num_rows
         doc, term, count = chosen_counts(block.column(1), model.vocabulary)
-        found = unit_vectors(doc, term, count, model.idf, rows)
+        found = unit_vectors(doc, term, count, model.scale, rows)
         votes, evidence = np.empty(rows), []
         seen: dict[bytes, tuple[float, list[int]]] = {}
         for row in range(rows):

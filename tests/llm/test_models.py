@@ -180,6 +180,23 @@ def test_block_max_search_is_exact():
             assert values == pytest.approx(np.minimum(best, 1.0)) and cosine[got] == pytest.approx(values)
 
 
+def test_blocks_are_skipped():
+    # Blocks of examples with their own strong words: a query with one of them reads little else.
+    rng = np.random.default_rng(4)
+    size, terms = 50 * toxicity.BLOCK, 150
+    dense = np.where(rng.random((size, terms)) < 0.3, 0.1, 0)
+    dense[:, :50] = np.repeat(np.eye(50), toxicity.BLOCK, axis=0) * rng.uniform(3, 4, (size, 1))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    row, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(toxicity.Vectors(term, dense[row, term], np.searchsorted(row, np.arange(size + 1))), terms)
+    for i in range(0, size, 97):
+        mine = np.flatnonzero(dense[i])
+        index.postings_read = 0
+        got, values = index.nearest(mine, dense[i][mine], 25)
+        assert values == pytest.approx(np.minimum(np.sort(dense @ dense[i])[::-1][:25], 1.0))
+        assert index.postings_read < 0.15 * np.isin(term, mine).sum()
+
+
 def test_isotonic():
     votes, odds = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert odds.tolist() == [0.0, 0.5, 1.0] and votes.tolist() == [0.1, 0.25, 0.4]
@@ -216,6 +233,72 @@ def test_toxicity_on_held_out_documents(spark):
     assert evidence and not any(toxicity.held_out(e) for e in evidence)
 
 
+def scored_by_hand(pairs, truth):
+    """The vote of every text: plain all-pairs cosine over all words of the examples."""
+    words = lambda text: corpus.ALNUM.findall((text or "").translate(corpus.LOWER))
+    texts = {}
+    for d, text in pairs:
+        if d in truth and zlib.crc32(str(d).encode()) % 5:
+            texts[d] = min((t for t in (texts.get(d), text) if t is not None), default=None)
+    examples = {d: set(words(t)) for d, t in texts.items()}
+    n1 = sum(truth[d] for d in examples)
+    n0, vocabulary = len(examples) - n1, set().union(*examples.values())
+    scale = {}
+    for w in vocabulary:
+        a, b = (sum(w in found and truth[d] == y for d, found in examples.items()) for y in (1, 0))
+        chi = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / max(n0 * n1 * (a + b) * (n0 + n1 - a - b), 1e-9)
+        frequency = sum(w in set(words(t)) for _, t in pairs)
+        scale[w] = (math.log((1 + len(pairs)) / (1 + frequency)) + 1) * (toxicity.BASE + max(chi - toxicity.CHANCE, 0))
+
+    def vector(text):
+        found = words(text)
+        weights = {w: (1 + math.log(found.count(w))) * scale[w] for w in set(found) if w in scale}
+        norm = math.sqrt(sum(v * v for v in weights.values()))
+        return {w: v / norm for w, v in weights.items()}
+
+    vectors = {d: vector(t) for d, t in texts.items()}
+    share = n1 / (n0 + n1)
+
+    def vote(text):
+        mine = vector(text)
+        near = sorted(((sum(v * other.get(w, 0) for w, v in mine.items()), d) for d, other in vectors.items()), reverse=True)
+        near = [(c, d) for c, d in near[: toxicity.NEIGHBOURS] if c > 1e-12]
+        pull = sum(c * c for c, _ in near)
+        return (sum(c * c * truth[d] for c, d in near) + toxicity.PRIOR * share) / (pull + toxicity.PRIOR) if near else None
+
+    return [vote(t) for _, t in pairs]
+
+
+def test_scores_equal_a_plain_all_pairs_vote(spark):
+    rng = random.Random(12)
+    pairs = [(i, corpus.prose(rng, rng.choice([20, 60]), 30) + (f" insult{i % 7} insult{i % 7}" if i % 4 == 0 else "")) for i in range(160)]
+    truth = {i: int(i % 4 == 0) for i in range(140)}
+    pairs += [(3, "another text of three"), (900, "zzz unknown words only"), (901, None), (902, "insult3"), (903, "word " * 200_000 + "insult5")]
+    docs, labels = corpus.frame(spark, pairs), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    votes = scored_by_hand(pairs, truth)
+    want = [model.blank_share if v is None else float(toxicity.calibrated(model, np.array([v]))[0]) for v in votes]
+    got = [(r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity(docs, labels).collect()]
+    assert sorted(got) == sorted((d, round(v, 9)) for (d, _), v in zip(pairs, want, strict=True))
+
+
+def test_rare_insults_and_repeated_ids(spark):
+    """Twenty insults of ten documents each; one example's id is carried by thousands of rows."""
+    rng, pairs = random.Random(1), []
+    for i in range(400):
+        words = corpus.prose(rng, rng.choice([30, 100, 200])).split(" ")
+        for _ in range(3 * (i % 2)):
+            words[rng.randrange(len(words))] = f"insult{i // 2 % 20}"
+        pairs.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    docs = corpus.frame(spark, pairs + [pairs[7]] * 3000, False)
+    rows = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [r for r in rows.values() if r["held_out"]]
+    assert len(held) > 60 and sum(r["predicted"] == r["doc_id"] % 2 for r in held) > 0.85 * len(held)
+    assert len({r["score"] for r in held}) > 10
+    assert len(toxicity.fit(docs, labels).ids) == sum(not toxicity.held_out(i) for i in range(400))
+
+
 def test_held_out_labels_are_never_read(spark):
     pairs, truth, labels = insults(spark)
     docs = corpus.frame(spark, pairs, False)
