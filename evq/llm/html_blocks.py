@@ -1,8 +1,11 @@
 """Leaf text blocks of an HTML page, with the tags and names around them.
 
 A tolerant one-pass scan, not a full parser: comments, declarations, scripts and
-styles are skipped, elements with optional end tags are closed by their successors,
-unknown end tags are ignored, an unfinished tag at the end of a cut page is dropped.
+styles are skipped, elements with optional end tags are closed by their successors
+(``head`` by the first thing that belongs to the body), unknown end tags are ignored,
+an unfinished tag at the end of a cut page is dropped. A script or style without its
+end tag goes to the end of the page, as in a browser; of other elements of raw text
+without end tag only the text up to the next tag is skipped.
 """
 
 from __future__ import annotations
@@ -16,15 +19,24 @@ _NAME = re.compile(r"(class|id|role|aria-label|itemprop|data-label)\s*=\s*(?:\"(
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of the HTML standard: elements without content, elements of raw text, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select datalist head".split())
+RAW = frozenset("script style template textarea title iframe".split())
+TO_THE_END = frozenset(("script", "style"))
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    "object noscript svg text tspan math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace semantics annotation".split()
 )
+#: What a head may hold, and a list of choices; the texts of choices are no blocks.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+CHOICES = frozenset(("select", "datalist"))
+IN_CHOICES = frozenset("option optgroup hr script template".split())
 #: What an element's start closes first, and where the search for it stops.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu", "nav"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "thead", "tbody", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+_ends = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+
+
 class Block(NamedTuple):
     text: str
     tags: tuple[str, ...]  # from the root down
@@ -56,7 +68,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             words = " ".join(html.unescape("".join(text)).split())
-            if words:
+            if words and not any(s[0] in CHOICES for s in stack):
                 names = frozenset().union(*(s[1] for s in stack)) if stack else frozenset()
                 label = next((s[2] for s in reversed(stack) if s[2]), "")
                 found.append(Block(words, tuple(s[0] for s in stack), names, min(linked, len(words)), label))
@@ -72,6 +84,8 @@ def blocks(page: str) -> list[Block]:
         match = _TOKEN.search(page, at)
         piece = page[at : match.start()] if match else page[at:]
         if piece:
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                pop_to(len(stack) - 1)
             text.append(piece)
             if links:
                 linked += len(piece)
@@ -92,9 +106,16 @@ def blocks(page: str) -> list[Block]:
                     pop_to(index)
                     break
             continue
+        for index in range(len(stack) - 1, -1, -1):
+            outer = stack[index][0]
+            if (outer == "head" and tag not in IN_HEAD) or (outer in CHOICES and tag not in IN_CHOICES):
+                flush()
+                pop_to(index)
+                break
         if tag in RAW and not (match[3] or "").endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = _ends[tag].search(page, at)
+            next_tag = page.find("<", at)
+            at = end.end() if end else next_tag if next_tag >= 0 and tag not in TO_THE_END else len(page)
             continue
         if tag in VOID:
             continue

@@ -161,10 +161,11 @@ def training_pages(samples: list[str]) -> list[tuple[list[list[str]], list[int]]
 
 def fit(pages: DataFrame) -> Model:
     """Train on the labelled pages and at most ``SAMPLE_PAGES`` pages of the table, chosen by a hash of their ids."""
-    short = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id")
+    short = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id").distinct()
     ids = [r[0] for r in short.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()]
     known = [i for i in ids if i is not None]
-    texts = pages.where(F.col("page_id").isin(known)).where(F.octet_length("html") <= SAMPLE_BYTES).select("html").limit(SAMPLE_PAGES).collect() if known else []
+    # An id that several pages carry stands for the smallest of them.
+    texts = pages.where(F.col("page_id").isin(known)).where(F.octet_length("html") <= SAMPLE_BYTES).groupBy("page_id").agg(F.min("html")).select("min(html)").collect() if known else []
     return train(training_pages(sorted(r[0] for r in texts)))
 
 
@@ -178,7 +179,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Per page: ``page_id, url, text, n_chars``.
 
     A null or empty page, or one without an article, has an empty text; a cut or broken page is read as far as it
-    goes; repeated rows give equal rows; other columns are ignored; an empty table gives no rows.
+    goes, a long one whole; of two equally good labellings of a page the one with fewer article blocks at the first
+    difference is taken; repeated rows and ids give a row each; other columns are ignored; an empty table gives no rows.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model or fit(pages))
 

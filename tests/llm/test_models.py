@@ -29,6 +29,46 @@ def test_blocks():
     assert [b.text for b in blocks("<p>cut <b")] == ["cut"] and [b.text for b in blocks("1 < 2 <p>3")] == ["1 < 2", "3"]
 
 
+def test_blocks_of_valid_pages_without_end_tags():
+    article = "<article><h1>A b</h1><p>c d.<p>e f.</article>"
+    want = ["A b", "c d.", "e f."]
+    for page in (
+        f"<html><head><title>x</title><body>{article}",
+        f"<html><head><title>x</title><meta charset=utf-8><link rel=a><style>p{{}}</style><noscript><link rel=b></noscript>{article}",
+        f"<title>x{article}",
+        f"<iframe src=a>{article}",
+        f"<textarea name=t>typed{article}",
+    ):
+        assert [b.text for b in blocks(page)][-3:] == want and not any("head" in b.tags for b in blocks(page)), page
+    assert [b.text for b in blocks("<head>loose text<p>x")] == ["loose text", "x"]
+    for inside in ("<select><option>one<option>two", "<select><option>one</select>", "<svg><path d=1>", "<svg><title>t</title></svg>", "<iframe>", "<datalist><option>one"):
+        assert [b.text for b in blocks(f"<article><p>c d.</p>{inside}<p>e f.</p></article>")] == ["c d.", "e f."], inside
+    assert [b.text for b in blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>an object</object> and <noscript>no script</noscript>.</p>")] == ["so x=1 and an object and no script."]
+    assert [b.text for b in blocks("<p>a</p><script>var b = '<p>c</p>'")] == ["a"]
+
+
+def test_main_text_of_pages_without_names():
+    model = html_crf.train(html_crf.training_pages([]))
+    paragraphs = ["Der Zug nach Norden fährt ab Montag wieder jede Stunde, wie die Bahn am Freitag nach langen Gesprächen mitgeteilt hat.", "Wer schon eine Karte hat, kann sie weiter nutzen oder zurückgeben.", "Auch am Abend sollen mehr Züge fahren, wenn genug Leute da sind, die sie lenken."]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<html><head><title>x</title><body><div><a href=a>Start</a> <a href=b>Hilfe</a></div><div>{body}</div><div>© 2022 Bahnblatt</div>"
+    assert html_crf.main_text(page, model) == "\n".join(paragraphs)
+    long = f"<body><article><h1>Long</h1>{body * 4000}</article></body>"
+    assert len(long) > 1_000_000 and html_crf.main_text(long, model).endswith(paragraphs[-1]) and html_crf.main_text(long, model).count("\n") == 12_000
+    whole = f"<body><div>{body}</div></body>"
+    for cut in range(len(whole) - 60, len(whole), 7):
+        assert html_crf.main_text(whole[:cut], model).startswith("\n".join(paragraphs[:2]))
+
+
+def test_sample_does_not_depend_on_order(spark):
+    rows = [(i % 5, "u", f"<article><h1>Title {i}</h1><p>{'word ' * (i % 7 + 10)}end.</p></article><div>x {i}</div>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    models = [html_crf.fit(df.repartition(n, *by)) for n, by in ((1, ()), (7, ("html",)))]
+    assert models[0].numbers == models[1].numbers and (models[0].emission == models[1].emission).all()
+    got = html_crf.extract(df.withColumn("_names", F.lit(1)), models[0]).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((d, html_crf.main_text(h, models[0])) for d, _, h in rows)
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 8):
