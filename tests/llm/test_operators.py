@@ -1,6 +1,8 @@
 """Operators against brute force over small odd tables."""
 
+import collections
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -150,7 +152,7 @@ def test_rule_counts(docs):
                 hit[i : i + 3] = [True] * 3
         failed = len(w) < 50 or 100 * sum(hit) > 50 * len(w)
         want.append((d, len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t), dup, sum(hit), failed))
-    model = quality.Model(np.zeros(quality.BUCKETS), 0.0)
+    model = quality.Model(np.zeros(quality.LEAST_BUCKETS), 0.0)
     judged = quality.judge(docs, model, ["doc_id"])
     got = [tuple(r) for r in judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
@@ -172,15 +174,75 @@ def test_quality_separates_junk(spark):
     assert all(rows[d]["kept"] == (d < 100) for d, _ in pairs)
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(60))
-    # scores by definition
+
+
+def quality_by_hand(spark, pairs, labels):
+    """Score and verdict of each text: exact n-grams, plain loops; only the bucket of an n-gram is asked for."""
     from evq.llm.words import split_words
 
-    bucket, doc = quality.buckets(split_words(pa.array([t for _, t in pairs])))
-    raw = np.bincount(bucket, minlength=quality.BUCKETS) + quality.SMOOTHING
-    trusted = np.bincount(bucket[(doc < 30) & (doc % 5 > 0)], minlength=quality.BUCKETS) + quality.SMOOTHING
-    ratio = np.log(trusted / trusted.sum()) - np.log(raw / raw.sum())
-    for i, (d, _) in enumerate(pairs):
-        assert rows[d]["score"] == pytest.approx(ratio[bucket[doc == i]].mean())
+    known = {}
+    for d, q in labels:
+        if d is not None and q in (0, 1):
+            known[d] = min(q, known.get(d, 1))
+    ids = spark.createDataFrame([(d,) for d in known], "doc_id long")
+    probe = {r[0] for r in ids.where(F.pmod(F.xxhash64("doc_id", F.lit("probe")), F.lit(quality.PROBE_SHARE)) == 0).collect()}
+    size = quality.number_of_buckets(sum(len((t or "").encode()) for _, t in pairs))
+    bucket_of = {}
+
+    def ngrams(text):
+        words = corpus.split(text)
+        found = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+        for gram in set(found) - set(bucket_of):
+            bucket_of[gram] = int(quality.buckets(split_words(pa.array([gram])), size)[0][-1])
+        return [bucket_of[gram] for gram in found]
+
+    raw, trusted = collections.Counter(), collections.Counter()
+    for d, t in pairs:
+        raw.update(ngrams(t))
+        if known.get(d) == 1 and d not in probe:
+            trusted.update(ngrams(t))
+    total_raw, total = sum(raw.values()) + size, sum(trusted.values()) + size
+    weight = {b: math.log((trusted[b] + 1) / total) - math.log((raw[b] + 1) / total_raw) for b in raw}
+    score, failed = [], []
+    for _, t in pairs:
+        words, grams = corpus.split(t), ngrams(t)
+        score.append(sum(weight[b] for b in grams) / max(1, len(grams)))
+        windows = collections.Counter(zip(words, words[1:], words[2:]))
+        hit = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
+        failed.append(len(words) < 50 or 100 * len(hit) > 50 * len(words))
+    judged = {}
+    for (d, _), v, f in zip(pairs, score, failed, strict=True):
+        if not f and (known.get(d) == 0 or d in probe):
+            judged[d] = min(v, judged.get(d, v))
+    # The cut with the fewest errors, each class weighed by its size; midway between the scores beside it.
+    values = sorted((v, known[d] == 1) for d, v in judged.items())
+    good = sum(g for _, g in values)
+    errors = [sum(g for _, g in values[:i]) / good + sum(not g for _, g in values[i:]) / (len(values) - good) for i in range(len(values) + 1)]
+    cut = min(range(len(errors)), key=lambda i: (round(errors[i], 12), i))
+    limit = values[0][0] - 1e-9 if cut == 0 else (values[cut - 1][0] + values[min(cut, len(values) - 1)][0]) / 2
+    return [(v, not f and v >= limit) for v, f in zip(score, failed, strict=True)], limit
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(19)
+    pairs = [(i, corpus.prose(rng, rng.choice([40, 60, 90]), 5)) for i in range(80)]
+    # junk of all degrees: some words are marked
+    pairs += [(100 + i, " ".join(f"{w}$$$" if rng.random() < i / 40 else w for w in corpus.prose(rng, 80, 5).split(" "))) for i in range(40)]
+    pairs += [(200, None), (201, ""), (None, pairs[0][1]), pairs[1], pairs[1], (202, "again and again " * 200), (203, corpus.prose(rng, 50_000, 5)), (5, "a second text of a good id " + corpus.prose(rng, 60, 5))]
+    labels = [(i, 1) for i in range(0, 80, 2)] + [(100 + i, 0) for i in range(0, 40, 2)] + [(4, 0), (102, 1), (None, 1), (6, None), (6, 7)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    docs = corpus.frame(spark, pairs)
+    want, limit = quality_by_hand(spark, pairs, labels)
+    assert quality.fit(docs, frame).threshold == pytest.approx(limit, abs=1e-6)
+    got = sorted(((str(r["doc_id"]), round(r["score"], 5), r["kept"]) for r in quality.quality(docs, frame).collect()))
+    assert got == sorted((str(d), round(v, 5), kept) for (d, _), (v, kept) in zip(pairs, want, strict=True))
+    assert 10 < sum(kept for _, kept in want) < len(pairs) - 10
+    assert sorted(str(r["doc_id"]) for r in quality.keep_good(docs, frame).collect()) == sorted(str(d) for (d, _), (_, kept) in zip(pairs, want, strict=True) if kept)
+
+
+def test_buckets_grow_with_the_corpus():
+    sizes = [quality.number_of_buckets(n) for n in (0, 10**8, 10**10, 10**12)]
+    assert sizes == [1 << 16, 1 << 16, 1 << 19, 1 << 22]
 
 
 def test_quality_without_labels(spark, docs):
