@@ -1,132 +1,180 @@
-"""Licences of files: TF-IDF cosine of their lines to template statements, then inheritance along paths.
+"""Licences of files: TF-IDF cosine of their passages to templates, then inheritance along paths.
 
-Every line of a file is compared with short statements of known licences; the best
-one at or above a threshold is the file's own licence. A file that is mostly such
-a statement, or is named like one, is a licence file and speaks for its directory.
-A file without own licence takes that of the nearest directory above it, found by
-joining each distinct directory's ancestors with the directories that have one.
+Templates are statements, file headers, licence texts and machine-readable tags. A template of n words is compared
+with every n consecutive words of a file, whatever lines they stand on and whatever comment marks stand between them;
+the best passage at or above a threshold is the file's own licence. A file that is mostly such a passage, or is named
+like one, is a licence file and speaks for its directory. A file without own licence takes that of the nearest
+directory above it, found by joining each distinct directory's ancestors with the directories that have one.
+
+Words are weighed by their inverse document frequency in the whole corpus, counted by hash in a table that grows as
+the corpus's distinct words do. Passages that cannot reach the threshold are never looked at: one that does holds at
+least one of the few words that make up most of the template's length (``Template.telling``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.tasks import map_text, written
-from evq.llm.words import ALNUM_WORDS, split_words, text_blocks, text_buffer
+from evq.llm.licence_texts import TEMPLATES
+from evq.llm.quality import number_of_buckets
+from evq.llm.tasks import map_text, small_batches, written
+from evq.llm.words import ALNUM_WORDS, Words, release_memory, split_words, text_blocks
 
-#: Least cosine of a line to a template; share of a licence file's words in its licence line.
+#: Least cosine of a passage to a template; share of a licence file's words in its licence passage.
 SIMILARITY = 0.6
 FILE_SHARE = 1 / 3
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
+#: Words of candidate passages that are handled at once.
+PASSAGE_WORDS = 1 << 20
+
+
+class Template(NamedTuple):
+    """A template's words: their hashes, sorted, and count times idf of each; its length in words and as a vector."""
+
+    licence: str
+    hashes: np.ndarray
+    weights: np.ndarray
+    words: int
+    norm: float
+    telling: np.ndarray  # hashes of the words without which no passage reaches the threshold
+
+
+def hashed_words(column: pa.Array) -> Words:
+    return split_words(column, ALNUM_WORDS, lower=True)
+
 
-#: Statements of public licences.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-]
+def idf_of(hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return idf[(hashes & np.uint64(len(idf) - 1)).astype(np.int64)]
 
 
 class Matcher:
-    """Templates as unit vectors over their own words; all other words count as unseen and only lengthen a line's vector."""
-
-    def __init__(self, frequency: dict[int, int], lines: int):
-        words = split_words(pa.array([t for _, t in TEMPLATES]), ALNUM_WORDS, lower=True)
-        self.vocabulary = np.unique(words.hashes)
-        self.idf = np.log((1 + lines) / (1 + np.array([frequency.get(i, 0) for i in range(len(self.vocabulary))]))) + 1
-        self.unseen = float(np.log(1 + lines) + 1)
-        self.matrix = np.zeros((len(TEMPLATES), len(self.vocabulary)))
-        np.add.at(self.matrix, (np.repeat(np.arange(len(TEMPLATES)), words.counts), np.searchsorted(self.vocabulary, words.hashes)), 1)
-        self.matrix = np.where(self.matrix > 0, 1 + np.log(np.maximum(self.matrix, 1)), 0) * self.idf
-        self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
-
-    def best(self, terms: "Terms") -> tuple[np.ndarray, np.ndarray]:
-        """The nearest template of each line (ties: the first) and its cosine."""
-        weight = (1 + np.log(terms.count)) * self.idf[terms.term]
-        norm = np.sqrt(np.bincount(terms.line, weight**2, minlength=terms.lines) + terms.unseen * self.unseen**2)
-        cosine, best = np.zeros(terms.lines), np.zeros(terms.lines, np.int64)
-        for number, row in enumerate(self.matrix):
-            found = np.bincount(terms.line, weight * row[terms.term], minlength=terms.lines) / np.maximum(norm, 1e-12)
-            better = found > cosine + 1e-12
-            cosine[better], best[better] = found[better], number
-        return best, cosine
-
-
-class Terms:
-    """Words of the non-empty lines of a block: template words by line, with counts, and the number of other words."""
-
-    def __init__(self, column: pa.Array, vocabulary: np.ndarray):
-        words = split_words(column, ALNUM_WORDS, lower=True)
-        _, offsets = text_buffer(column)
-        bounds = np.unique(np.concatenate([offsets, np.flatnonzero(words.data == 10)]))
-        line = np.searchsorted(bounds, words.starts, side="right") - 1
-        used, line = np.unique(line, return_inverse=True)
-        self.lines = len(used)
-        self.document = np.searchsorted(offsets, bounds[used], side="right") - 1 if len(used) else used
-        self.words = np.bincount(line, minlength=self.lines)
-        self.document_words = words.counts
-        at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
-        known = vocabulary[at] == words.hashes
-        pair, self.count = np.unique(line[known] * len(vocabulary) + at[known], return_counts=True)
-        self.line, self.term = np.divmod(pair, len(vocabulary))
-        self.unseen = np.bincount(line[~known], minlength=self.lines)
-
-
-def matcher(files: DataFrame) -> Matcher:
-    """Line frequencies of the template words over all files; one row per word and task is shuffled."""
-    vocabulary = Matcher({}, 0).vocabulary
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
+        words = hashed_words(pa.array([text for _, text in TEMPLATES]))
+        self.templates = []
+        for i, (licence, _) in enumerate(TEMPLATES):
+            hashes, count = np.unique(words.hashes[words.first[i] : words.first[i + 1]], return_counts=True)
+            weights = count * idf_of(hashes, idf)
+            norm = float(np.linalg.norm(weights))
+            order = np.argsort(-weights, kind="stable")
+            # Without the first k words the cosine is at most the length of the rest: take k so that it is too short.
+            rest = np.sqrt(np.maximum(1 - np.cumsum((weights[order] / norm) ** 2), 0))
+            enough = int(np.argmax(rest < SIMILARITY - 1e-9)) + 1
+            self.templates.append(Template(licence, hashes, weights, int(count.sum()), norm, np.sort(hashes[order[:enough]])))
+        self.vocabulary = np.unique(np.concatenate([t.hashes for t in self.templates]))
+
+    def best(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per document: the number of the template of its best passage (ties: the first), the cosine and the passage's words."""
+        docs = len(words.first) - 1
+        found, score, length = np.full(docs, -1), np.zeros(docs), np.zeros(docs, np.int64)
+        if not len(words.hashes):
+            return found, score, length
+        at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == words.hashes)
+        term = at[known]
+        idf = idf_of(words.hashes, self.idf)
+        squares = np.concatenate([[0.0], np.cumsum(idf**2)])
+        owner = np.repeat(np.arange(docs), words.counts)
+        for number, template in enumerate(self.templates):
+            place = np.searchsorted(self.vocabulary, template.hashes)
+            telling = np.zeros(len(self.vocabulary), bool)
+            telling[np.searchsorted(self.vocabulary, template.telling)] = True
+            hits = known[telling[term]]
+            if not len(hits):
+                continue
+            begin, end = words.first[owner[hits]], words.first[owner[hits] + 1]
+            lowest = np.maximum(begin, hits - template.words + 1)
+            highest = np.minimum(hits, np.maximum(begin, end - template.words))
+            starts = np.unique(_ranges(np.minimum(lowest, highest), highest + 1))
+            ends = np.minimum(starts + template.words, words.first[owner[starts] + 1])
+            weight = np.zeros(len(self.vocabulary))
+            weight[place] = template.weights
+            gain = np.zeros(len(words.hashes))
+            gain[known] = weight[term] * idf[known]
+            total = np.concatenate([[0.0], np.cumsum(gain)])
+            dot = total[ends] - total[starts]
+            # Equal words only lengthen a passage's vector, so this is a bound.
+            able = dot >= (SIMILARITY - 1e-6) * template.norm * np.sqrt(squares[ends] - squares[starts])
+            starts, ends, dot = starts[able], ends[able], dot[able]
+            step = max(1, PASSAGE_WORDS // template.words)
+            for i in range(0, len(starts), step):
+                part = slice(i, i + step)
+                norm = _norms(words.hashes, idf, starts[part], ends[part], template.words)
+                cosine = np.round(dot[part] / (norm * template.norm), 9)
+                doc = owner[starts[part]]
+                for j in np.lexsort((starts[part], -cosine, doc)).tolist():
+                    if cosine[j] > score[doc[j]]:
+                        found[doc[j]], score[doc[j]], length[doc[j]] = number, cosine[j], ends[part][j] - starts[part][j]
+        return found, np.minimum(score, 1.0), length
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    lengths = ends - starts
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
+def _norms(hashes: np.ndarray, idf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """Length of each passage's vector of counts times idf."""
+    at = starts[:, None] + np.arange(words)[None, :]
+    inside = at < ends[:, None]
+    at = np.where(inside, at, starts[:, None])
+    word, weight = hashes[at], np.where(inside, idf[at], 0.0)
+    order = np.argsort(word, axis=1, kind="stable")
+    word, weight = np.take_along_axis(word, order, axis=1), np.take_along_axis(weight, order, axis=1)
+    new = np.ones(word.shape, bool)
+    new[:, 1:] = word[:, 1:] != word[:, :-1]
+    run = np.cumsum(new.reshape(-1)) - 1
+    summed = np.bincount(run, weight.reshape(-1))
+    row = np.repeat(np.arange(len(starts)), new.sum(axis=1))
+    return np.sqrt(np.bincount(row, summed**2, minlength=len(starts)))
+
+
+def inverse_frequencies(files: DataFrame) -> np.ndarray:
+    """Idf of every place of the hash table, from all files; one row per place and task is shuffled."""
+    texts = files.select(F.col("text").cast("string").alias("text"))
+    size = number_of_buckets(texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, lines = np.zeros(len(vocabulary), np.int64), 0
+        found, rows = np.zeros(size, np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for block in text_blocks(batch, "text"):
-                terms = Terms(block.column(0), vocabulary)
-                found += np.bincount(terms.term, minlength=len(vocabulary))
-                lines += terms.lines
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(found))), pa.array(np.concatenate([[lines], found]))], ["term", "n"])
+                words = hashed_words(block.column(0))
+                owner = np.repeat(np.arange(block.num_rows), words.counts)
+                pair = np.unique(owner * size + (words.hashes & np.uint64(size - 1)).astype(np.int64))
+                found += np.bincount(pair % size, minlength=size)
+            release_memory()
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], rows))], ["place", "n"])
 
-    rows = dict(files.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    return Matcher(rows, rows.get(-1, 0))
+    summed = small_batches(texts).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = (summed.column(i).to_numpy() for i in (0, 1))
+    frequency = np.zeros(size)
+    frequency[place[place >= 0]] = n[place >= 0]
+    return np.log((1 + n[place < 0].sum()) / (1 + frequency)) + 1
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """Per file of ``(path, text, ...)``: its columns but ``text``, with ``own_licence``, ``own_score`` and ``licence_share``."""
-    sent = files.sparkSession.sparkContext.broadcast(matcher(files))
+    sent = files.sparkSession.sparkContext.broadcast(Matcher(inverse_frequencies(files)))
     keep = [c for c in files.columns if c != "text"]
     schema = files.select(*keep).schema.add("own_licence", "string").add("own_score", "double").add("licence_share", "double")
-    names = np.array([name for name, _ in TEMPLATES], dtype=object)
+    names = np.array([name for name, _ in TEMPLATES] + [None], dtype=object)
 
     def match(block: pa.RecordBatch) -> pa.RecordBatch:
         get = {name: block.column(i) for i, name in enumerate(block.schema.names)}
-        terms = Terms(get["text"], sent.value.vocabulary)
-        template, cosine = sent.value.best(terms)
-        order = np.lexsort((np.arange(terms.lines), -cosine, terms.document))
-        document, first = np.unique(terms.document[order], return_index=True)
-        at = order[first]
-        score, share = np.zeros(block.num_rows), np.zeros(block.num_rows)
-        score[document] = cosine[at]
-        share[document] = terms.words[at] / terms.document_words[document]
-        licence = np.full(block.num_rows, None, dtype=object)
-        licence[document] = names[template[at]]
+        words = hashed_words(get["text"])
+        template, score, length = sent.value.best(words)
         hit = score >= SIMILARITY
-        licence[~hit], share[~hit] = None, 0.0
-        return pa.RecordBatch.from_arrays([*(get[k] for k in keep), pa.array(licence.tolist(), pa.string()), pa.array(score), pa.array(share)], schema.fieldNames())
+        licence = names[np.where(hit, template, -1)]
+        share = np.where(hit, length / np.maximum(words.counts, 1), 0.0)
+        return pa.RecordBatch.from_arrays([*(get[k] for k in keep), pa.array(licence.tolist(), pa.string()), pa.array(np.where(hit, score, 0.0)), pa.array(share)], schema.fieldNames())
 
     return map_text(files.withColumn("text", F.col("text").cast("string")), match, schema)
 
@@ -135,14 +183,15 @@ def scan(files: DataFrame) -> DataFrame:
     """``files`` (``path``, ``text`` and others): all columns but the text, with ``own_licence, own_score, licence,
     licence_from`` (``own``, ``inherited`` or null) and ``inherited_path``, the licence file.
 
-    A null or empty text has no own licence; a null path has no directory and inherits nothing; of several licence
-    files of a directory the one of highest score speaks for it, on ties that of the smallest path; repeated rows
-    give equal rows; the result's columns replace input columns of those names; an empty table gives no rows.
+    A null or empty text has no own licence, and ``own_score`` is 0 without one; very long texts are read whole; of
+    equally good passages the template that is listed first counts; a null path has no directory and inherits nothing;
+    of several licence files of a directory the one of highest score speaks for it, on ties that of the smallest path;
+    repeated rows give equal rows; the result's columns replace input columns of those names; an empty table gives no rows.
     """
     clash = [c for c in files.columns if c in ("own_licence", "own_score", "licence", "licence_from", "inherited_path", "licence_share", "_dir")]
     own = written(own_licences(files.drop(*clash)), "licences").withColumn("_dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     stated = own.where(F.col("own_licence").isNotNull() & F.col("path").isNotNull() & ((F.col("licence_share") >= FILE_SHARE) | F.col("path").rlike(FILE_NAMES)))
-    spoken = stated.groupBy("_dir").agg(F.min(F.struct((-F.round("own_score", 9)).alias("s"), F.col("path").alias("p"), F.col("own_licence").alias("l"))).alias("_best"))
+    spoken = stated.groupBy("_dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_licence").alias("l"))).alias("_best"))
     spoken = spoken.select(F.col("_dir").alias("_above"), F.col("_best.l").alias("_licence"), F.col("_best.p").alias("_path"))
     # every ancestor of each distinct directory: its path cut after each part, the root (empty) included
     parts = F.split("_dir", "/")

@@ -1,5 +1,6 @@
 """Extraction, licences, toxicity and token counts."""
 
+import collections
 import math
 import random
 import zlib
@@ -132,16 +133,40 @@ def test_extraction_of_odd_pages(spark, pages):
 # --- 4: licences
 
 
-def cosine_by_hand(line, template, frequency, lines):
-    def weights(text):
-        words = corpus.ALNUM.findall(text.translate(corpus.LOWER))
-        known = {w: words.count(w) for w in words if w in frequency}
-        rest = [math.log(1 + lines) + 1 for w in words if w not in frequency]
-        own = {w: (1 + math.log(n)) * (math.log((1 + lines) / (1 + frequency[w])) + 1) for w, n in known.items()}
-        return own, math.sqrt(sum(v * v for v in own.values()) + sum(v * v for v in rest))
+def plain_words(text):
+    return corpus.ALNUM.findall((text or "").translate(corpus.LOWER))
 
-    (a, na), (b, nb) = weights(line), weights(template)
-    return sum(v * b.get(w, 0) for w, v in a.items()) / (na * nb) if na and nb else 0.0
+
+def weights_by_hand(texts):
+    """Idf of a word: frequencies are counted by its place in the hash table."""
+    size = licences.number_of_buckets(sum(len((t or "").encode()) for t in texts))
+    place = {}
+
+    def place_of(word):
+        if word not in place:
+            place[word] = int(licences.hashed_words(pa.array([word])).hashes[0] % np.uint64(size))
+        return place[word]
+
+    frequency = collections.Counter(p for t in texts for p in {place_of(w) for w in plain_words(t)})
+    return lambda word: math.log((1 + len(texts)) / (1 + frequency[place_of(word)])) + 1
+
+
+def best_by_hand(text, idf):
+    """Every passage of every template's length, by plain counting: ``(cosine, licence, words)``."""
+    words, best = plain_words(text), (0.0, None, 0)
+    for name, template in licences.TEMPLATES:
+        want = collections.Counter(plain_words(template))
+        vector = {w: n * idf(w) for w, n in want.items()}
+        norm, size = math.sqrt(sum(v * v for v in vector.values())), sum(want.values())
+        for at in range(max(1, len(words) - size + 1) if words else 0):
+            have = collections.Counter(words[at : at + size])
+            if not have.keys() & want.keys():
+                continue
+            mine = {w: n * idf(w) for w, n in have.items()}
+            c = round(sum(v * vector.get(w, 0) for w, v in mine.items()) / norm / math.sqrt(sum(v * v for v in mine.values())), 9)
+            if c > best[0]:
+                best = (c, name, len(words[at : at + size]))
+    return best
 
 
 def test_licences_equal_brute_force(spark):
@@ -151,34 +176,28 @@ def test_licences_equal_brute_force(spark):
     for i in range(40):
         lines = [corpus.prose(rng, 12) for _ in range(rng.choice([0, 1, 5]))]
         if i % 3 == 0:
-            lines.append(rng.choice(statements).lower() if i % 2 else rng.choice(statements) + " See the text.")
+            said = rng.choice(statements).split(" ")
+            for _ in range(rng.choice([0, 0, 1, 4])):  # cut, changed and added words
+                said[rng.randrange(len(said))] = rng.choice(["", "other", "two words", "license"])
+            lines.insert(rng.randrange(len(lines) + 1), "\n * ".join(" ".join(said[j : j + 9]) for j in range(0, len(said), 9)))
         files.append((i, f"{rng.choice(['a', 'a/b', 'a/b/c', 'd', ''])}/f{i}.txt".lstrip("/"), "\n".join(lines)))
     files += [(50, "a/LICENSE", "Some words first, and then many more of them\n" + statements[0]), (51, None, statements[2]), (52, "x/y", None), (53, "a/b/z", "")]
-    files.append(files[0])
+    files += [(54, "a/b/COPYING", statements[0].upper()), (55, "a/b/COPYING.LESSER", statements[0]), (56, "q/long", "word " * 100_000 + statements[3]), files[0]]
     df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("licence", F.lit("clash")).withColumn("_dir", F.lit(1))
     found = licences.scan(df)
-    texts = [t or "" for _, _, t in files]
-    all_lines = [line for t in texts for line in t.split("\n") if corpus.ALNUM.findall(line.translate(corpus.LOWER))]
-    sets = [set(corpus.ALNUM.findall(line.translate(corpus.LOWER))) for line in all_lines]
-    vocabulary = {w for _, t in licences.TEMPLATES for w in corpus.ALNUM.findall(t.translate(corpus.LOWER))}
-    frequency = {w: sum(w in s for s in sets) for w in vocabulary}
-    own, speaks = {}, {}
+    idf, own, speaks = weights_by_hand([t for _, _, t in files]), {}, {}
     for d, path, text in files:
-        best = (0.0, None, 0)
-        words = len(corpus.ALNUM.findall((text or "").translate(corpus.LOWER)))
-        for line in (text or "").split("\n"):
-            for name, template in licences.TEMPLATES:
-                c = cosine_by_hand(line, template, frequency, len(all_lines))
-                if c > best[0] + 1e-9:
-                    best = (c, name, len(corpus.ALNUM.findall(line.translate(corpus.LOWER))))
-        licence = best[1] if best[0] >= licences.SIMILARITY else None
-        own[d] = (best[0], licence)
-        if licence and path is not None and (best[2] / words >= licences.FILE_SHARE or path.endswith("LICENSE")):
+        # the long file only repeats one word that no template has
+        score, licence, length = best_by_hand((text or "").replace("word " * 99_000, ""), idf)
+        if score < licences.SIMILARITY:
+            score, licence = 0.0, None
+        own[d] = (score, licence)
+        if licence and path is not None and (length / len(plain_words(text)) >= licences.FILE_SHARE or path.endswith(("LICENSE", "COPYING", "COPYING.LESSER"))):
             folder = path.rpartition("/")[0]
-            speaks[folder] = min(speaks.get(folder, (9.0,)), (-round(best[0], 9), path, licence))
+            speaks[folder] = min(speaks.get(folder, (9.0,)), (-score, path, licence))
     for r in found.collect():
         score, licence = own[r["doc_id"]]
-        assert r["own_score"] == pytest.approx(score) and r["own_licence"] == licence
+        assert r["own_score"] == pytest.approx(score, abs=1e-8) and r["own_licence"] == licence, r
         if licence:
             assert (r["licence"], r["licence_from"], r["inherited_path"]) == (licence, "own", None)
             continue
@@ -194,6 +213,69 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+HEADERS = {
+    "GPL-3.0": """
+        This file is part of Foo.
+
+        Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version.
+
+        Foo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+        more details.
+
+        You should have received a copy of the GNU General Public License along with Foo. If not, see
+        <http://www.gnu.org/licenses/>.""",
+    "Apache-2.0": """
+        Copyright 2019 The Example Authors. All Rights Reserved.
+
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at
+
+            http://www.apache.org/licenses/LICENSE-2.0
+
+        Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "MIT": """
+        Copyright (c) 2015 A. Person
+
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
+    "LGPL-2.1": """
+        This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version.
+
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.""",
+    "BSD-3-Clause": "Copyright 2010 The Go Authors. All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "GPL-2.0": "SPDX-License-Identifier: GPL-2.0-only",
+    "BSD-2-Clause": "(C) 2020 me. SPDX-License-Identifier: BSD-2-Clause",
+}
+
+
+def test_public_headers_wrapped_in_comments(spark):
+    import textwrap
+
+    rng, files, want = random.Random(5), [], {}
+    code = ["int main(void) { return 0; }", "def run(self): pass", "the license of a file is a matter of its own and of no other", "you can use any version of the software that you like"]
+    for licence, text in HEADERS.items():
+        for mark in ("# ", " * ", "// ", "-- "):
+            lines = [mark + line for part in textwrap.dedent(text).split("\n\n") for line in textwrap.wrap(part, 80 - len(mark)) + [""]]
+            path = f"{licence}/{len(files)}/file.src"
+            files.append((path, "\n".join([*lines, *(rng.choice(code) + " " + corpus.prose(rng, 8) for _ in range(40))])))
+            want[path] = licence
+    for i in range(300):
+        files.append((f"none/{i}/file.src", "\n".join(rng.choice(code) + " " + corpus.prose(rng, 8) for _ in range(40))))
+    got = {r["path"]: r["licence"] for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {path: want.get(path) for path, _ in files}
+
+
 # --- 9: toxicity
 
 
