@@ -30,7 +30,7 @@ EXAMPLES = 4000
 BASE = 0.05
 CHANCE = 3.84
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 256
 FOLDS = 5
 #: Weight of the examples' overall share in a vote.
 PRIOR = 0.5
@@ -109,11 +109,12 @@ class BlockMaxIndex:
         block, weight = self.block[pieces], weights[of]
         bound = np.bincount(block, self.largest[pieces] * weight, minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
+        rank = np.empty(self.blocks, np.int16)  # small integers sort fast
         rank[order] = np.arange(self.blocks)
-        by_rank = np.argsort(rank[block], kind="stable")
+        place = rank[block]
+        by_rank = np.argsort(place, kind="stable")
         pieces, weight = pieces[by_rank], weight[by_rank]
-        edges = np.searchsorted(rank[block][by_rank], np.arange(self.blocks + 1))
+        edges = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=self.blocks))])
         cosine, done, step, worst = np.zeros(self.size), 0, 2 + k // BLOCK, 0.0
         while True:
             able = int(np.searchsorted(-bound[order], -max(worst, 1e-12) * (1 - 1e-12), side="right"))
@@ -127,7 +128,7 @@ class BlockMaxIndex:
             if without >= 0:
                 cosine[without] = 0
             worst = np.partition(cosine, -k)[-k] if k < self.size else 0.0
-            done, step = to, 2 * step
+            done, step = to, 4 * step
         found = np.flatnonzero(cosine >= max(worst, 1e-12))
         found = found[np.lexsort((found, -np.round(cosine[found], 12)))][:k]
         return found, np.minimum(cosine[found], 1.0)
