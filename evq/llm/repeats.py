@@ -13,8 +13,10 @@ so there is one row per anchor (about every twentieth word) and not one per word
   other contexts too; the smallest document of each window settles the rest.
 
 Shuffled rows are fixed-size hashes; aggregations combine before the shuffle, so
-a passage in a third of all documents is no hot spot there, and the joins that
-bring its verdict back can be split by Spark at run time.
+a passage in a third of all documents is no hot spot there. The verdicts of
+frequent values, of which there are few by definition, go to every task; their
+rows, and those without a value, are spread by a hash of their own position in
+the join that brings the other verdicts back.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from evq.llm.words import Words, covered, inside_document, join_hashes, replaced
 WINDOW = 50
 LEVEL_1 = 13
 LEVEL_2 = 2 * LEVEL_1
+#: A value in more than one of so many rows is frequent, so there are fewer frequent values than this.
+FREQUENT = 10_000
 _ANCHORS = "place long, mark int, start int, windows int, level_1 long, right long, left long, context long, second long"
 _SPANS = "place long, mark int, spans array<int>"
 
@@ -114,36 +118,55 @@ def _placed(docs: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
 
 
 def _seen_twice(anchors: DataFrame, column: str) -> DataFrame:
-    """Values of a level found in two documents, and whether their contexts differ."""
+    """Values of a level found in two documents: the verdict is whether their contexts differ."""
     return (
         anchors.where(F.col(column).isNotNull()).groupBy(column)
-        .agg(F.min("place").alias("_first"), F.max("place").alias("_last"), F.min("context").alias("_low"), F.max("context").alias("_high"))
-        .where("_first < _last").select(column, (F.col("_low") != F.col("_high")).alias(f"{column}_mixed"))
+        .agg(F.min("place").alias("_first"), F.max("place").alias("_last"), F.min("context").alias("_low"), F.max("context").alias("_high"), F.count("*").alias("_rows"))
+        .where("_first < _last").select(column, (F.col("_low") != F.col("_high")).alias("_verdict"), "_rows")
     )
 
 
+def _smallest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values found in two documents: the verdict is the smaller one's place."""
+    found = rows.groupBy(*columns).agg(F.min("place").alias("_verdict"), F.max("place").alias("_last"), F.count("*").alias("_rows"))
+    return found.where("_verdict < _last").drop("_last")
+
+
+def _with_verdict(rows: DataFrame, verdicts: DataFrame, columns: Sequence[str], size: int, name: str) -> DataFrame:
+    """The rows, ``size`` in all, with the verdict of their values (null: none)."""
+    spread, rest = columns[0], columns[1:]
+    limit = size // FREQUENT
+    frequent = verdicts.where(F.col("_rows") > limit).select(*columns, F.col("_verdict").alias("_frequent"))  # fewer than FREQUENT rows
+    others = verdicts.where(F.col("_rows") <= limit).select(F.col(spread).alias("_key"), *rest, F.col("_verdict").alias("_other"))
+    alone = F.col("_frequent").isNotNull() | F.col(spread).isNull()
+    key = F.when(alone, F.xxhash64("place", "mark", "start")).otherwise(F.col(spread))
+    verdict = F.when(F.col(spread).isNotNull(), F.coalesce("_frequent", "_other"))
+    joined = rows.join(F.broadcast(frequent), list(columns), "left").withColumn("_key", key).join(others, ["_key", *rest], "left")
+    return joined.withColumn(name, verdict).drop("_key", "_frequent", "_other")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per row with something to remove: ``place, mark, spans`` (word ranges, ``[from, to, ...]``)."""
     placed = _placed(docs)
     anchors = written(map_text(placed, _anchor_rows, _ANCHORS), "anchors")
-    repeated = (
-        anchors.groupBy("level_1").agg(F.min("place").alias("_first"), F.max("place").alias("_last")).where("_first < _last").select("level_1")
-    )
-    survivors = anchors.join(repeated, "level_1", "left_semi").drop("level_1")
-    survivors = survivors.join(_seen_twice(survivors, "right"), "right", "left").join(_seen_twice(survivors, "left"), "left", "left")
+    twice = _seen_twice(anchors, "level_1").withColumn("_verdict", F.lit(True))
+    survivors = _with_verdict(anchors, twice, ["level_1"], anchors.count(), "twice").where("twice")
+    single = written(survivors.drop("level_1", "twice"), "level-1")
+    size, survivors = single.count(), single
+    for side in ("right", "left"):
+        survivors = _with_verdict(survivors, _seen_twice(single, side), [side], size, f"{side}_mixed")
     survivors = written(survivors.where("right_mixed IS NOT NULL OR left_mixed IS NOT NULL").select(
         "place", "mark", "start", "windows", "context", "second",
         (F.coalesce("right_mixed", F.lit(False)) | F.coalesce("left_mixed", F.lit(False))).alias("mixed"),
     ), "survivors")
-    first = survivors.groupBy("context", "second").agg(F.min("place").alias("_first"))
-    contexts = survivors.join(first, ["context", "second"])
-    later = contexts.where(F.col("place") > F.col("_first")).select("place", "mark", F.array("start", F.col("start") + F.col("windows") - 1 + WINDOW).alias("span"))
-    leading = contexts.where(F.col("mixed") & (F.col("place") == F.col("_first"))).groupBy("place", "mark").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("stretches"))
+    contexts = _with_verdict(survivors, _smallest(survivors, ["context", "second"]), ["context", "second"], survivors.count(), "first")
+    later = contexts.where("place > first").select("place", "mark", F.array("start", F.col("start") + F.col("windows") - 1 + WINDOW).alias("span"))
+    leading = contexts.where("mixed AND (first IS NULL OR place = first)").groupBy("place", "mark").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("stretches"))
     wanted = placed.join(leading.hint("shuffle_hash"), ["place", "mark"])
     windows = wanted.mapInArrow(_window_rows, "place long, mark int, start int, one long, two long")
     windows = written(windows, "windows")
-    smallest = windows.groupBy("one", "two").agg(F.min("place").alias("_first"), F.max("place").alias("_last")).where("_first < _last").select("one", "two", "_first")
-    judged = windows.join(smallest, ["one", "two"]).where(F.col("place") > F.col("_first")).select("place", "mark", F.array("start", F.col("start") + WINDOW).alias("span"))
+    judged = _with_verdict(windows, _smallest(windows, ["one", "two"]), ["one", "two"], windows.count(), "first")
+    judged = judged.where("place > first").select("place", "mark", F.array("start", F.col("start") + WINDOW).alias("span"))
     return later.unionByName(judged).groupBy("place", "mark").agg(F.flatten(F.collect_list("span")).alias("spans"))
 
 

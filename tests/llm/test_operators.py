@@ -82,6 +82,18 @@ def test_repeats_of_random_pairs(spark, ends):
     assert {d: (got[d], n) for d, n in want.items() if got[d] != n} == {}
 
 
+@pytest.mark.parametrize("frequent", [1, 20, 10**9])
+def test_repeats_of_frequent_values(spark, frequent, monkeypatch):
+    """The result does not depend on which values are frequent: none, some or all."""
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(80)]
+    pairs = [(i, " ".join(corpus.prose(rng, rng.randrange(30)).split() + common[: rng.choice((50, 70, 80))] + corpus.prose(rng, rng.randrange(60)).split())) for i in range(90)]
+    pairs += [(100 + i, " ".join(rng.choice("ab") for _ in range(70))) for i in range(10)] + [(200 + i, pairs[i][1]) for i in range(30)] + [(None, pairs[0][1]), (300, None), (301, "")]
+    got = sorted(((r[0], r[1]) for r in repeats.kept_words(corpus.frame(spark, pairs)).select("doc_id", "n_removed").collect()), key=str)
+    assert got == sorted(((d, sum(gone)) for d, _, gone in repeated(pairs)), key=str)
+
+
 # --- 3: benchmark passages
 
 ITEMS = [
