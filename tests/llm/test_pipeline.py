@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from evq.llm import queries
 from evq.llm.tasks import written
@@ -54,3 +56,34 @@ def test_stages(spark, folder):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near-duplicates", "repeats", "benchmark", "packing"]
+
+
+def test_nulls_and_clashing_columns(spark, folder):
+    """Null ids and texts, repeated rows and columns named as the stages' own: the columns stay, clean rows keep their values."""
+    folder_of(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = docs.where("doc_id IN (2, 3)").withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.where("doc_id = 4"))
+    names = ["spans", "place", "mark", "_row", "kept", "score", "class_id", "first", "_key"]
+    docs = docs.unionByName(extra)
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, folder), "test")
+        if name != "packing":
+            assert docs.columns == columns
+            rows = docs.collect()
+            assert all(r[n] == n + ("" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for n in names)
+            assert {0, 5, 42} <= {r["doc_id"] for r in rows}
+
+
+def test_empty_tables(spark, folder):
+    texts, _, _ = folder_of(spark, folder)
+    whole = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark", "labels")}
+    for n, rows in whole.items():
+        rows.limit(0).write.parquet(f"{folder}/empty/{n}.parquet")
+    docs = whole["documents"].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, f"{folder}/empty"), "test")
+        assert docs.count() == 0 and (name == "packing" or docs.columns == whole["documents"].columns)
+    kept = corpus_pipeline.STAGES[0][1](spark, whole["documents"], f"{folder}/empty")  # without labels the rules alone decide
+    assert kept.columns == whole["documents"].columns and 45 not in {r["doc_id"] for r in kept.collect()}
