@@ -39,16 +39,16 @@ class Phrases(NamedTuple):
     lengths: np.ndarray
     item_of: np.ndarray  # items of window i: item_of[item_start[i]:item_start[i + 1]]
     item_start: np.ndarray
-    items: list[str]
+    items: list[str | None]
 
 
 def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
     words = split_words(pa.array([text for _, text in items], pa.string()), ALNUM_WORDS, lower=True)
     vocabulary, symbol = np.unique(words.hashes, return_inverse=True)
     symbol = symbol + 1
-    names = sorted({"" if key is None else str(key) for key, _ in items})
+    names = sorted({None if key is None else str(key) for key, _ in items}, key=lambda name: (name is not None, name))
     number = {name: i for i, name in enumerate(names)}
-    owner = np.array([number["" if key is None else str(key)] for key, _ in items], np.int64)
+    owner = np.array([number[None if key is None else str(key)] for key, _ in items], np.int64)
     of_word = np.repeat(owner, words.counts)
     found: dict[bytes, int] = {}
     rows, pairs = [], set()
@@ -69,8 +69,8 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> Iterator[Phrases]:
-    """The benchmark's windows, in blocks of at most about ``limit`` bytes of text each."""
-    chosen = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text"))
+    """The benchmark's windows, in blocks of at most about ``limit`` bytes of text each; repeated items come once."""
+    chosen = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text")).distinct()
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // limit))
     for block in range(blocks):
@@ -165,7 +165,9 @@ def search_all(docs: DataFrame, benchmark: DataFrame, schema: StructType, finish
     """One pass over the documents per block of the benchmark; the last one makes the result.
 
     A null text has no words; an item without words has no window; an item without id is named by the
-    empty string; equal documents are searched one by one; empty tables give no rows or no findings.
+    empty string (and told from an item of that name); rows of one item id are one item; equal documents are
+    searched one by one; texts of any length are searched whole; other columns, whatever their names, are not
+    read; empty tables give no rows or no findings.
     """
     blocks = benchmark_blocks(benchmark, window, limit)
     wanted = next(blocks)
@@ -193,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     # ranges of several blocks may overlap: count each word once
     merged = F.expr("aggregate(array_sort(_pairs), struct(0 AS n, 0 AS e), (s, x) -> struct(s.n + greatest(0, x.b - greatest(x.a, s.e)) AS n, greatest(s.e, x.b) AS e)).n")
     found = found.withColumn("_pairs", F.when(F.size("_runs") > 0, pairs))
-    items = F.array_sort(F.array_distinct("_items"))
+    items = F.array_sort(F.transform(F.array_distinct("_items"), lambda i: F.coalesce(i, F.lit(""))))
     return found.select(
         "doc_id",
         F.col("_words").alias("n_words"),

@@ -114,7 +114,8 @@ def pack_documents(docs: DataFrame, group_documents: int = GROUP_DOCUMENTS, sequ
     """Sequences of at most ``sequence`` tokens: one row per piece.
 
     A null text is empty and still has its end id, a null ``doc_id`` stays null, equal rows are packed
-    one by one, other columns are ignored; an empty table gives no rows. ``sequence_id`` is the group's
+    one by one, a text of any length is cut into pieces, pieces of equal length are packed in the order met; other
+    columns, whatever their names, are ignored; an empty table gives no rows. ``sequence_id`` is the group's
     number times 2^32 plus the number of the sequence in its group.
     """
     groups = max(1, -(-docs.count() // group_documents))

@@ -110,7 +110,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per document: ``doc_id, n_pre_tokens, n_tokens``.
 
     Pre-tokens are runs without ASCII white space, each with a leading word mark. A null or empty text has none;
-    repeated rows count alike; other columns are ignored; an empty table gives no rows.
+    repeated rows count alike; texts of any length are counted whole, and of equally good segmentations
+    the one of fewest pieces counts; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     path = vocabulary or vocabulary_path()
 
