@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evq.llm.components import components
-from evq.llm.tasks import map_text, written
+from evq.llm.tasks import map_text, measured_joins, written
 from evq.llm.words import Words, join_hashes, mix, split_words, text_blocks, window_hashes
 
 #: Words in a shingle; least Jaccard similarity of a link; share of links to find.
@@ -136,7 +136,7 @@ def _roots(matrix_equal: np.ndarray) -> np.ndarray:
         label = after
 
 
-def _candidates(table: pa.Table) -> pa.Table:
+def _candidates(table: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
     """Stars of the sets in a bucket (or pair of chunks) whose sketches may be similar."""
     _, once = np.unique(table.column("id").to_numpy(), return_index=True)
     table = table.take(pa.array(once))
@@ -146,7 +146,7 @@ def _candidates(table: pa.Table) -> pa.Table:
     for place in range(PLACES):
         column = matrix[:, place]
         agree += column[:, None] == column[None, :]
-    root = _roots(agree >= PLACES * (SIMILARITY - MARGIN))
+    root = _roots(agree >= PLACES * (similarity - MARGIN))
     linked = root != np.arange(len(ids))
     return pa.table({"a": ids[linked], "b": ids[root[linked]]})
 
@@ -159,12 +159,16 @@ def _chunk_pairs(rows: DataFrame, chunks: Column) -> DataFrame:
     return rows.withColumn("_other", other).withColumn("_one", F.least("_own", "_other")).withColumn("_two", F.greatest("_own", "_other")).drop("_other", "_chunks")
 
 
-def candidate_groups(sets: DataFrame, runs: int | None = None) -> DataFrame:
+def candidate_groups(sets: DataFrame, runs: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """``id, root`` of all sets that may be similar to another, by the chosen-path recursion."""
-    start = mix(np.arange(1, (runs or runs_for()) + 1, dtype=np.uint64)).view(np.int64).tolist()
+    start = mix(np.arange(1, (runs or runs_for(similarity=similarity - 0.1)) + 1, dtype=np.uint64)).view(np.int64).tolist()
     sketch = sets.select("id", "sketch")
     nodes = sketch.select(F.explode(F.array(*map(F.lit, start))).alias("path"), "id", "sketch")
     stars = None
+
+    def candidates(table: pa.Table) -> pa.Table:
+        return _candidates(table, similarity)
+
     for level in range(LEVELS):
         paths = written(nodes.select("path", "id", "sketch").mapInArrow(_split, "path long, id long"), "paths")
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -172,7 +176,7 @@ def candidate_groups(sets: DataFrame, runs: int | None = None) -> DataFrame:
         last = level == LEVELS - 1
         leaves = (filled if last else filled.where(F.col("size") <= BUCKET)).join(sketch, "id")
         dealt = _chunk_pairs(leaves, F.ceil(F.col("size") / BUCKET).cast("int"))
-        found = dealt.groupBy("path", "_one", "_two").applyInArrow(_candidates, "a long, b long")
+        found = dealt.groupBy("path", "_one", "_two").applyInArrow(candidates, "a long, b long")
         found = written(found.distinct(), "stars")
         stars = found if stars is None else stars.unionByName(found)
         if last or not filled.where(F.col("size") > BUCKET).take(1):
@@ -229,15 +233,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ``class_id`` is the smallest ``doc_id`` of all documents connected by links; ``n_links`` the number of different
     shingle sets that are similar to the document's; ``n_copies`` the number of documents that have its very set.
     A text without words is linked to nothing and is its own class (null where it has no id), also when repeated.
-    Null ids count as the largest; repeated rows are copies; an empty table gives no rows.
+    Null ids count as the largest; repeated rows are copies; an empty table gives no rows. Texts of any length are read
+    whole. A similarity equal to the limit is a link. Other columns, whatever their names, are not read.
     """
     text = F.col("text").cast("string")
     placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.hash(text).alias("mark"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"))
     rows = written(map_text(placed, _set_rows, "place long, mark int, doc_id long, bytes long, id long, sketch binary"), "sets")
     sets = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("place").alias("place"), F.min_by("mark", F.struct("place", "mark")).alias("mark"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes"))
     sets = written(sets, "distinct-sets")
-    groups = written(candidate_groups(sets).join(sets.select("id", "place", "mark", "bytes"), "id"), "groups")
-    texts = placed.select("place", "mark", "text").join(groups.select("id", "place", "mark").hint("shuffle_hash"), ["place", "mark"]).select("id", "text")
+    groups = written(candidate_groups(sets, similarity=similarity).join(sets.select("id", "place", "mark", "bytes"), "id"), "groups")
+    texts = measured_joins(placed).select("place", "mark", "text").join(groups.select("id", "place", "mark"), ["place", "mark"]).select("id", "text")
     found = written(similar_sets(texts, groups.select("id", "root", "bytes"), similarity), "links")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
@@ -255,13 +260,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the smallest id; texts without words all stay."""
-    found = near_duplicates(docs).where("class_set IS NOT NULL")
+    found = written(near_duplicates(docs).where("class_set IS NOT NULL").select("place", "mark", "class_set"), "classes")
     lead = found.groupBy("class_set").agg(F.min(F.struct("place", "mark")).alias("_lead")).select("_lead.*")
     lead = written(lead.distinct(), "leads")
     text = F.col("text").cast("string")
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.hash(text).alias("mark"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key)
-    kept = rows.join(lead.hint("shuffle_hash"), ["place", "mark"])
+    kept = measured_joins(rows).join(lead, ["place", "mark"])
     if found.groupBy("place", "mark").count().where("count > 1").take(1):  # repeated rows: one of them
         kept = kept.dropDuplicates(["place", "mark"])
     empty = docs.where(text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]"))
