@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evq.llm import decontaminate, near_duplicates, packing, quality, repeats
+from evq.llm.token_counts import token_counts
 from evq.llm.token_files import decode_file, read_token_files, token_table, write_token_files
 from evq.llm.tokens import BatchEncoder, tokenizer_path
 from llm import corpus
@@ -127,6 +128,17 @@ def test_contamination(spark, docs, limit):
     assert sorted(got, key=str) == sorted(want, key=str) and sum(r[5] for r in got) > 3
 
 
+def test_items_without_name_and_repeated_items(spark):
+    """A null and an empty item id are two items, both named by the empty string; repeated rows are one item."""
+    items = spark.createDataFrame([(None, "alpha beta"), ("", "gamma"), ("b", "delta"), ("b", "alpha"), *[("a", "delta")] * 50], "item_id string, text string")
+    assert sum(len(p.windows) for p in decontaminate.benchmark_blocks(items)) == 4
+    some = corpus.frame(spark, [(1, "Alpha beta gamma"), (2, "delta"), (3, "beta"), (4, None)], False)
+    for limit in (decontaminate.BENCHMARK_BYTES, 8):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.contamination(some, items, limit=limit).collect()}
+        names = {1: (3, 3, ",,b"), 2: (1, 2, "a,b"), 3: (0, 0, ""), 4: (0, 0, "")}
+        assert got == {d: (hit, n, hashlib.sha256(text.encode()).hexdigest()) for d, (hit, n, text) in names.items()}
+
+
 def test_remove_leaks(spark, docs):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     cleaned = decontaminate.remove_leaks(docs, benchmark)
@@ -142,7 +154,7 @@ def test_long_document_is_cut_into_pieces(monkeypatch):
     words, hit, doc, item = decontaminate.search(column, wanted)
     for i, (_, w, h, f) in enumerate(leaks(PAIRS, ITEMS)):
         assert hit[words.first[i] : words.first[i + 1]].tolist() == h
-        assert {wanted.items[k] for k in item[doc == i]} == f
+        assert {wanted.items[k] or "" for k in item[doc == i]} == f  # no name: null until it is joined
 
 
 # --- 5: quality
@@ -267,14 +279,14 @@ def test_quality_without_labels(spark, docs):
 # --- 1: near duplicates
 
 
-def near(pairs):
+def near(pairs, least_share=(4, 5)):
     sets = {}
     for d, t in pairs:
         w = split(t)
         if w:
             sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))), []).append(d)
     keys = list(sets)
-    link = [[j for j in range(len(keys)) if j != i and 5 * len(keys[i] & keys[j]) >= 4 * len(keys[i] | keys[j])] for i in range(len(keys))]
+    link = [[j for j in range(len(keys)) if j != i and least_share[1] * len(keys[i] & keys[j]) >= least_share[0] * len(keys[i] | keys[j])] for i in range(len(keys))]
     root = list(range(len(keys)))
     for _ in keys:
         for i, others in enumerate(link):
@@ -296,6 +308,24 @@ def test_near_duplicates(docs):
     assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] for r in got) >= 12
 
 
+def test_lower_similarity(spark):
+    """Pairs between 0.5 and 0.8 alone are found when 0.5 is asked for, and not otherwise."""
+    rng = random.Random(12)
+    pairs = []
+    for i in range(60):
+        words = corpus.prose(rng, 110, 5000).split(" ")
+        pairs.append((2 * i, " ".join(words)))
+        for at in range(10, 10 + 12 * (2 + i % 4), 12):
+            words[at] = f"new{i}"
+        pairs.append((2 * i + 1, " ".join(words)))
+    docs = corpus.frame(spark, pairs)
+    for similarity, share in ((0.5, (1, 2)), (0.8, (4, 5))):
+        got = near_duplicates.near_duplicates(docs, similarity).select("doc_id", "class_id", "n_links", "n_copies").collect()
+        want = sorted(near(pairs, share))
+        assert sorted(map(tuple, got)) == want
+        assert (sum(r[2] for r in want) >= 80) == (similarity == 0.5)
+
+
 def test_large_groups_are_compared_in_chunks(spark, monkeypatch):
     base = split(corpus.prose(random.Random(8), 200))
     pairs = []
@@ -376,6 +406,38 @@ def test_packing(docs):
     assert len(bins) < sum(r["length"] for r in rows) / 2048 + 6
 
 
+# --- very long texts
+
+
+def test_very_long_texts(spark):
+    """Texts of 4 MB, more than a block, a shard or a piece holds, beside columns with the operators' own names."""
+    rng = random.Random(31)
+    words = corpus.prose(rng, 600_000, 100_000).split(" ")
+    pairs = [(1, " ".join(words)), (2, " ".join(words[:-100] + ["other"] * 20)), (3, "a short one"), (4, None)]
+    docs, n = corpus.frame(spark, pairs).persist(), {d: len(split(t)) for d, t in pairs}
+    assert len(pairs[0][1]) > decontaminate.SHARD_BYTES and n[1] == 600_000 > decontaminate._PIECE
+    classes = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert classes == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    kept = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.kept_words(docs).collect()}
+    assert kept == {1: (n[1], 0), 2: (n[2], n[2] - 20), 3: (3, 0), 4: (0, 0)}
+    item = spark.createDataFrame([(1, " ".join(words[-12:]))], "item_id long, text string")
+    alnum = {d: len(corpus.ALNUM.findall(t or "")) for d, t in pairs}
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, item).collect()}
+    assert hits == {d: (alnum[d], len(corpus.ALNUM.findall(" ".join(words[-12:]))) if d == 1 else 0) for d in alnum}
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = {r["doc_id"]: (r["n_words"], r["word_chars"]) for r in quality.quality(docs, labels).collect()}
+    assert judged == {d: (n[d], sum(map(len, split(t)))) for d, t in pairs}
+    ids = {d: ids_of(t, 0) for d, t in pairs}
+    files = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_table(docs).collect()}
+    assert files == {d: (len(x), zlib.crc32(x)) for d, x in ids.items()}
+    lengths = Counter()
+    for r in packing.pack_documents(docs).collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {d: len(x) for d, x in ids.items()}
+    pre = {r["doc_id"]: r["n_pre_tokens"] for r in token_counts(docs).collect()}
+    assert pre == n
+
+
 # --- empty tables
 
 

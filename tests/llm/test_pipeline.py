@@ -1,5 +1,6 @@
 """The pipeline on a small corpus: each stage's decisions take effect on what the next one gets."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from evq.llm import queries
 from evq.llm.tasks import written
+from evq.plans import session
 from llm import corpus
 
 
@@ -49,7 +51,11 @@ def test_stages(spark, folder):
     assert item in short[44] and item not in clean[44] and len(clean[44].split()) == 80
     assert all(clean[d] == short[d] for d in clean if d != 44)
     assert {r["doc_id"] for r in docs.collect()} == set(clean)
+    shared = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
     again = corpus_pipeline.run(spark, folder)
+    made = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before}
+    assert made == {f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES}  # what the stages wrote on the way is gone
     assert sorted(map(str, again.drop("sequence_id", "offset").collect())) == sorted(map(str, docs.drop("sequence_id", "offset").collect()))
 
 
