@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evq.llm.components import components
-from evq.llm.tasks import map_text, measured_joins, written
+from evq.llm.tasks import map_text, written
 from evq.llm.words import Words, join_hashes, mix, split_words, text_blocks, window_hashes
 
 #: Words in a shingle; least Jaccard similarity of a link; share of links to find.
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sets = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("place").alias("place"), F.min_by("mark", F.struct("place", "mark")).alias("mark"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes"))
     sets = written(sets, "distinct-sets")
     groups = written(candidate_groups(sets, similarity=similarity).join(sets.select("id", "place", "mark", "bytes"), "id"), "groups")
-    texts = measured_joins(placed).select("place", "mark", "text").join(groups.select("id", "place", "mark"), ["place", "mark"]).select("id", "text")
+    texts = placed.select("place", "mark", "text").join(groups.select("id", "place", "mark"), ["place", "mark"]).select("id", "text")
     found = written(similar_sets(texts, groups.select("id", "root", "bytes"), similarity), "links")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
@@ -266,7 +266,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.hash(text).alias("mark"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key)
-    kept = measured_joins(rows).join(lead, ["place", "mark"])
+    kept = rows.join(lead, ["place", "mark"])
     if found.groupBy("place", "mark").count().where("count > 1").take(1):  # repeated rows: one of them
         kept = kept.dropDuplicates(["place", "mark"])
     empty = docs.where(text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]"))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.tasks import map_text, measured_joins, written
+from evq.llm.tasks import map_text, written
 from evq.llm.words import Words, covered, inside_document, join_hashes, replaced, span_hashes, split_words, text_blocks, text_buffer, window_hashes, without_words
 
 #: Words of a window and of the levels below.
@@ -162,7 +162,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = _with_verdict(survivors, _smallest(survivors, ["context", "second"]), ["context", "second"], survivors.count(), "first")
     later = contexts.where("place > first").select("place", "mark", F.array("start", F.col("start") + F.col("windows") - 1 + WINDOW).alias("span"))
     leading = contexts.where("mixed AND (first IS NULL OR place = first)").groupBy("place", "mark").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("stretches"))
-    wanted = measured_joins(placed).join(leading, ["place", "mark"])
+    wanted = placed.join(leading, ["place", "mark"])
     windows = wanted.mapInArrow(_window_rows, "place long, mark int, start int, one long, two long")
     windows = written(windows, "windows")
     judged = _with_verdict(windows, _smallest(windows, ["one", "two"]), ["one", "two"], windows.count(), "first")
@@ -173,7 +173,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame, extra: list[Column]) -> DataFrame:
     """Every row of the documents with its spans (null: none)."""
     spans = repeated_spans(docs.select("doc_id", "text"))
-    return measured_joins(_placed(docs, extra)).join(spans, ["place", "mark"], "left").drop("place", "mark")
+    return _placed(docs, extra).join(spans, ["place", "mark"], "left").drop("place", "mark")
 
 
 def _removed(words: Words, spans: pa.ListArray) -> np.ndarray:

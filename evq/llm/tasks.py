@@ -15,8 +15,6 @@ from evq.plans.session import drop_folder, ensure_checkpoint_dir
 
 #: Rows sent to a Python worker at once. Rows hold whole documents: Spark's default of 10,000 is made for narrow ones.
 BATCH_ROWS = 2000
-#: A join may build a hash table of a partition of this size at most, as Spark measured it; beyond it sorts and spills.
-HASH_TABLE_BYTES = 64 << 20
 _made: list[list[str]] = []  # folders of ``written``, a list per open ``scratch``
 
 
@@ -28,14 +26,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def measured_joins(df: DataFrame) -> DataFrame:
-    """The frame itself, in a session where adaptive execution builds hash tables from partitions it found small."""
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    if conf.get(name) in ("0", "0b"):
-        conf.set(name, HASH_TABLE_BYTES)
-    return df
-
-
 def map_text(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """Apply a function to blocks of rows whose texts hold about ``block`` bytes."""
 
