@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.tasks import map_text, small_batches
+from evq.llm.tasks import map_text, small_batches, written
 from evq.llm.words import SPACE_WORDS, Words, count_by_document, covered, inside_document, mix, release_memory, span_hashes, split_words, text_blocks, text_buffer, window_hashes
+from evq.plans.positions import with_range
 
 #: Buckets of the hashed n-grams: so many at least, and per square root of the corpus's bytes (distinct words grow
 #: about with the square root of all words), as the next power of two.
@@ -27,8 +28,6 @@ LEAST_BUCKETS = 1 << 16
 BUCKETS_PER_ROOT = 4
 #: Added to every bucket's count, as a share of a uniform corpus of that many n-grams.
 SMOOTHING = 1.0
-#: Labelled documents at most of each class that the threshold is fitted on; the multinomials cover all documents.
-LABELLED_SAMPLE = 20_000
 #: One in so many good documents is kept from the trusted multinomial, for the threshold.
 PROBE_SHARE = 5
 #: Threshold where no labelled document says otherwise.
@@ -104,11 +103,6 @@ def _is_probe() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit("probe")), F.lit(PROBE_SHARE)) == 0
 
 
-def _some(verdicts: DataFrame, sample: int) -> np.ndarray:
-    """At most ``sample`` ids, by a hash."""
-    return np.sort(np.array([r[0] for r in verdicts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()], np.int64))
-
-
 def _ngram_counts(texts: DataFrame, size: int, name: str) -> DataFrame:
     """``bucket`` and the number of n-grams in it; one row per bucket and task is shuffled."""
 
@@ -124,14 +118,15 @@ def _ngram_counts(texts: DataFrame, size: int, name: str) -> DataFrame:
     return small_batches(texts.select("text")).mapInArrow(count, f"bucket int, {name} long").groupBy("bucket").agg(F.sum(name).alias(name))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPLE) -> Model:
-    """Counts of all documents and of all trusted ones, and the threshold from at most ``sample`` labelled ones of each class.
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Counts of all documents and of all trusted ones, and the threshold from all other labelled ones.
 
-    Trusted are the labelled good documents but every fifth. What reaches the driver is one row per bucket. A last pass
-    scores labelled documents that the trusted counts do not know, the good ones left out and bad ones: the threshold
-    lies midway between the scores that best separate the two classes, and is a constant if one is missing.
+    Trusted are the labelled good documents but every fifth. What reaches the driver is one row per bucket, and one per
+    range of scores. A last pass scores the labelled documents that the trusted counts do not know, the good ones left
+    out and all bad ones: the threshold lies midway between the scores that best separate the two classes, and is a
+    constant if one is missing.
     """
-    spark, verdicts = docs.sparkSession, _verdicts(labels)
+    verdicts = _verdicts(labels)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = number_of_buckets(chosen.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
     # Labels grow with the corpus, so texts and ids are shuffled at every size; null ids and probes are left out before.
@@ -143,40 +138,83 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPLE) -> Mo
     raw[at] += counted.column("raw").to_numpy()
     known = counted.column("trusted").fill_null(0).to_numpy()
     trusted[at] += known
-    probe, bad = _some(verdicts.where("quality = 1 AND probe"), sample), _some(verdicts.where("quality = 0"), sample)
     if not known.any():
         return Model(np.zeros(size, np.float32), DEFAULT_THRESHOLD)
     weights = (np.log(trusted / trusted.sum()) - np.log(raw / raw.sum())).astype(np.float32)
-    if not len(probe) or not len(bad):
-        return Model(weights, DEFAULT_THRESHOLD)
-    both = spark.sparkContext.broadcast((weights, np.concatenate([probe, bad]), probe))
+    # Every text is scored where it lies, so that ids and scores are shuffled and no text is.
+    held = verdicts.where("quality = 0 OR probe").select("doc_id", (F.col("quality") == 1).alias("good")).hint("merge")
+    scored = _scored(chosen.where("doc_id IS NOT NULL"), weights).join(held, "doc_id")
+    # Rows of one id and score count once, however often they are repeated.
+    scored = scored.groupBy("doc_id").agg(F.min("score").alias("score"), F.first("good").alias("good"))
+    return Model(weights, threshold_of(written(scored.select("score", "good"), "scores")))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, ids, good = both.value
-        for batch in batches:
-            there = np.isin(batch.column(0).fill_null(-1).to_numpy(), ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for block in text_blocks(batch.filter(pa.array(there)), "text"):
-                words = split_words(block.column(1))
-                ruled = _failed(rule_counts(block.column(1), words))
-                yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(~ruled)), pa.array(scores(words, weights)[~ruled])], ["doc_id", "score"])
 
-    # Rows of one id and score count once, however often they are repeated.
-    found = small_batches(chosen).mapInArrow(score, "doc_id long, score double").groupBy("doc_id").agg(F.min("score").alias("score")).toArrow()
-    return Model(weights, threshold(found.column("score").to_numpy(), np.isin(found.column("doc_id").to_numpy(), probe)))
+def _scored(chosen: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``doc_id, score`` of the rows that no rule rejects."""
+    sent = chosen.sparkSession.sparkContext.broadcast(weights)
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(block.column(1))
+        passed = pa.array(~_failed(rule_counts(block.column(1), words)))
+        return pa.RecordBatch.from_arrays([block.column(0).filter(passed), pa.array(scores(words, sent.value)).filter(passed)], ["doc_id", "score"])
+
+    return map_text(chosen, run, "doc_id long, score double")
 
 
 def threshold(score: np.ndarray, good: np.ndarray) -> float:
     """The cut with the fewest errors, each class weighed by its size; midway between the scores beside it."""
     if not len(good) or good.all() or not good.any():
         return DEFAULT_THRESHOLD
-    order = np.lexsort((good, score))
-    score, good = score[order], good[order]
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    let_in = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    cut = int(np.argmin(lost + let_in))
-    if cut == 0:
-        return float(score[0]) - 1e-9
-    return float(score[cut - 1] + score[min(cut, len(score) - 1)]) / 2
+    values, of = np.unique(score, return_inverse=True)
+    found = _best_cut(values, np.bincount(of[good], minlength=len(values)), np.bincount(of[~good], minlength=len(values)), (good.sum(), (~good).sum()))
+    return _limit([found], values[0])
+
+
+def threshold_of(scored: DataFrame) -> float:
+    """:func:`threshold` of a table ``score, good`` of any size.
+
+    Distinct scores are dealt to ranges between their quantiles. With the sizes of the ranges before it, each range
+    finds its own best cut; the driver takes the best of these.
+    """
+    each = scored.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
+    placed = written(with_range(each, F.col("score")), "score-ranges")
+    ranges = sorted(placed.groupBy("_range").agg(F.sum("good"), F.sum("bad"), F.min("score")).collect())
+    total = sum(r[1] for r in ranges), sum(r[2] for r in ranges)
+    if not all(total):
+        return DEFAULT_THRESHOLD
+    begins = {}
+    before = (0, 0)
+    for r, after in zip(ranges, [*ranges[1:], None]):
+        begins[r[0]] = before, after and after[3]
+        before = before[0] + r[1], before[1] + r[2]
+
+    def cut(table: pa.Table) -> pa.Table:
+        score, good, bad = (table.column(c).to_numpy() for c in ("score", "good", "bad"))
+        order = np.argsort(score)
+        error, last, limit = _best_cut(score[order], good[order], bad[order], total, *begins[table.column("_range")[0].as_py()])
+        return pa.table({"error": [error], "score": [last], "limit": [limit]})
+
+    found = placed.groupBy("_range").applyInArrow(cut, "error double, score double, limit double")
+    return _limit([tuple(r) for r in found.collect()], ranges[0][3])
+
+
+def _best_cut(score: np.ndarray, good: np.ndarray, bad: np.ndarray, total: tuple[int, int], before: tuple[int, int] = (0, 0), after: float | None = None) -> tuple[float, float, float]:
+    """Error, score and threshold of the best cut above one of the sorted distinct scores, the first of equal ones.
+
+    ``good`` and ``bad`` are the documents of each score, ``before`` those of smaller scores; ``after`` is the next larger score.
+    A cut above a score lets the bad ones out; the best one is always above a bad one, and below the good ones of that score.
+    """
+    lost = (before[0] + np.cumsum(good) - good) / total[0]
+    errors = np.where(bad > 0, lost + (1 - (before[1] + np.cumsum(bad)) / total[1]), np.inf)
+    cut = int(np.argmin(errors))
+    above = score[cut + 1] if cut + 1 < len(score) else score[cut] if after is None else after
+    return float(errors[cut]), float(score[cut]), float(score[cut] if good[cut] else (score[cut] + above) / 2)
+
+
+def _limit(found: list[tuple[float, float, float]], least: float) -> float:
+    """The threshold of the best cut; below the least score if none is better than no cut."""
+    error, _, limit = min(found)
+    return limit if error < 1 else float(least) - 1e-9
 
 
 def _failed(counts: dict[str, np.ndarray]) -> np.ndarray:

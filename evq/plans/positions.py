@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 COARSE = 32
 
 
-def _with_range(df: DataFrame, value: Column) -> DataFrame:
+def with_range(df: DataFrame, value: Column) -> DataFrame:
     """Add ``_range``, where the value lies between the quantiles of all values: 0 for the smallest, -1 for null.
 
     The split points are a scalar subquery, evaluated once and then constants: a part that is computed again after
@@ -38,7 +38,7 @@ def with_position(df: DataFrame, by: Sequence[str], order: Sequence[Column], nam
     Here the rows of a group are dealt to ranges between quantiles of ``value``, numbered inside their range, and
     shifted by the sizes of the ranges before. Only rows of equal ``value`` stay together. Nothing is written.
     """
-    placed = _with_range(df, value.cast("double"))
+    placed = with_range(df, value.cast("double"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -269,6 +269,38 @@ def test_buckets_grow_with_the_corpus():
     assert sizes == [1 << 16, 1 << 16, 1 << 19, 1 << 22]
 
 
+def test_threshold_reads_every_labelled_document(spark):
+    # 50,000 labelled documents, whose scores overlap: the cut lies between two neighbours of all scores
+    word = "concat('w', pmod(xxhash64(id, x), 40 + CAST(id % 7 AS INT) * IF(id % 5 = 0, 40, 10)))"
+    docs = spark.range(50_000).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, 52), x -> {word}), ' ') AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id % 5 = 0, 1, 0) AS quality")
+    model = quality.fit(docs, labels)
+    held = quality._verdicts(labels).where("quality = 0 OR probe").drop("probe")
+    rows = quality.judge(docs, model, ["doc_id"]).where("NOT base_failed").join(held, "doc_id").select("score", "quality").toPandas()
+    assert len(rows) > 40_000
+    assert model.threshold == pytest.approx(quality.threshold(rows["score"].to_numpy(), rows["quality"].to_numpy() == 1), abs=1e-12)
+
+
+def threshold_by_hand(pairs):
+    pairs = sorted(pairs)
+    good = sum(g for _, g in pairs)
+    errors = [sum(g for _, g in pairs[:i]) * (len(pairs) - good) + sum(not g for _, g in pairs[i:]) * good for i in range(len(pairs) + 1)]
+    cut = errors.index(min(errors))
+    return pairs[0][0] - 1e-9 if cut == 0 else (pairs[cut - 1][0] + pairs[min(cut, len(pairs) - 1)][0]) / 2
+
+
+def test_threshold_of_a_table(spark):
+    rng = random.Random(23)
+    tables = [[(float(rng.randrange(40)), rng.random() < 0.6) for _ in range(90)], [(rng.gauss(2.0 * g, 1.0), g) for g in [True, False, True] * 1500]]
+    tables += [[(1.0, True), (2.0, False)], [(1.0, False), (1.0, True)], [(1.0, False), (2.0, True)], [(3.0, True), (3.0, True), (3.0, False), (4.0, False)]]
+    for pairs in tables:
+        got = quality.threshold_of(spark.createDataFrame(pairs, "score double, good boolean"))
+        score, good = (np.array(v) for v in zip(*pairs))
+        assert got == pytest.approx(threshold_by_hand(pairs), abs=1e-12) and quality.threshold(score, good) == got
+    for alone in ([], [(1.0, True)]):
+        assert quality.threshold_of(spark.createDataFrame(alone, "score double, good boolean")) == quality.DEFAULT_THRESHOLD
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.quality(docs, none).collect()} == {0.0}
