@@ -174,14 +174,14 @@ def candidate_groups(sets: DataFrame, runs: int | None = None, similarity: float
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         filled = written(paths.join(sizes, "path"), "buckets")
         last = level == LEVELS - 1
-        leaves = (filled if last else filled.where(F.col("size") <= BUCKET)).join(sketch, "id")
+        leaves = (filled if last else filled.where(F.col("size") <= BUCKET)).join(sketch.hint("merge"), "id")
         dealt = _chunk_pairs(leaves, F.ceil(F.col("size") / BUCKET).cast("int"))
         found = dealt.groupBy("path", "_one", "_two").applyInArrow(candidates, "a long, b long")
         found = written(found.distinct(), "stars")
         stars = found if stars is None else stars.unionByName(found)
         if last or not filled.where(F.col("size") > BUCKET).take(1):
             break
-        nodes = filled.where(F.col("size") > BUCKET).select("path", "id").join(sketch, "id")
+        nodes = filled.where(F.col("size") > BUCKET).select("path", "id").join(sketch.hint("merge"), "id")
     return components(stars)
 
 
@@ -218,11 +218,20 @@ def _compare(limit: Fraction):
     return compare
 
 
+def set_texts(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """``id, text`` of the document that stands for each candidate set.
+
+    The sets grow with the corpus, so texts are shuffled at every size, here and in the other joins that carry texts or
+    sketches: a small corpus gives no other plan than a large one.
+    """
+    return placed.select("place", "mark", "text").join(groups.select("id", "place", "mark").hint("merge"), ["place", "mark"]).select("id", "text")
+
+
 def similar_sets(texts: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``id, root, links`` rows of all candidate sets: exact links by chunk pair of their group."""
     limit = Fraction(similarity).limit_denominator(10_000)
     size = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("size"))
-    members = texts.join(groups.join(size, "root"), "id")
+    members = texts.join(groups.join(size, "root").hint("merge"), "id")
     dealt = _chunk_pairs(members, F.greatest("size", F.lit(1))).select("id", "text", "root", "_own", "_one", "_two")
     return dealt.groupBy("root", "_one", "_two").applyInArrow(_compare(limit), "id long, root long, links long")
 
@@ -242,8 +251,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sets = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("place").alias("place"), F.min_by("mark", F.struct("place", "mark")).alias("mark"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes"))
     sets = written(sets, "distinct-sets")
     groups = written(candidate_groups(sets, similarity=similarity).join(sets.select("id", "place", "mark", "bytes"), "id"), "groups")
-    texts = placed.select("place", "mark", "text").join(groups.select("id", "place", "mark"), ["place", "mark"]).select("id", "text")
-    found = written(similar_sets(texts, groups.select("id", "root", "bytes"), similarity), "links")
+    found = written(similar_sets(set_texts(placed, groups), groups.select("id", "root", "bytes"), similarity), "links")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     known = sets.select("id", "place", "n_copies").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -266,7 +274,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.hash(text).alias("mark"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key)
-    kept = rows.join(lead, ["place", "mark"])
+    kept = rows.join(lead.hint("merge"), ["place", "mark"])
     if found.groupBy("place", "mark").count().where("count > 1").take(1):  # repeated rows: one of them
         kept = kept.dropDuplicates(["place", "mark"])
     empty = docs.where(text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]"))

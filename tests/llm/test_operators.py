@@ -377,6 +377,13 @@ def test_runs_reach_the_recall():
     assert 2 <= runs <= 8 and near_duplicates.runs_for(0.999999) > runs
 
 
+def test_texts_are_joined_alike_at_every_size(spark):
+    # a broadcast of a small corpus's sets gives way to a shuffle of a larger one's: its disk could not be foretold
+    pairs = [(i, corpus.prose(random.Random(i % 20), 60, 5)) for i in range(40)]
+    plan = near_duplicates.one_of_each(corpus.frame(spark, pairs))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_one_of_each(spark):
     pairs = PAIRS[:-1]  # without the id that has two texts, in two classes
     docs = corpus.frame(spark, pairs)
