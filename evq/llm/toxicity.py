@@ -6,7 +6,10 @@ telling words outweigh hundreds of others; no word is left out, so a document th
 finds it. Inverted lists are cut into blocks of examples with the largest weight of each word in each block: a query
 takes the blocks in order of their bounds, reads the postings of those alone that can still hold one of its nearest
 examples, and gets the exact list by cosine. The weights of common words, whose
-lists are nearly full, stand in plain rows of each block instead of postings. Votes are weighed by similarity and mapped
+lists are rather full, stand in plain rows of each block instead of postings, and are multiplied for many queries at
+once. Words of little association carry little of a vector: the lists of the others leave few examples that can be among
+the nearest, and these alone get the rest of their cosine from rows of their own; where they leave many, all lists are
+read. Votes are weighed by similarity and mapped
 to probabilities on leave-one-out votes of the examples themselves.
 """
 
@@ -33,7 +36,11 @@ CHANCE = 3.84
 NEIGHBOURS = 25
 BLOCK = 256
 #: A word in at least this share of the examples (of BLOCK, if they are fewer) is common; its rows take at most 2 / COMMON cells a posting.
-COMMON = 1/4
+COMMON = 1/16
+#: A word whose association is at most this is light: its postings are read only where the other words leave many examples.
+LIGHT = 0.5
+#: Queries whose common words are multiplied at once.
+TOGETHER = 64
 FOLDS = 5
 #: Weight of the examples' overall share in a vote.
 PRIOR = 0.5
@@ -91,35 +98,104 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, cut into blocks of ``BLOCK`` vectors, with the largest weight of each piece."""
+    """Inverted lists of unit vectors, cut into blocks of ``BLOCK`` vectors, with the largest weight of each piece.
 
-    def __init__(self, vectors: Vectors, terms: int):
+    Light terms, if any are named, also stand in plain rows, with the length of each vector's light part. The product of
+    the light parts of a query and a vector is at most that of their lengths: the lists of the other terms leave few
+    vectors, and these alone get their light terms.
+    """
+
+    def __init__(self, vectors: Vectors, terms: int, light: np.ndarray | None = None):
         self.size = len(vectors.first) - 1
         self.blocks = max(1, -(-self.size // BLOCK))
-        row = np.repeat(np.arange(self.size), np.diff(vectors.first))
-        order = np.lexsort((row, vectors.terms))
-        self.rows, self.weights = row[order], vectors.weights[order]
-        term = vectors.terms[order]
-        piece = term * self.blocks + self.rows // BLOCK
-        start = np.flatnonzero(np.diff(piece, prepend=-1))
-        self.largest = np.maximum.reduceat(self.weights, start) if len(piece) else np.zeros(0)
-        self.first, self.block = np.searchsorted(piece[start], np.arange(terms + 1) * self.blocks), piece[start] % self.blocks
-        self.lengths = np.diff(np.append(start, len(piece)))
+        self.light = np.zeros(terms, bool) if light is None else light
+        # vectors stand in ascending order, so a stable sort by term leaves them so
+        order = np.argsort(vectors.terms, kind="stable")
+        term, self.weights = vectors.terms[order], vectors.weights[order]
+        self.rows = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(vectors.first))[order]
+        del order
+        block = self.rows // BLOCK
+        start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.largest = np.maximum.reduceat(self.weights, start) if len(term) else np.zeros(0)
+        self.first, self.block = np.searchsorted(term[start], np.arange(terms + 1)), block[start]
+        self.lengths = np.diff(np.append(start, len(term))).astype(np.int32)
         self.postings_read = 0
         # plain rows of common words, and postings of the others
-        often = np.bincount(term, minlength=terms) >= max(self.size, BLOCK) * COMMON
+        self.frequency = np.bincount(term, minlength=terms)
+        often = (self.frequency >= max(self.size, BLOCK) * COMMON) & ~self.light
         self.common = np.where(often, np.cumsum(often) - 1, -1)
         self.table = np.zeros((self.blocks, int(often.sum()), BLOCK))
-        full = often[term] if len(term) else np.zeros(0, bool)
-        self.table[self.rows[full] // BLOCK, self.common[term[full]], self.rows[full] % BLOCK] = self.weights[full]
-        self.rows, self.weights = self.rows[~full].astype(np.int32), self.weights[~full]
-        self.start = np.concatenate([[0], np.cumsum(np.where(often[term[start]], 0, self.lengths) if len(start) else self.lengths)])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` vectors of largest cosine above 0 (ties: the smaller row first) and their cosines."""
+        full = often[term]
+        self.table[block[full], self.common[term[full]], self.rows[full] % BLOCK] = self.weights[full]
+        self.start = np.concatenate([[0], np.cumsum(np.where(often[term[start]], 0, self.lengths))])
+        del term, block, start
+        self.rows, self.weights = self.rows[~full], self.weights[~full]
+        del full
+        # vectors with their light terms, frequent ones numbered first so that they lie together, and the length of these
+        self.number = np.empty(terms, np.int32)
+        self.number[np.argsort(-self.frequency, kind="stable")] = np.arange(terms)
+        here = self.light[vectors.terms]
+        self.light_terms, self.light_weights = self.number[vectors.terms[here]], vectors.weights[here]
+        self.light_first = np.concatenate([[0], np.cumsum(here)])[vectors.first]
+        row = np.repeat(np.arange(self.size), np.diff(self.light_first))
+        self.light_length = np.zeros((self.blocks, BLOCK))
+        self.light_length.reshape(-1)[: self.size] = np.sqrt(np.bincount(row, self.light_weights**2, minlength=self.size))
+        self.light_longest = self.light_length.max(axis=1)
+        self.query = np.zeros(terms)  # by number; zeros between two searches
+
+    def begun(self, queries: Vectors) -> np.ndarray:
+        """Products of queries and all vectors in the common words: block, query, vector."""
+        at = self.common[queries.terms]
+        row = np.repeat(np.arange(len(queries.first) - 1), np.diff(queries.first))
+        dense = np.zeros((len(queries.first) - 1, self.table.shape[1]))
+        dense[row[at >= 0], at[at >= 0]] = queries.weights[at >= 0]
+        return dense @ self.table
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` vectors of largest cosine above 0 (ties: the smaller row first) and their cosines.
+
+        ``begun`` is the query's part of :meth:`begun`; without it, common words are read in the blocks that matter.
+        """
+        if begun is not None:
+            telling = self.common[terms] < 0
+            terms, weights = terms[telling], weights[telling]
+        light = self.light[terms]
+        if not light.any() or (cosine := self._completed(terms, weights, light, k, without, begun)) is None:
+            cosine, _ = self._read(terms, weights, k, without, begun)
+        found = np.flatnonzero(cosine >= 1e-12)
+        if len(found) > k:  # copies may differ in the last bits
+            found = found[cosine[found] >= np.partition(cosine[found], -k)[-k] - 1e-12]
+        found = found[np.lexsort((found, -np.round(cosine[found], 12)))][:k]
+        return found, np.minimum(cosine[found], 1.0)
+
+    def _completed(self, terms: np.ndarray, weights: np.ndarray, light: np.ndarray, k: int, without: int, begun: np.ndarray | None) -> np.ndarray | None:
+        """Cosines of the vectors that can be among the ``k`` nearest, 0 of others; None where their rows are longer than the lists."""
+        rest = float(np.sqrt(weights[light] @ weights[light]))
+        flat, worst = self._read(terms[~light], weights[~light], k, without, begun, rest)
+        able = np.flatnonzero(flat + rest * self.light_length.reshape(-1) >= worst * (1 - 1e-9))
+        able = able[(able < self.size) & (able != without)]
+        starts, ends = self.light_first[able], self.light_first[able + 1]
+        if int((ends - starts).sum()) > int(self.frequency[terms[light]].sum()) + len(flat):
+            return None
+        at, of = spans(starts, ends)
+        self.postings_read += len(at)
+        own = self.number[terms[light]]
+        self.query[own] = weights[light]
+        cosine = np.zeros(len(flat))
+        cosine[able] = flat[able] + np.bincount(of, self.light_weights[at] * self.query[self.light_terms[at]], minlength=len(able))
+        self.query[own] = 0
+        return cosine
+
+    def _read(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int, begun: np.ndarray | None, rest: float = 0.0) -> tuple[np.ndarray, float]:
+        """Products with all vectors of the blocks that can hold one of the ``k`` nearest, and the ``k``-th largest of them.
+
+        ``rest`` is the length of the part of the query that is in neither the terms nor ``begun``: its light terms.
+        """
         pieces, of = spans(self.first[terms], self.first[terms + 1])
         block, weight = self.block[pieces], weights[of]
-        bound = np.bincount(block, self.largest[pieces] * weight, minlength=self.blocks)
+        bound = np.bincount(block, self.largest[pieces] * weight, minlength=self.blocks) + rest * self.light_longest
+        if begun is not None:
+            bound += begun.max(axis=1)
         order = np.argsort(-bound, kind="stable")
         rank = np.empty(self.blocks, np.int16)  # small integers sort fast
         rank[order] = np.arange(self.blocks)
@@ -141,16 +217,17 @@ class BlockMaxIndex:
             self.postings_read += int(self.lengths[here].sum())
             at, piece = spans(self.start[here], self.start[here + 1])
             flat += np.bincount(self.rows[at], self.weights[at] * weight[chosen][piece], minlength=len(flat))
+            if begun is not None:
+                cosine[order[done:to]] += begun[order[done:to]]
             for b in order[done:to] if len(common) else ():
                 cosine[b] += of_common @ self.table[b][common]
             if without >= 0:
                 flat[without] = 0
-            top = np.partition(np.concatenate([top, cosine[order[done:to]].reshape(-1)]), -k)[-k:]
+            new = cosine[order[done:to]].reshape(-1)
+            top = np.partition(np.concatenate([top, new[new > worst]]), -k)[-k:]
             worst = top[0]
             done, step = to, 4 * step
-        found = np.flatnonzero(flat >= max(worst, 1e-12))
-        found = found[np.lexsort((found, -np.round(flat[found], 12)))][:k]
-        return found, np.minimum(flat[found], 1.0)
+        return flat, worst
 
 
 class Model(NamedTuple):
@@ -165,17 +242,29 @@ class Model(NamedTuple):
     odds: np.ndarray  # ... and probability
 
 
-def vote(model: Model, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
+def vote(model: Model, terms: np.ndarray, weights: np.ndarray, without: int = -1, begun: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Share of toxic among the nearest examples, weighed by similarity; those that share nothing have no say."""
     if not len(terms) or not model.index.size:
         return model.blank_share, np.zeros(0, np.int64)
-    found, cosine = model.index.nearest(terms, weights, NEIGHBOURS, without)
+    found, cosine = model.index.nearest(terms, weights, NEIGHBOURS, without, begun)
     if not len(found):
         return model.blank_share, found
     pull = cosine**2
     return float((pull @ model.labels[found] + PRIOR * model.share) / (pull.sum() + PRIOR)), found
 
 
+def votes_of(model: Model, queries: Vectors, rows: np.ndarray, themselves: bool = False) -> Iterator[tuple[float, np.ndarray]]:
+    """:func:`vote` of some of the queries, which may be the examples themselves."""
+    for done in range(0, len(rows), TOGETHER):
+        some = rows[done : done + TOGETHER]
+        at, of = spans(queries.first[some], queries.first[some + 1])
+        mine = Vectors(queries.terms[at], queries.weights[at], np.searchsorted(of, np.arange(len(some) + 1)))
+        begun = model.index.begun(mine)
+        for i, row in enumerate(some.tolist()):
+            own = slice(mine.first[i], mine.first[i + 1])
+            yield vote(model, mine.terms[own], mine.weights[own], row if themselves else -1, begun[:, i])
+
+
 def calibrated(model: Model, votes: np.ndarray) -> np.ndarray:
     if not len(model.votes):
         return votes
@@ -254,10 +343,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for block in text_blocks(batch, "text"):
                 doc, term, count = term_counts(block.column(1))
                 first = np.searchsorted(doc, np.arange(block.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (term.view(np.int64), count.astype(np.int64))]
+                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (term.view(np.int64), count.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), *lists], ["doc_id", "toxic", "terms", "counts"])
 
-    rows = small_batches(examples).mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow().combine_chunks()
+    rows = small_batches(examples).mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<int>").toArrow().combine_chunks()
     ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
     n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
     if not n0 or not n1:
@@ -266,7 +355,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lengths = pc.list_value_length(rows.column("terms")).to_numpy()
     hashes, counts = (pc.list_flatten(rows.column(name)).to_numpy() for name in ("terms", "counts"))
     vocabulary, term = np.unique(hashes.view(np.uint64), return_inverse=True)
-    doc = np.repeat(np.arange(len(ids)), lengths)
+    term, doc = term.astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+    del rows, hashes  # here and below: the driver holds few arrays of all words at a time
     documents, frequency = document_frequencies(chosen.select("text"), vocabulary)
     factor = association((term, doc), toxic, len(vocabulary))
     scale = (np.log((1 + documents) / (1 + frequency)) + 1) * factor
@@ -275,20 +365,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     strongest = np.full(len(ids), -1)
     by_weight = np.lexsort((plain.weights, doc))
     strongest[doc[by_weight]] = term[by_weight]
+    del plain, by_weight
     place = np.lexsort((ids, strongest))
     rank = np.empty(len(ids), np.int64)
     rank[place] = np.arange(len(ids))
     moved = np.lexsort((term, rank[doc]))
     found = unit_vectors(rank[doc][moved], term[moved], counts[moved], scale, len(ids))
+    del moved, term, doc, counts
     ids, toxic = ids[place], toxic[place]
     # examples stand for all labelled rows of their label
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     blank = np.diff(found.first) == 0
     blank_share = float((weight * toxic)[blank].sum() / weight[blank].sum()) if blank.any() else share
-    model = Model(vocabulary, scale, BlockMaxIndex(found, len(vocabulary)), toxic, ids, float(toxic.mean()), blank_share, np.zeros(0), np.zeros(0))
+    model = Model(vocabulary, scale, BlockMaxIndex(found, len(vocabulary), factor <= LIGHT), toxic, ids, float(toxic.mean()), blank_share, np.zeros(0), np.zeros(0))
     full = np.flatnonzero(~blank)
     probes = full[np.argsort(np.array([zlib.crc32(b"%d" % ids[i]) for i in full]))][:CALIBRATION]
-    votes = np.array([vote(model, found.terms[found.first[i] : found.first[i + 1]], found.weights[found.first[i] : found.first[i + 1]], int(i))[0] for i in probes])
+    votes = np.array([value for value, _ in votes_of(model, found, probes, themselves=True)])
     if not len(votes):
         return model
     points = isotonic(votes, toxic[probes], weight[probes])
@@ -313,16 +405,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model, rows = sent.value, block.num_rows
         doc, term, count = chosen_counts(block.column(1), model.vocabulary)
         found = unit_vectors(doc, term, count, model.scale, rows)
-        votes, evidence = np.empty(rows), []
-        seen: dict[bytes, tuple[float, list[int]]] = {}
-        for row in range(rows):
-            a, b = found.first[row], found.first[row + 1]
-            key = found.terms[a:b].tobytes() + found.weights[a:b].tobytes()
-            if key not in seen:
-                value, near = vote(model, found.terms[a:b], found.weights[a:b])
-                seen[key] = value, model.ids[near[:3]].tolist()
-            votes[row], near = seen[key]
-            evidence.append(near)
+        seen: dict[bytes, int] = {}  # equal documents are searched once
+        keys = [found.terms[a:b].tobytes() + found.weights[a:b].tobytes() for a, b in zip(found.first, found.first[1:])]
+        of = np.array([seen.setdefault(key, row) for row, key in enumerate(keys)], np.int64)
+        each, of = np.unique(of, return_inverse=True)
+        searched = [(value, model.ids[near[:3]].tolist()) for value, near in votes_of(model, found, each)]
+        votes, evidence = np.array([value for value, _ in searched])[of], [searched[i][1] for i in of]
         blank = np.diff(found.first) == 0
         scores = np.where(blank, model.blank_share, calibrated(model, votes))
         ids = block.column(0)

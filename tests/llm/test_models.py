@@ -319,6 +319,36 @@ def test_blocks_are_skipped():
         assert index.postings_read < 0.15 * np.isin(term, mine).sum()
 
 
+def test_light_words_are_read_for_few_examples():
+    # Ten telling words weigh most in nine of ten vectors; the others, and some queries, have light words alone.
+    rng = np.random.default_rng(9)
+    size, terms, k = 12 * toxicity.BLOCK + 7, 400, 25
+    dense = np.where(rng.random((size, terms)) < 0.2, rng.random((size, terms)) * 0.05, 0)
+    light = np.arange(terms) >= 60
+    dense[:, ~light] = np.where(rng.random((size, 60)) < 0.1, rng.random((size, 60)), 0) * (rng.random((size, 1)) < 0.9)
+    dense[900:960] = dense[7]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    row, term = np.nonzero(dense)
+    vectors = toxicity.Vectors(term, dense[row, term], np.searchsorted(row, np.arange(size + 1)))
+    index = toxicity.BlockMaxIndex(vectors, terms, light)
+    model = toxicity.Model(np.arange(terms), np.ones(terms), index, rng.integers(0, 2, size).astype(float), np.arange(size), 0.5, 0.5, np.zeros(0), np.zeros(0))
+    rows = np.arange(0, size, 41)
+    for themselves in (False, True):
+        for i, (value, near) in zip(rows, toxicity.votes_of(model, vectors, rows, themselves), strict=True):
+            cosine = dense @ dense[i]
+            if themselves:
+                cosine[i] = 0
+            want = np.lexsort((np.arange(size), -np.round(cosine, 12)))[:k]
+            pull = cosine[want] ** 2
+            assert near.tolist() == want.tolist()
+            assert value == pytest.approx((pull @ model.labels[want] + toxicity.PRIOR / 2) / (pull.sum() + toxicity.PRIOR))
+    lists = [np.isin(term, np.flatnonzero(dense[i])).sum() for i in rows]
+    heavy = [i for i in range(len(rows)) if dense[rows[i], ~light].any()]
+    index.postings_read = 0
+    assert len(list(toxicity.votes_of(model, vectors, rows[heavy]))) == len(heavy) > 50
+    assert index.postings_read < 0.4 * sum(lists[i] for i in heavy)
+
+
 def test_isotonic():
     votes, odds = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert odds.tolist() == [0.0, 0.5, 1.0] and votes.tolist() == [0.1, 0.25, 0.4]
